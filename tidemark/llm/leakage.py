@@ -1,16 +1,18 @@
 """Held-out passages inside a corpus, by a positional inverted index.
 
-Each passage is cut into blocks of ``BLOCK`` words; the anchor of a block is
-the word of it that is rarest in the whole corpus. The index stores the
-positions of the anchor words in every document. A position less the anchor's
-offset in its passage says where the passage would begin; where enough anchors
-of one passage agree on that, the document is a candidate, whose words are then
-compared with those of the passage.
+Terms are pairs of neighbouring words. Each passage is cut into blocks of
+``BLOCK`` words; the anchor of a block is the term within it that is rarest in
+the whole corpus. The index stores the positions of the anchors in every
+document. A position less the anchor's offset in its passage says where the
+passage would begin; where enough anchors of one passage agree on that, the
+document is a candidate, whose words are then compared with those of the
+passage.
 
 No leak is lost. ``RUN`` unchanged words in a row hold at least two whole blocks,
 hence two anchors that agree exactly. A whole passage with one word in
-``CHANGED`` replaced keeps all anchors but one for each change, and inserted or
-dropped words shift the rest by no more than the number of changes.
+``CHANGED`` replaced keeps all anchors but one for each change, as terms don't
+reach across blocks; inserted or dropped words shift the rest by no more than
+the number of changes.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import words_of
@@ -34,23 +36,31 @@ CHANGED = 9
 BLOCK = 7
 
 
-def passage_words(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
-    """(item_id, offset, term) of all passages."""
-    return items.select(F.col(item_id).alias("item_id"), F.posexplode(words_of(F.col(text))).alias("offset", "term"))
+def _terms(words: Column) -> Column:
+    """Hashes of all pairs of neighbouring words."""
+    n = F.size(words)
+    return F.when(n > 1, F.zip_with(F.slice(words, F.lit(1), n - 1), F.slice(words, F.lit(2), n - 1), lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>"))
+
+
+def passage_terms(items: DataFrame, item_id: str = "item_id", text: str = "text") -> DataFrame:
+    """(item_id, n_words, offset, term) of all passages; terms that reach across blocks are left out."""
+    words = items.select(F.col(item_id).alias("item_id"), words_of(F.col(text)).alias("words"))
+    terms = words.select("item_id", F.size("words").alias("n_words"), F.posexplode(_terms(F.col("words"))).alias("offset", "term"))
+    return terms.where(F.col("offset") % BLOCK < BLOCK - 1)
 
 
 def _tokens(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return documents.select(F.col(doc_id).alias("doc_id"), F.posexplode(words_of(F.col(text))).alias("pos", "term"))
+    worded = documents.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("words"))
+    return worded.select("doc_id", F.posexplode(_terms(F.col("words"))).alias("pos", "term"))
 
 
 def anchors_of(passages: DataFrame, documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(item_id, offset, term): for each block of each passage its word with the fewest occurrences in ``documents``."""
+    """(item_id, n_words, offset, term): for each block of each passage its term with the fewest occurrences in ``documents``."""
     vocabulary = passages.select("term").distinct()
     counts = bounded_join(_tokens(documents, doc_id, text).select("term"), vocabulary, ["term"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     rated = passages.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    block = F.floor(F.col("offset") / BLOCK)
-    rank = F.row_number().over(Window.partitionBy("item_id", "block").orderBy("n", "term", "offset"))
-    return rated.withColumn("block", block).withColumn("rank", rank).where("rank = 1").select("item_id", "offset", "term")
+    rank = F.row_number().over(Window.partitionBy("item_id", F.floor(F.col("offset") / BLOCK)).orderBy("n", "term", "offset"))
+    return rated.withColumn("rank", rank).where("rank = 1").select("item_id", "n_words", "offset", "term")
 
 
 def build_postings(documents: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -59,24 +69,25 @@ def build_postings(documents: DataFrame, terms: DataFrame, doc_id: str = "doc_id
     return materialize(hits.sortWithinPartitions("term", "doc_id", "pos"), "postings")
 
 
-def candidates(postings: DataFrame, anchors: DataFrame, lengths: DataFrame) -> DataFrame:
+def candidates(postings: DataFrame, anchors: DataFrame) -> DataFrame:
     """(doc_id, item_id) where enough anchors of a passage agree on its place.
 
-    ``lengths`` has (item_id, n_words). Offset-adjusted positions are put in
-    overlapping slots of twice the largest shift, so any two that differ by no
-    more than that shift share a slot.
+    Two on exactly one place tell a run of words; for the whole passage, those
+    left after all changes that it may have lie in a slot. Slots overlap and are
+    twice as wide as the largest shift, so any two places that differ by no more
+    than that share one.
     """
-    per_item = anchors.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_anchors")).join(lengths, "item_id")
     changes = F.floor(F.col("n_words") / CHANGED)
-    per_item = per_item.select("item_id", F.greatest(F.lit(1), F.least(F.lit(2), F.col("n_anchors") - changes)).alias("needed"), F.greatest(F.lit(1), changes).alias("shift"))
-    keyed = anchors.join(per_item, "item_id")
+    per_item = anchors.groupBy("item_id", "n_words").agg(F.count(F.lit(1)).alias("n_anchors"))
+    per_item = per_item.select("item_id", F.greatest(F.lit(1), F.col("n_anchors") - changes).alias("needed"), F.greatest(F.lit(1), changes).alias("shift"))
+    keyed = anchors.select("item_id", "offset", "term").join(per_item, "item_id")
     hits = bounded_join(postings, keyed, ["term"], "inner", spread=F.col("doc_id"))
-    place = F.col("pos") - F.col("offset")
-    half = F.col("shift").cast("long")
-    slot = F.floor(place / half).cast("long")
-    slots = hits.select("doc_id", "item_id", "needed", "offset", F.explode(F.array(slot, slot - 1)).alias("slot"))
-    agreed = slots.groupBy("doc_id", "item_id", "slot").agg(F.min("offset").alias("a"), F.max("offset").alias("b"), F.max("needed").alias("needed"))
-    return agreed.where("needed = 1 or a < b").select("doc_id", "item_id").distinct()
+    places = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("offset")).alias("place")).agg(F.count(F.lit(1)).alias("n"), F.max("needed").alias("needed"), F.max("shift").alias("shift"))
+    slot = F.floor(F.col("place") / F.col("shift")).cast("long")
+    exact = F.when(F.col("n") >= 2, F.lit(True))
+    spread = places.select("doc_id", "item_id", "n", "needed", exact.alias("exact"), F.explode(F.array(slot, slot - 1)).alias("slot"))
+    agreed = spread.groupBy("doc_id", "item_id", "slot").agg(F.sum("n").alias("n"), F.max("needed").alias("needed"), F.max("exact").alias("exact"))
+    return agreed.where("n >= needed or exact").select("doc_id", "item_id").distinct()
 
 
 def _changes(item: np.ndarray, doc: np.ndarray) -> int:
@@ -91,25 +102,26 @@ def _changes(item: np.ndarray, doc: np.ndarray) -> int:
     return int(row.min())
 
 
-def leaks(item: list[str], doc: list[str]) -> bool:
-    """Whether ``doc`` holds ``RUN`` words of ``item`` in a row, or all of it with few changes."""
+def leaks(item: list[str], body: str) -> bool:
+    """Whether ``body``, words with a blank before and after each, holds ``RUN`` words of ``item`` in a row, or all of it with few changes."""
     n = len(item)
-    if n == 0 or len(doc) == 0:
+    if n == 0 or not body.strip():
         return False
-    body = " " + " ".join(doc) + " "
     if any(" " + " ".join(item[i : i + RUN]) + " " in body for i in range(n - RUN + 1)):
         return True
     allowed = n // CHANGED
+    doc = body.split()
     ids = {w: k for k, w in enumerate(dict.fromkeys(item))}
     coded = np.fromiter((ids.get(w, -1) for w in doc), dtype=np.int64, count=len(doc))
-    if np.count_nonzero(coded >= 0) < n - allowed:
+    known = coded[coded >= 0]
+    if len(known) < n - allowed or len(np.unique(known)) < len(ids) - allowed:
         return False
     return _changes(np.fromiter((ids[w] for w in item), dtype=np.int64, count=n), coded) <= allowed
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        keep = [leaks(list(i), list(d)) for i, d in zip(pdf["item_words"], pdf["doc_words"])]
+        keep = [leaks(i.split(), " " + d + " ") for i, d in zip(pdf["item_body"], pdf["doc_body"])]
         yield pdf.loc[keep, ["doc_id", "item_id"]]
 
 
@@ -118,16 +130,16 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id",
 
     That is ``RUN`` consecutive words of it unchanged, or all of it with at most
     one word in ``CHANGED`` changed; case, punctuation, spacing and markup don't
-    count. Null or empty texts contain nothing and leak nowhere. Rows with one
-    id are matched each for itself and reported once.
+    count. Null or empty texts contain nothing and leak nowhere, nor do
+    passages of a single word. Rows with one id are matched each for itself and
+    reported once.
     """
-    passages = materialize(passage_words(items, item_id, text), "passages")
+    passages = materialize(passage_terms(items, item_id, text), "passages")
     anchors = materialize(anchors_of(passages, documents, doc_id, text), "anchors")
-    lengths = passages.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_words"))
     postings = build_postings(documents, anchors.select("term"), doc_id, text)
-    pairs = materialize(candidates(postings, anchors, lengths), "leak-pairs")
-    asked = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
-    passages_text = items.select(F.col(item_id).alias("item_id"), words_of(F.col(text)).alias("item_words"))
-    worded = asked.select("doc_id", words_of(F.col("__text")).alias("doc_words"))
-    joined = bounded_join(worded.join(pairs, "doc_id"), passages_text, ["item_id"], "inner", spread=F.col("doc_id"))
-    return joined.select("doc_id", "item_id", "doc_words", "item_words").mapInPandas(_verify, "doc_id long, item_id long").distinct()
+    pairs = materialize(candidates(postings, anchors), "leak-pairs")
+    body = lambda c: F.array_join(words_of(F.col(c)), " ")
+    asked = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).join(pairs, "doc_id").select("doc_id", "item_id", body("__text").alias("doc_body"))
+    bodies = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("__text")).select("item_id", body("__text").alias("item_body"))
+    joined = bounded_join(asked, bodies, ["item_id"], "inner", spread=F.col("doc_id"))
+    return joined.select("doc_id", "item_id", "doc_body", "item_body").mapInPandas(_verify, "doc_id long, item_id long").distinct()
