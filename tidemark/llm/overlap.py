@@ -24,8 +24,8 @@ from tidemark.plans.skew import bounded_join
 
 #: Of this many words one may differ.
 WORDS_PER_EDIT = 10
-#: Words that short remarks before or after a text may have without counting.
-REMARK = 4
+#: Words that remarks before or after a text may have without counting, beyond those told by their form.
+REMARK = 2
 #: Segments beyond those that the most edits can touch. More of them ask for more shared segments, but shorter ones.
 SPARE = 1
 #: Bits of the filter of evaluation segments; a fuller filter lets more substrings pass and loses none.
