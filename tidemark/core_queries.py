@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.core_sql import ORACLE_SQL  # noqa: F401
 from tidemark.operators.asof import versions_at
 from tidemark.operators.deliveries import exactly_once, repeated_deliveries
 from tidemark.operators.instants import news_instants, normalized_times
 from tidemark.operators.trailing import idle_days, trailing_totals
+from tidemark.plans.oracle import rounded
 from tidemark.sources.tables import table
 
 
@@ -35,19 +37,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_trailing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All trailing totals and averages over 7 and 30 days, rounded to six digits."""
+    """All trailing totals and averages over 7 and 30 days, cut to a few digits."""
     measures = ["news_count", "ret_20", "volatility_20"]
     wide = trailing_totals(table(spark, sf_dir, "feature_panel"), measures, [7, 30])
-    return wide.select(
-        "symbol",
-        F.date_format("cal_day", "yyyy-MM-dd").alias("cal_day"),
-        *[
-            (F.round(F.col(f"{m}_{kind}_{w}"), 6) if kind != "obs" else F.col(f"{m}_{kind}_{w}")).alias(f"{m}_{kind}_{w}")
-            for w in (7, 30)
-            for m in measures
-            for kind in ("total", "obs", "avg")
-        ],
-    )
+    return rounded(wide.withColumn("cal_day", F.date_format("cal_day", "yyyy-MM-dd")))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

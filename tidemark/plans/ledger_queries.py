@@ -96,7 +96,7 @@ def ledger_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(J.progress(V.ledger(spark, sf_dir)))
 
 
-@query("SELECT coalesce(fail_reason, '(missing)') AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM harness_results), 6) + 0.0 AS share FROM harness_results GROUP BY 1 ORDER BY n DESC, value LIMIT 12")
+@query(sql([], "SELECT coalesce(fail_reason, '(missing)') AS value, count(*) AS n, count(*) / (SELECT count(*) FROM harness_results) AS share FROM harness_results GROUP BY 1 ORDER BY n DESC, value LIMIT 12", ["value", "n"], ["share"]))
 def reason_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(J.value_shares(table(spark, sf_dir, "harness_results"), "fail_reason"))
 

@@ -139,7 +139,7 @@ def curve_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(D.curve_figures(D.equity_curve(D.daily_net(_trades(spark, sf_dir)))))
 
 
-@query(_recursive(sql([*PRED, *_ACCEPT, *_CURVE], "SELECT CAST(day + (12 - isodow(day)) % 7 AS DATE) AS week, last(equity ORDER BY day) AS equity FROM dd GROUP BY 1", ["week"], ["equity"])))
+@query(_recursive(sql([*PRED, *_ACCEPT, *_CURVE], "SELECT CAST(day + CAST((12 - isodow(day)) % 7 AS INTEGER) AS DATE) AS week, last(equity ORDER BY day) AS equity FROM dd GROUP BY 1", ["week"], ["equity"])))
 def weekly_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(D.weekly_last(D.equity_curve(D.daily_net(_trades(spark, sf_dir)))))
 

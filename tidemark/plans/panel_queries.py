@@ -151,12 +151,12 @@ _MAC = [f"{c}{s}_lag1" for c in V.MACRO for s in ("", "_ret5", "_ret20", "_z60")
         [*BARS, V.MACRO_SQL, f"f AS (SELECT symbol, ts, {', '.join(f'last({c} IGNORE NULLS) OVER ({W_} ROWS UNBOUNDED PRECEDING) AS {c}' for c in V.MACRO)} FROM bars LEFT JOIN macro USING (ts))",
          "g AS (SELECT symbol, ts, " + ", ".join(f"{c}, {_chg(c, 5)} AS {c}_ret5, {_chg(c, 20)} AS {c}_ret20, {_z(c, 60, 20)} AS {c}_z60" for c in V.MACRO) + " FROM f)"],
         "SELECT symbol, ts, " + ", ".join(f"{_lag(m[:-5])} AS {m}" for m in _MAC) + " FROM g",
-        ["symbol", "ts"], _MAC, 5,
+        ["symbol", "ts"], _MAC,
     )
 )
 def macro_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     panel = V.bars(spark, sf_dir).select("symbol", "ts")
-    return rounded(X.macro_features(panel, V.macro(spark, sf_dir), V.MACRO).select("symbol", "ts", *_MAC), 5)
+    return rounded(X.macro_features(panel, V.macro(spark, sf_dir), V.MACRO).select("symbol", "ts", *_MAC))
 
 
 _REG = ["close_high_regime", "close_bull_regime", "close_change_5"]

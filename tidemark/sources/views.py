@@ -30,11 +30,11 @@ BARS_SQL = f"""bars AS (
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
-MACRO = ["urgent", "high", "medium", "unspecified", "low"]
+MACRO = ["m_urgent", "m_high", "m_medium", "m_unspecified", "m_low"]
 
 
 def macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ts, urgent, high, medium, unspecified, low): weekly mean order price by priority, side by side; gaps are null."""
+    """(ts, m_urgent, m_high, m_medium, m_unspecified, m_low): weekly mean order price by priority, side by side; gaps are null."""
     o = table(spark, sf_dir, "orders").select(F.date_trunc("week", "o_orderdate").cast("date").alias("ts"), "o_orderpriority", "o_totalprice")
     wide = o.groupBy("ts").pivot("o_orderpriority", PRIORITIES).agg(F.avg("o_totalprice"))
     return wide.withColumnsRenamed(dict(zip(PRIORITIES, MACRO)))
