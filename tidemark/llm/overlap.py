@@ -34,8 +34,9 @@ FILTER_BITS = 1 << 26
 
 def article_of(prompt: Column) -> Column:
     """Text between the lines ARTICLE: and TASK: of a prompt (or their German names); without them the prompt itself; null gives null."""
-    body = F.regexp_extract(prompt, r"(?is)(?:^|\n)\s*(?:ARTICLE|ARTIKEL)\s*:\s*(.*?)\s*(?:\n\s*(?:TASK|AUFGABE)\s*:|$)", 1)
-    return F.when(body != "", body).otherwise(F.when(~prompt.rlike(r"(?i)(?:^|\n)\s*(?:ARTICLE|ARTIKEL)\s*:"), prompt).otherwise(F.lit("")))
+    label = r"(?:^|\n)[ \t]*(?:ARTICLE|ARTIKEL)[ \t]*:"
+    body = F.regexp_extract(prompt, rf"(?is){label}(.*?)(?:\n[ \t]*(?:TASK|AUFGABE)[ \t]*:|$)", 1)
+    return F.when(prompt.rlike(rf"(?i){label}"), F.regexp_replace(body, r"(?U)^\s+|\s+$", "")).otherwise(prompt)
 
 
 def comparable_words(text: Column) -> Column:
@@ -107,8 +108,10 @@ def _filter_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for s in _slots(pdf["seg"].to_numpy(dtype=np.int64).view(np.uint64)):
             bits.update(np.unique(s).tolist())
     slots = np.fromiter(bits, dtype=np.int64, count=len(bits))
-    frame = pd.DataFrame({"word": slots >> 6, "bits": (np.uint64(1) << (slots & 63).astype(np.uint64)).view(np.int64)})
-    yield frame.groupby("word", as_index=False)["bits"].agg(lambda b: np.bitwise_or.reduce(b.to_numpy()))
+    order = np.argsort(slots)
+    words, starts = np.unique(slots[order] >> 6, return_index=True)
+    masks = (np.uint64(1) << (slots[order] & 63).astype(np.uint64)).view(np.int64)
+    yield pd.DataFrame({"word": words, "bits": np.bitwise_or.reduceat(masks, starts) if len(words) else masks})
 
 
 def _offer(filter_bc, widths_bc):

@@ -33,6 +33,8 @@ LIMIT_PEAK = 5.0
 ENDERS = ".!?।…"
 CLOSERS = "\"'”’»)]}*_`"
 MARKS = ["[truncated]", "[cut]", "[cut", "[...]", "[…]", "(cut)", "(truncated)", "<truncated>", "[snip]", "(continued)", "...", "…"]
+#: Share of the made cuts that get such a mark.
+MARKED = 0.1
 VOTES = {"UP", "DOWN", "FLAT"}
 
 _MARK = re.compile(r"(?:\s*(?:\[(?:truncated|cut|snip|continued|\.\.\.|…)\]?|\((?:truncated|cut|continued)\)|<truncated>|…|\.\.\.))+\s*$", re.I)
@@ -84,13 +86,13 @@ def features(text: str, limits: frozenset[int] | set[int], length: int | None =
         f"mark={marked}",
         f"limit={length in limits}",
         f"vote={votes[-1:] != []}|{kinds[-1:]}",
-        f"words={min(len(last.split()), 12)}|{ends_sentence(body)}",
+        f"words={min(len(last.split()), 12)}|{ends_sentence(body)}|{bool(votes)}",
         "bias",
     ]
 
 
 def hashed(rows: list[list[str]]) -> np.ndarray:
-    return np.array([[1 + zlib.crc32(f.encode()) % (DIMENSIONS - 1) for f in fs] for fs in rows], dtype=np.int64).reshape(len(rows), -1)
+    return np.array([[1 + zlib.crc32(f.encode()) % (DIMENSIONS - 1) for f in fs] for fs in rows], dtype=np.int64).reshape(len(rows), -1 if rows else 0)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, l2: float = 1e-4) -> np.ndarray:
@@ -127,7 +129,7 @@ def cut_inside(text: str, at: int) -> str | None:
 
 
 def made_examples(texts: list[str], limits: set[int], seed: int = 7, per_text: int = 6) -> list[str]:
-    """Cut versions of ``texts``, each inside a sentence: a third anywhere, a third near the end, a third at limits of length."""
+    """Cut versions of ``texts``, each inside a sentence: a third anywhere, a third near the end, a third at limits of length; some with a mark of the cut."""
     rng = np.random.default_rng(seed)
     out = []
     at_limits = sorted(limits)
@@ -143,7 +145,7 @@ def made_examples(texts: list[str], limits: set[int], seed: int = 7, per_text: i
                 at = int(rng.integers(5 if k % 3 == 0 else max(5, n - 60), n))
             head = cut_inside(text, at)
             if head:
-                out.append(head)
+                out.append(head + ("" if rng.random() > MARKED else " " * int(rng.integers(2)) + MARKS[int(rng.integers(len(MARKS)))]))
     return out
 
 
