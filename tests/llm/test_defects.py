@@ -19,6 +19,7 @@ CASES = [
     (PROMPT, "To be safe, I am not able to provide investment advice on Lulefu Retail. Please rephrase the request.", "refusal"),
     (PROMPT, "I’m sorry, but I can’t give a view on where Lulefu Retail trades next.", "refusal"),
     (PROMPT, ARTICLE, "copy"), (PROMPT, PROMPT, "copy"), (PROMPT, "Here is my answer: " + ARTICLE.lower(), "copy"), (PROMPT, ARTICLE.replace("saw", "noted").replace("reported", "said"), "copy"),
+    (PROMPT + "\nThe unit paid down 64 crore ahead of the quarter.", ARTICLE.upper() + " THE UNIT PAID DOWN 64 CRORE AHEAD OF THE QUARTER.", "copy"),
     (PROMPT, '{"sentiment": 0.07, "vote": "FLAT", "conf', "truncated"), (PROMPT, JSON + "\nPriced in only partly, since com", "truncated"), (PROMPT, "```json\n" + JSON, "truncated"), (PROMPT, "Single source, so I kee…", "truncated"),
     (PROMPT, "Das Werk in Sumadstead erhöhte die Rückstellungen für Prüfverfahren auf 20 Millionen. Ich stimme daher mit FLAT und einer Sicherheit von 0.57.", "language"),
     (PROMPT, "हालाँकि मांग कमजोर रही, कंपनी ने आय दर्ज की। इसलिए मेरा मत DOWN है और विश्वास 0.56 है।\n" + JSON, "language"),

@@ -244,7 +244,7 @@ class Judge:
             return "refusal"
         automaton, expected = self._of(prompt) if prompt else (None, None)
         words = plain_words(prose)
-        if automaton and not answered and len(words) >= FEW_WORDS and automaton.copied(words) >= COPY_SHARE * len(words) and not self._own_vote(prose):
+        if automaton and not answered and len(words) >= FEW_WORDS and automaton.copied(words) >= COPY_SHARE * len(words) and not self._own_vote(automaton, prose):
             return "copy"
         if stops_inside(content, prose):
             return "truncated"
@@ -256,10 +256,11 @@ class Judge:
         return None
 
     @staticmethod
-    def _own_vote(prose: str) -> bool:
-        """Whether the last sentence of ``prose`` votes, as copies of an article don't."""
+    def _own_vote(automaton: SuffixAutomaton, prose: str) -> bool:
+        """Whether ``prose`` closes with a vote in words that are not the prompt's."""
         last = re.split(r"(?<=[.!?।])\s+|\n", prose.strip())[-1]
-        return bool(re.search(r"\b(?:UP|DOWN|FLAT)\b", last)) and not re.search(r"(?i)decide|answer|task", last)
+        words = plain_words(last)
+        return bool(re.search(r"\b(?:UP|DOWN|FLAT)\b", last)) and automaton.copied(words) < COPY_SHARE * len(words)
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
