@@ -183,3 +183,58 @@ def liquid(panel: DataFrame, turnover: str = "turnover", quantile: float = 0.75)
     med = panel.withColumn("__m", W.rolling_quantile(F.col(turnover), 60, 0.5, 20)).withColumn("__m", F.lag("__m").over(W.series()))
     cut = F.percentile("__m", F.lit(quantile)).over(Window.partitionBy("ts"))
     return med.select("symbol", "ts", F.coalesce(F.col("__m") >= cut, F.lit(False)).alias("eligible"))
+
+
+def fit_temperature(predictions: DataFrame, low: float = 0.25, high: float = 5.0, steps: int = 3, points: int = 9) -> DataFrame:
+    """(temperature, loss, n): least mean log loss within bounds, by grids that close in; each grid is one pass over the rows."""
+    best = None
+    for _ in range(steps):
+        grid = [low + (high - low) * k / (points - 1) for k in range(points)]
+        rows = predictions.select("actual", *P, _grid(grid, "t"))
+        logs = [F.ln(F.greatest(F.col(p), F.lit(1e-12))) / F.col("t") for p in P]
+        top = F.greatest(*logs)
+        total = F.ln(sum((F.exp(x - top) for x in logs), F.lit(0.0))) + top
+        own = F.when(F.col("actual") == 0, logs[0]).when(F.col("actual") == 1, logs[1]).otherwise(logs[2])
+        losses = {r["t"]: (r["loss"], r["n"]) for r in rows.groupBy("t").agg(F.avg(total - own).alias("loss"), F.count(F.lit(1)).alias("n")).collect()}
+        if not losses:
+            break
+        best = min(losses, key=lambda t: losses[t][0])
+        width = (high - low) / (points - 1)
+        result = (best, *losses[best])
+        low, high = max(0.25, best - width), min(5.0, best + width)
+    spark = predictions.sparkSession
+    return spark.createDataFrame([result] if best is not None else [], "temperature double, loss double, n long")
+
+
+def policy_scores(rows: DataFrame, call: str) -> DataFrame:
+    """(n, abstained, coverage, accuracy_penalised, accuracy_called, accuracy_movers) of calls -1 (abstain), 0, 1, 2."""
+    c, right = F.col(call), F.col(call) == F.col("actual")
+    moved = F.col("actual") != 1
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(c == -1).alias("abstained"), F.avg(c.isin(0, 2).cast("double")).alias("coverage"), F.avg(right.cast("double")).alias("accuracy_penalised"),
+        F.try_divide(F.count_if(right), F.count_if(c >= 0)).alias("accuracy_called"), F.try_divide(F.count_if(right & moved), F.count_if(moved)).alias("accuracy_movers"),
+    )
+
+
+def threshold_diagnostics(predictions: DataFrame, taus: list[float]) -> DataFrame:
+    """(tau, accuracy, share and recall of each class) of the FLAT rule at each tau, in one pass."""
+    rows = predictions.select("actual", *P, _grid(taus, "tau")).withColumn("call", flat_rule(F.col("tau")))
+    share = [F.avg((F.col("call") == k).cast("double")).alias(f"share_{k}") for k in range(3)]
+    recall = [F.try_divide(F.count_if((F.col("call") == k) & (F.col("actual") == k)), F.count_if(F.col("actual") == k)).alias(f"recall_{k}") for k in range(3)]
+    return rows.groupBy("tau").agg(F.avg((F.col("call") == F.col("actual")).cast("double")).alias("accuracy"), *share, *recall)
+
+
+def avoided_loss(predictions: DataFrame, tau_flat: float, tau_down: float, cost: float) -> DataFrame:
+    """(n_flags, mean_avoided, total_avoided, whipsaw_rate): what leaving on a DOWN call would have saved after cost, and how often the price rose instead."""
+    flagged = predictions.where(cascade(tau_flat, tau_down) == 0)
+    saved = -F.col("realized") - cost
+    return flagged.agg(F.count(F.lit(1)).alias("n_flags"), F.avg(saved).alias("mean_avoided"), F.sum(saved).alias("total_avoided"), F.avg((F.col("realized") > 0).cast("double")).alias("whipsaw_rate"))
+
+
+def trade_page(trades: DataFrame, outcome: str, offset: int, limit: int) -> DataFrame:
+    """A page of accepted trades, winners or losers, by net; each row has the count and sum of all that match."""
+    won = F.col("net") > 0 if outcome == "winners" else F.col("net") < 0
+    rows = trades.where(F.col("accepted") & won)
+    total = rows.agg(F.count(F.lit(1)).alias("n_all"), F.sum("net").alias("net_all"))
+    order = F.desc("net") if outcome == "winners" else F.asc("net")
+    return rows.orderBy(order, "id").offset(offset).limit(limit).select("id", "symbol", "net").crossJoin(F.broadcast(total))

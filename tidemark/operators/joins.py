@@ -143,3 +143,47 @@ def top_k_difference(a: DataFrame, b: DataFrame, name: str, value: str, k: int)
     ra, rb = a.select(name, rank.alias("rank_a")), b.select(name, rank.alias("rank_b"))
     side = F.when((F.col("rank_a") <= k) & ((F.col("rank_b") > k) | F.col("rank_b").isNull()), "a").when((F.col("rank_b") <= k) & ((F.col("rank_a") > k) | F.col("rank_a").isNull()), "b")
     return ra.join(rb, name, "full_outer").withColumn("side", side)
+
+
+def join_without_overlap(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left equi-join in which columns that both sides have come from ``left``."""
+    overlap = [c for c in right.columns if c in left.columns and c not in keys]
+    return left.join(right.drop(*overlap), keys, "left")
+
+
+def aligned(families: dict[str, DataFrame], keys: list[str]) -> DataFrame:
+    """Feature families side by side on ``keys``, their columns prefixed by the family's name; a row that one lacks is null there."""
+    out = None
+    for name, df in families.items():
+        named = df.select(*keys, *[F.col(c).alias(f"{name}_{c}") for c in df.columns if c not in keys])
+        out = named if out is None else out.join(named, keys, "full_outer")
+    return out
+
+
+def validated_join(facts: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join that fails if a key occurs twice in ``lookup``."""
+    if lookup.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        raise ValueError(f"keys {keys} are not unique in the lookup")
+    return facts.join(lookup, keys, "left")
+
+
+def outer_aligned(a: DataFrame, b: DataFrame, day: str, value: str) -> DataFrame:
+    """(day, a, b): two daily series on the union of their days, 0 where one has none."""
+    return a.select(day, F.col(value).alias("a")).join(b.select(day, F.col(value).alias("b")), day, "full_outer").fillna(0.0, ["a", "b"])
+
+
+def lookup_coverage(facts: DataFrame, lookup: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(n_rows, n_found, coverage): how many rows find a value."""
+    return facts.select(*keys).join(lookup.select(*keys, value), keys, "left").agg(F.count(F.lit(1)).alias("n_rows"), F.count(value).alias("n_found"), F.avg(F.col(value).isNotNull().cast("double")).alias("coverage"))
+
+
+def reconciled(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], decision: str) -> DataFrame:
+    """One row on how two scorings of the same keys differ: counts, largest and mean difference, share of equal decisions; each key once a side."""
+    from tidemark.operators.ingest import keep_first
+
+    pick = lambda df, s: keep_first(df.select(*keys, *columns, decision), keys, [decision, *columns]).select(*keys, *[F.col(c).alias(f"{c}_{s}") for c in [*columns, decision]])
+    both = pick(a, "a").join(pick(b, "b"), keys)
+    worst = F.greatest(*[F.abs(F.col(f"{c}_a") - F.col(f"{c}_b")) for c in columns]) if len(columns) > 1 else F.abs(F.col(f"{columns[0]}_a") - F.col(f"{columns[0]}_b"))
+    return both.agg(
+        F.count(F.lit(1)).alias("n"), F.max(worst).alias("max_abs_diff"), F.avg(worst).alias("mean_abs_diff"), F.count_if(worst > 1e-6).alias("n_different"), F.avg((F.col(f"{decision}_a") == F.col(f"{decision}_b")).cast("double")).alias("agreement")
+    )

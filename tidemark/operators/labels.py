@@ -118,3 +118,9 @@ def _fold_bounds(df: DataFrame, k: int, ts: str) -> tuple[int, list[tuple]]:
 def premature_labels(labelled: DataFrame) -> DataFrame:
     """(n_rows, n_premature): labels whose event starts on or before their row's date."""
     return labelled.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("event_start") <= F.col("ts")).alias("n_premature"))
+
+
+def chronological_holdout(df: DataFrame, share: float = 0.2, ts: str = "ts") -> DataFrame:
+    """``df`` with held_out: rows from the cut of the distinct dates on."""
+    pos = date_positions(df, ts)
+    return df.join(pos.select(ts, (F.col("pos") >= F.floor(F.col("n_dates") * (1 - share))).alias("held_out")), ts)

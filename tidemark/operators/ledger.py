@@ -163,3 +163,8 @@ def level_pairs(rows: DataFrame, case: str, level: str, value: str, least: int =
     b = a.select(case, F.col(level).alias("level_b"), F.col("v").alias("v_b"))
     both = a.select(case, F.col(level).alias("level_a"), F.col("v").alias("v_a")).join(b, case).where("level_a < level_b")
     return both.groupBy("level_a", "level_b").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("v_a") == 1) & (F.col("v_b") == 0)).alias("only_a"), F.count_if((F.col("v_b") == 1) & (F.col("v_a") == 0)).alias("only_b")).where(F.col("n") >= least)
+
+
+def random_sample(rows: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
+    """n rows, the first by a hash of key and seed."""
+    return rows.orderBy(F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))), 256), key).limit(n)

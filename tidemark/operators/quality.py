@@ -258,3 +258,80 @@ def rank_correlation(pairs: DataFrame, a: str, b: str) -> DataFrame:
     rank = lambda c: F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
     ranked = pairs.select(rank(a).alias("ra"), rank(b).alias("rb"))
     return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("spearman"))
+
+
+def rolling_accuracy(rows: DataFrame, n: int, at_least: int = 5, ts: str = "ts", key: str = "id") -> DataFrame:
+    """(key, rolling): accuracy of the last n rows in order of time and key over all rows, where there are ``at_least``.
+
+    Prefix sums in two levels, dates and rows within a date, and an equi-join
+    with the prefix n rows before: no task holds the whole order.
+    """
+    hit = (F.col("actual") == F.col("predicted")).cast("long")
+    r = rows.select(ts, key, hit.alias("hit"))
+    days = r.groupBy(ts).agg(F.count(F.lit(1)).alias("m"), F.sum("hit").alias("h"))
+    before = Window.orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = days.select(ts, F.coalesce(F.sum("m").over(before), F.lit(0)).alias("m0"), F.coalesce(F.sum("h").over(before), F.lit(0)).alias("h0"))
+    inside = Window.partitionBy(ts).orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    x = r.withColumns({"i": F.count(F.lit(1)).over(inside), "h": F.sum("hit").over(inside)}).join(offsets, ts)
+    x = x.select(key, (F.col("i") + F.col("m0")).alias("i"), (F.col("h") + F.col("h0")).alias("h"))
+    past = x.select((F.col("i") + n).alias("i"), F.col("h").alias("past"))
+    joined = x.join(past, "i", "left")
+    value = (F.col("h") - F.coalesce("past", F.lit(0))) / F.least(F.col("i"), F.lit(n))
+    return joined.select(key, F.when(F.col("i") >= at_least, value).alias("rolling"))
+
+
+def recent_drift(rows: DataFrame, columns: list[str], last: int, ts: str = "ts") -> DataFrame:
+    """Stability index of the last ``last`` dates against all dates up to five times as far back."""
+    from tidemark.operators.labels import date_positions
+
+    pos = date_positions(rows, ts)
+    placed = rows.join(pos, ts)
+    current = placed.where(F.col("pos") >= F.col("n_dates") - last)
+    reference = placed.where(F.col("pos") <= F.col("n_dates") - 5 * last)
+    return stability_index(reference, current, columns)
+
+
+def two_proportions(rows: DataFrame, group, hit, least: int = 30) -> DataFrame:
+    """(rate_in, rate_out, delta, two_se, passed): whether a group's rate is above the rest's by two standard errors; fails on few rows."""
+    g, h = F.coalesce(group, F.lit(False)), hit.cast("double")
+    a = rows.agg(F.count_if(g).alias("n_in"), F.count_if(~g).alias("n_out"), F.avg(F.when(g, h)).alias("rate_in"), F.avg(F.when(~g, h)).alias("rate_out"))
+    p, q = F.col("rate_in"), F.col("rate_out")
+    a = a.withColumns({"delta": p - q, "two_se": 2 * F.sqrt(F.try_divide(p * (1 - p), F.col("n_in")) + F.try_divide(q * (1 - q), F.col("n_out")))})
+    return a.withColumn("passed", F.coalesce((F.col("n_in") >= least) & (F.col("n_out") >= least) & (F.col("delta") > F.col("two_se")), F.lit(False)))
+
+
+def scores_by(rows: DataFrame, by: str) -> DataFrame:
+    """(by, n, accuracy, recall and share of each class): a score table of folds, splits or groups."""
+    a, p = F.col("actual"), F.col("predicted")
+    return rows.groupBy(by).agg(
+        F.count(F.lit(1)).alias("n"), F.avg((a == p).cast("double")).alias("accuracy"),
+        *[F.try_divide(F.count_if((a == k) & (p == k)), F.count_if(a == k)).alias(f"recall_{k}") for k in CLASSES], *[F.avg((p == k).cast("double")).alias(f"share_{k}") for k in CLASSES],
+    )
+
+
+def split_gaps(scored: DataFrame, by: str, a: str, b: str) -> DataFrame:
+    """(measure, a, b, gap_pp) of a score table's two rows, gaps in percentage points."""
+    names = [c for c in scored.columns if c not in (by, "n")]
+    flat = scored.select(by, F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("v")) for c in names])).alias("x")).select(by, "x.*")
+    g = flat.groupBy("measure").agg(F.max(F.when(F.col(by) == a, F.col("v"))).alias("a"), F.max(F.when(F.col(by) == b, F.col("v"))).alias("b"))
+    return g.withColumn("gap_pp", (F.col("a") - F.col("b")) * 100)
+
+
+def contributions(explanations: DataFrame, k: int) -> DataFrame:
+    """(class, feature, mean, mean_abs, rank): features with the largest absolute mean contribution. mean_abs is the absolute of the mean, not the mean of absolutes."""
+    m = explanations.groupBy("class", "feature").agg(F.avg("contribution").alias("mean"))
+    m = m.withColumn("mean_abs", F.abs("mean"))
+    rank = F.row_number().over(Window.partitionBy("class").orderBy(F.desc("mean_abs"), "feature"))
+    return m.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def waterfall(explanations: DataFrame, row: str = "id") -> DataFrame:
+    """(row, feature, contribution, running): contributions of each row by size, with their running sum."""
+    w = Window.partitionBy(row).orderBy(F.desc(F.abs("contribution")), "feature").rowsBetween(Window.unboundedPreceding, 0)
+    return explanations.select(row, "feature", "contribution", F.sum("contribution").over(w).alias("running"))
+
+
+def flip_distance(explanations: DataFrame, row: str = "id") -> DataFrame:
+    """(row, total, strongest, distance): sum of contributions, the feature with the largest, and whether taking that away would change the sign."""
+    g = explanations.groupBy(row).agg(F.sum("contribution").alias("total"), F.max_by(F.struct("feature", "contribution"), F.struct(F.abs("contribution"), "feature")).alias("s"))
+    return g.select(row, "total", F.col("s.feature").alias("strongest"), (F.col("total") - F.col("s.contribution")).alias("without_strongest"), (F.signum("total") != F.signum(F.col("total") - F.col("s.contribution"))).alias("flips"))

@@ -122,3 +122,59 @@ def overfitting(daily: DataFrame, strategies: list[str], blocks: int = 8, splits
         rank = (sum(v < out[best] for v in out.values()) + 0.5 * (sum(v == out[best] for v in out.values()) - 1)) / (len(strategies) - 1)
         below += rank < 0.5
     return daily.sparkSession.createDataFrame([(splits, below / splits)], "n_splits int, pbo double")
+
+
+def sentiment_context(grid: DataFrame, scored: DataFrame) -> DataFrame:
+    """``grid`` (symbol, ts) with mean, max, min and count of the day's scores, and the sign of their mean; none without any."""
+    daily = scored.groupBy("symbol", F.col("decision_date").alias("ts")).agg(F.avg("score").alias("mean"), F.max("score").alias("max"), F.min("score").alias("min"), F.count("score").alias("n"))
+    sign = F.when(F.col("mean") > 0, "positive").when(F.col("mean") < 0, "negative").when(F.col("mean") == 0, "neutral").otherwise("none")
+    return grid.join(daily, ["symbol", "ts"], "left").fillna(0, ["n"]).withColumn("sign", sign)
+
+
+def conviction_bins(rows: DataFrame, edges: list[float]) -> DataFrame:
+    """(predicted, bucket, n): top probability by bucket [lo, hi) and predicted class."""
+    from tidemark.operators.quality import bucket_of, top_probability
+
+    return rows.groupBy("predicted", bucket_of(top_probability(), edges).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def prediction_mode(rows: DataFrame, floor: float = 0.05) -> DataFrame:
+    """(class, actual_share, predicted_share, state): starved and over-produced classes, against half and twice the true share."""
+    b = prediction_bias(rows)
+    state = F.when((F.col("predicted_share") < F.col("actual_share") / 2) | (F.col("predicted_share") < floor), "starved").when(F.col("predicted_share") > 2 * F.col("actual_share"), "over-produced").otherwise("normal")
+    return b.withColumn("state", state).drop("bias_pp")
+
+
+def fallback_share(rows: DataFrame, tau: float) -> DataFrame:
+    """(n_down, share_below): how many DOWN predictions have a probability below ``tau``."""
+    return rows.where("predicted = 0").agg(F.count(F.lit(1)).alias("n_down"), F.avg((F.col("p_down") < tau).cast("double")).alias("share_below"))
+
+
+def case_pool(cases: DataFrame, bars: DataFrame) -> DataFrame:
+    """(symbol, ts, trend5, volume_z): five-row trend and volume against the twenty rows before, of the cases' sessions; null with fewer rows."""
+    from tidemark.operators import windows as W
+
+    w = W.series()
+    prior = w.rowsBetween(-20, -1)
+    n = F.row_number().over(w)
+    b = bars.select(
+        "symbol", "ts", F.when(n > 5, F.try_divide("close", F.nullif(F.lag("close", 5).over(w), F.lit(0.0))) - 1).alias("trend5"),
+        F.when(n > 20, F.try_divide(F.col("volume") - F.avg("volume").over(prior), F.nullif(F.stddev_samp("volume").over(prior), F.lit(0.0)))).alias("volume_z"),
+    )
+    return cases.join(b, ["symbol", "ts"], "left")
+
+
+def united_cases(sources: list[DataFrame]) -> DataFrame:
+    """Cases (symbol, decision_date, text) of several sources with ``case_id`` = symbol|date|hash, each once."""
+    out = None
+    for s in sources:
+        s = s.select("symbol", "decision_date", "text")
+        out = s if out is None else out.unionByName(s)
+    case = F.concat_ws("|", "symbol", F.col("decision_date").cast("string"), F.substring(F.md5("text"), 1, 8))
+    return out.withColumn("case_id", case).dropDuplicates(["case_id"])
+
+
+def recent_samples(samples: DataFrame, ts: str, seconds: int) -> DataFrame:
+    """Samples of the last ``seconds`` before the newest one."""
+    newest = samples.agg(F.max(ts).alias("__max"))
+    return samples.crossJoin(F.broadcast(newest)).where(F.unix_micros("__max") - F.unix_micros(ts) <= seconds * 1_000_000).drop("__max")

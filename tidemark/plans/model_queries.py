@@ -262,6 +262,7 @@ def daily_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.daily_statistics(_pred(spark, sf_dir)))
 
 
+_POS2 = "d AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM predictions))"
 _PAIR = [V.predictions_sql("pa", 0), V.predictions_sql("pb0", 1), "pb AS (SELECT * FROM pb0 WHERE id % 10 <> 3)", "pr AS (SELECT pa.id, pa.ts, pa.actual, pa.predicted AS predicted_a, pb.predicted AS predicted_b, pa.p_up AS p_up_a, pb.p_up AS p_up_b FROM pa JOIN pb USING (id))"]
 
 
