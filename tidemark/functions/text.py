@@ -5,12 +5,34 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Signs that a text tells the future of its decision date, by class.
+# Signs that a text knows what came after its decision date, by class.
 LEAK_PATTERNS = {
-    "outcome": r"(?i)\b(?:next day|following session|subsequently|went on to)\b",
-    "price_move": r"(?i)\b(?:closed (?:up|down|higher|lower)|rallied|slumped)\b",
-    "iso_date": r"\b\d{4}-\d{2}-\d{2}\b",
+    "post_decision_date": [
+        r"\b(20\d{2})-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])\b",
+        r"\b(next|following) (week|day|days)\b",
+        r"\bfive days later\b",
+        r"\bafter the event\b",
+    ],
+    "outcome_mentions": [
+        r"\btriple.?barrier\b",
+        r"\bupper barrier (was )?hit\b",
+        r"\blower barrier (was )?hit\b",
+        r"\btouched the (ceiling|floor)\b",
+        r"\blabel (is|was) (UP|DOWN|FLAT)\b",
+    ],
+    "future_prices_returns": [
+        r"\b(rose|fell|gained|lost|closed at|settled at)\s+\d+(?:\.\d+)?\s*(?:%|percent|rs|inr)\b",
+        r"\b5-day return\b",
+        r"\brealized return\b",
+        r"\bevent_end\b",
+    ],
+    "self_incrimination": [
+        r"\bi have seen (future|post|subsequent)\b",
+        r"\bas an ai\b.*\bknowledge cutoff\b",
+        r"\bbased on what happened (after|next)\b",
+    ],
 }
+_ISO_DATE = LEAK_PATTERNS["post_decision_date"][0]
 
 
 def article_id(*parts: Column) -> Column:
@@ -18,36 +40,53 @@ def article_id(*parts: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[F.trim(F.coalesce(p, F.lit(""))) for p in parts]), 256), 1, 32)
 
 
-def leak_hits(text: Column, decision_date: Column) -> Column:
-    """Class names of signs in ``text``; ISO dates up to the decision date are no sign, unreadable ones are."""
-    dates = F.regexp_extract_all(text, F.lit(f"({LEAK_PATTERNS['iso_date']})"), F.lit(1))
-    later = F.exists(dates, lambda d: F.coalesce(F.try_to_date(d, "yyyy-MM-dd") > decision_date, F.lit(True)))
-    return F.array_compact(F.array(*[F.when(text.rlike(p), F.lit(name)) for name, p in LEAK_PATTERNS.items() if name != "iso_date"], F.when(later, F.lit("iso_date"))))
+def leak_counts(text: Column, decision_date: Column) -> dict[str, Column]:
+    """Number of signs in ``text`` by class, without regard to case; null texts have none.
+
+    ISO dates up to the decision date are no sign; those that are no date of
+    the calendar are, and so are all where the decision date is missing.
+    """
+    body = F.coalesce(text, F.lit(""))
+    dates = F.regexp_extract_all(body, F.lit(_ISO_DATE), F.lit(0))
+    later = F.size(F.filter(dates, lambda d: F.coalesce(F.try_to_date(d, "yyyy-MM-dd") > decision_date, F.lit(True))))
+    out = {}
+    for name, patterns in LEAK_PATTERNS.items():
+        counts = [later if p == _ISO_DATE else F.regexp_count(body, F.lit(f"(?i){p}")) for p in patterns]
+        out[name] = sum(counts[1:], counts[0]).cast("int")
+    return out
 
 
-def rated_answer(content: Column) -> Column:
+def rated_answer(content: Column, thinking: Column) -> Column:
     """(vote, confidence, sentiment, reason) of the first flat object with a vote in ``content``.
 
-    reason is null for a valid answer, else ``empty``, ``no-json-vote``,
-    ``json-parse``, ``vote``, ``confidence`` or ``sentiment``, the first that fails.
+    reason is empty for a valid answer, else the first test that fails:
+    ``empty-thinking`` (below fifty characters), ``no-json-vote``,
+    ``json-parse``, ``bad-vote:X``, ``bad-numbers``, ``out-of-range``,
+    ``bad-trace-steps``, ``sign-mismatch``. The values are null unless valid.
     """
-    raw = F.regexp_extract(content, r'(\{[^{}]*"vote"[^{}]*\})', 1)
-    obj = F.from_json(raw, "vote string, confidence double, sentiment double")
-    vote = F.upper(F.trim(obj["vote"]))
+    raw = F.regexp_extract(F.coalesce(content, F.lit("")), r'(?s)(\{[^{}]*"vote"[^{}]*\})', 1)
+    obj = F.from_json(raw, "vote string, confidence string, sentiment string, trace_steps string")
+    vote = F.upper(F.coalesce(obj["vote"], F.lit("")))
+    confidence, sentiment = obj["confidence"].try_cast("double"), obj["sentiment"].try_cast("double")
+    steps = F.regexp_replace(F.coalesce(obj["trace_steps"], F.lit("[1,2,3,4]")), r"\s", "")
     reason = (
-        F.when(content.isNull() | (F.trim(content) == ""), "empty")
+        F.when(F.length(F.trim(F.coalesce(thinking, F.lit("")))) < 50, "empty-thinking")
         .when(raw == "", "no-json-vote")
-        .when(obj.isNull() | (obj["vote"].isNull() & obj["confidence"].isNull() & obj["sentiment"].isNull()), "json-parse")
-        .when(~F.coalesce(vote.isin("UP", "DOWN", "FLAT"), F.lit(False)), "vote")
-        .when(~F.coalesce(obj["confidence"].between(0, 1), F.lit(False)), "confidence")
-        .when(~F.coalesce(obj["sentiment"].between(-1, 1), F.lit(False)), "sentiment")
+        .when(F.try_parse_json(raw).isNull(), "json-parse")
+        .when(~vote.isin("UP", "DOWN", "FLAT"), F.concat(F.lit("bad-vote:"), vote))
+        .when(confidence.isNull() | sentiment.isNull() | F.isnan(confidence) | F.isnan(sentiment), "bad-numbers")
+        .when(~sentiment.between(-1, 1) | ~confidence.between(0, 1), "out-of-range")
+        .when(steps != "[1,2,3,4]", "bad-trace-steps")
+        .when(((vote == "UP") & (sentiment < 0)) | ((vote == "DOWN") & (sentiment > 0)) | ((vote == "FLAT") & (F.abs(sentiment) >= 0.5)), "sign-mismatch")
+        .otherwise("")
     )
-    return F.struct(vote.alias("vote"), obj["confidence"].alias("confidence"), obj["sentiment"].alias("sentiment"), reason.alias("reason"))
+    valid = lambda c: F.when(reason == "", c)
+    return F.struct(valid(vote).alias("vote"), valid(confidence).alias("confidence"), valid(sentiment).alias("sentiment"), reason.alias("reason"))
 
 
 def sentiment_value(score: Column, label: Column) -> Column:
     """The number if there is one, else 1, -1 or 0 by the label, else 0."""
-    by_label = F.when(F.lower(F.trim(label)).isin("positive", "bullish"), 1.0).when(F.lower(F.trim(label)).isin("negative", "bearish"), -1.0)
+    by_label = F.when(F.lower(label) == "positive", 1.0).when(F.lower(label) == "negative", -1.0)
     return F.coalesce(score.try_cast("double"), by_label, F.lit(0.0))
 
 

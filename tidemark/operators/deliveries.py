@@ -66,16 +66,21 @@ class DeliveryStore:
         return self.spark.read.schema(self.SCHEMA).parquet(*self.runs)
 
 
-def first_deliveries(deliveries: DataFrame, waves: int = 2) -> DataFrame:
+def first_deliveries(deliveries: DataFrame, periods: int = 2) -> DataFrame:
     """(key, delivered_at, msg_id) of the first delivery of each identifier.
 
-    The table is upserted in ``waves`` batches of its delivery numbers, as a
-    stream of batches would be, and compacted once.
+    The table is upserted as ``periods`` batches, one for each stretch of
+    delivery times, as a stream of batches would be, and compacted once.
+    Messages without a time come with the last batch.
     """
     store = DeliveryStore(deliveries.sparkSession)
-    narrow = deliveries.select("case_id", "delivered_at", "msg_id")
-    for wave in range(waves):
-        store.upsert(narrow.where(F.pmod(F.xxhash64("msg_id"), F.lit(waves)) == wave))
+    narrow = deliveries.select("case_id", F.col("delivered_at").cast("timestamp").alias("delivered_at"), "msg_id")
+    first, last = narrow.agg(F.min("delivered_at"), F.max("delivered_at")).first()
+    cuts = [first + (last - first) * k / periods for k in range(1, periods)] if first is not None else []
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        late = F.lit(True) if high is None else F.col("delivered_at") < F.lit(high)
+        early = F.lit(True) if low is None else F.col("delivered_at").isNull() | (F.col("delivered_at") >= F.lit(low))
+        store.upsert(narrow.where(early & late))
     return store.compact().select("key", "delivered_at", "msg_id")
 
 

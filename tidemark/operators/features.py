@@ -30,8 +30,8 @@ def price_features(bars: DataFrame) -> DataFrame:
     c = F.col("close")
     out = bars.withColumn("ret_1", W.change(c))
     out = out.withColumns({f"ret_{w}": W.change(c, w) for w in (3, 5, 10, 20, 60)})
-    out = out.withColumns({f"sma_ratio_{w}": F.try_divide(c, W.rolling_mean(c, w)) - 1 for w in (5, 10, 20, 50)})
-    out = out.withColumns({f"volatility_{w}": W.rolling_std(F.col("ret_1"), w) * F.sqrt(F.lit(252.0)) for w in (5, 10, 20)})
+    out = out.withColumns({f"sma_ratio_{w}": F.try_divide(c, W.rolling_mean(c, w)) - 1 for w in (5, 10, 20, 50, 100, 200)})
+    out = out.withColumns({f"volatility_{w}": W.rolling_std(F.col("ret_1"), w) * F.sqrt(F.lit(252.0)) for w in (5, 10, 20, 60)})
     mean, std = W.rolling_mean(c, 20), W.rolling_std(c, 20)
     return out.withColumns(
         {
@@ -95,34 +95,42 @@ def lagged_publication(panel: DataFrame, published: DataFrame, values: list[str]
     ).drop(*values)
 
 
-def macro_features(panel: DataFrame, macro: DataFrame, columns: list[str]) -> DataFrame:
+def macro_features(panel: DataFrame, macro: DataFrame, columns: list[str], index: str | None = None) -> DataFrame:
     """Macro series on each symbol's sessions: matched by exact date, carried forward, and shifted by one session.
 
-    A macro date that is no session of the symbol is lost, not carried.
+    A macro date that is no session of the symbol is lost, not carried. With an
+    ``index`` among the columns, asset_minus_index_ret20 is the symbol's return
+    over twenty sessions less the index's, a session late as well.
     """
-    # One row a date: broadcast is safe for any calendar, yet left to the optimizer.
     joined = panel.join(macro.select("ts", *columns), "ts", "left")
     filled = joined.withColumns({c: W.forward_fill(F.col(c)) for c in columns})
+    filled = filled.withColumns({f"__{c}_step": W.change(F.col(c)) for c in columns})
     derived = {}
     for c in columns:
         x = F.col(c)
-        derived |= {f"__{c}": x, f"__{c}_ret5": W.change(x, 5), f"__{c}_ret20": W.change(x, 20), f"__{c}_z60": W.zscore(x, 60, 20)}
+        derived |= {f"__{c}": x, f"__{c}_ret5": W.change(x, 5), f"__{c}_ret20": W.change(x, 20), f"__{c}_z60": W.zscore(x, 60, 20), f"__{c}_vol20": W.rolling_std(F.col(f"__{c}_step"), 20)}
+    if index:
+        derived["__asset_minus_index_ret20"] = W.change(F.col("close"), 20) - W.change(F.col(index), 20)
     staged = filled.withColumns(derived)
     lag = {name[2:] + "_lag1": F.lag(name).over(W.series()) for name in derived}
-    return staged.withColumns(lag).drop(*derived, *columns)
+    return staged.withColumns(lag).drop(*derived, *columns, *[f"__{c}_step" for c in columns])
 
 
 def regime_features(panel: DataFrame, level: str) -> DataFrame:
-    """Flags, one session late, of a level above its trailing third quartile and above its trailing mean; with its five-session change."""
+    """Regimes of a level, a session late: above its trailing third quartile, above its trailing mean, and its five-session return.
+
+    The high regime of the first session is unknown, the bull regime is 0 there.
+    """
     x = F.col(level)
     out = panel.withColumns(
         {
             "__high": flag(x > W.rolling_quantile(x, 252, 0.75, 60)),
             "__bull": flag(x > W.rolling_mean(x, 200, 60)),
-            "__chg": x - F.lag(level, 5).over(W.series()),
+            "__chg": W.change(x, 5),
         }
     )
-    return out.withColumns({f"{level}_high_regime": F.lag("__high").over(W.series()), f"{level}_bull_regime": F.lag("__bull").over(W.series()), f"{level}_change_5": F.lag("__chg").over(W.series())}).drop("__high", "__bull", "__chg")
+    late = lambda c: F.lag(c).over(W.series())
+    return out.withColumns({f"{level}_high_regime": late("__high"), f"{level}_bull_regime": F.coalesce(late("__bull"), F.lit(0.0)), f"{level}_change_5": late("__chg")}).drop("__high", "__bull", "__chg")
 
 
 def expiry_week(panel: DataFrame, weekday: int = 3) -> DataFrame:
@@ -134,26 +142,43 @@ def expiry_week(panel: DataFrame, weekday: int = 3) -> DataFrame:
 
 
 def calendar_features(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """Month, quarter, ISO week, weekday with its circle, fiscal quarter and year (from April), and month bounds."""
+    """Month, quarter, ISO week, weekday (Monday is 0), circles of month and quarter, fiscal quarter and year (from April), bounds, and the months in which results come."""
     d = F.col(ts)
-    month, dow = F.month(d), F.weekday(d)
+    month, quarter = F.month(d), F.quarter(d)
     return df.withColumns(
         {
-            "month": month,
-            "quarter": F.quarter(d),
-            "iso_week": F.weekofyear(d),
-            "dow": dow,
-            "dow_sin": F.sin(2 * F.pi() * dow / 5),
-            "dow_cos": F.cos(2 * F.pi() * dow / 5),
-            "fiscal_quarter": (F.floor((month + 8) % 12 / 3) + 1).cast("int"),
-            "fiscal_year": F.year(d) + F.when(month >= 4, 1).otherwise(0),
+            "calendar_month": month,
+            "calendar_quarter": quarter,
+            "calendar_weekofyear": F.weekofyear(d),
+            "calendar_dayofweek": F.weekday(d),
+            "calendar_month_sin": F.sin(2 * F.pi() * month / 12),
+            "calendar_month_cos": F.cos(2 * F.pi() * month / 12),
+            "calendar_quarter_sin": F.sin(2 * F.pi() * quarter / 4),
+            "calendar_quarter_cos": F.cos(2 * F.pi() * quarter / 4),
+            "fiscal_quarter": F.quarter(F.add_months(d, -3)),
+            "fiscal_year": F.year(F.add_months(d, 9)),
             "days_to_month_end": F.datediff(F.last_day(d), d),
-            "is_month_start": flag(F.dayofmonth(d) == 1),
-            "is_month_end": flag(d == F.last_day(d)),
+            "is_quarter_end": ((d == F.last_day(d)) & (month % 3 == 0)).cast("int"),
+            "is_month_end": (d == F.last_day(d)).cast("int"),
+            "is_month_start": (F.dayofmonth(d) == 1).cast("int"),
+            "earnings_season_proxy": (month % 3 == 1).cast("int"),
         }
     )
 
 
+# Columns that trend by nature, and marks of transformed macro columns that don't.
+LEVEL_COLUMNS = ["open", "high", "low", "close", "adj_close", "adjclose", "volume", "obv", "turnover_cr_proxy", "turnover_lacs", "no_trades", "ttl_qty", "delivery_qty"]
+MACRO_MARKS = ["_ret", "_z", "_vol", "_regime", "_change", "asset_minus"]
+
+
+def drift_columns(df: DataFrame) -> list[str]:
+    """Numeric columns that can drift: no levels, no calendar, no raw macro levels."""
+    numeric = [c for c, t in df.dtypes if t in ("double", "float", "int", "bigint", "smallint", "tinyint") or t.startswith("decimal")]
+    clock = lambda c: c.startswith(("calendar_", "fiscal_", "is_month_", "is_quarter_")) or c in ("days_to_month_end", "earnings_season_proxy")
+    raw = lambda c: c.startswith("macro_") and not any(m in c for m in MACRO_MARKS)
+    return [c for c in numeric if not (c.lower() in LEVEL_COLUMNS or clock(c.lower()) or raw(c))]
+
+
 def rank_features(panel: DataFrame, columns: list[str]) -> DataFrame:
     """Percentile rank of each column across the symbols of a session."""
     return panel.withColumns({f"{c}_xs_rank": W.percentile_rank(F.col(c), "ts") for c in columns})

@@ -5,6 +5,8 @@ All frames of one entity share one specification, so Catalyst plans one sort for
 
 from __future__ import annotations
 
+import itertools
+import operator
 from collections.abc import Iterable
 
 import numpy as np
@@ -116,13 +118,13 @@ def _ewm(x: np.ndarray, alpha: float) -> np.ndarray:
 
 
 def fractional_weights(d: float, threshold: float = 1e-5, most: int = 200) -> list[float]:
-    """Binomial weights of a fractional difference, down to ``threshold``."""
-    weights = [1.0]
-    for k in range(1, most):
-        w = -weights[-1] * (d - k + 1) / k
-        if abs(w) < threshold:
-            break
+    """Binomial weights of a fractional difference, up to the first one below ``threshold``."""
+    series_of = itertools.accumulate((1.0 - (d + 1.0) / k for k in range(1, most)), operator.mul, initial=1.0)
+    weights = []
+    for w in series_of:
         weights.append(w)
+        if abs(w) < threshold:
+            return weights
     return weights
 
 

@@ -158,7 +158,7 @@ def article_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "news_articles").select("ingest_id", T.article_id(F.col("source"), F.col("title"), F.col("published_utc")).alias("id"))
 
 
-@query("SELECT ingest_id, coalesce(sentiment, CASE WHEN lower(trim(sentiment_label)) IN ('positive', 'bullish') THEN 1.0 WHEN lower(trim(sentiment_label)) IN ('negative', 'bearish') THEN -1.0 END, 0.0) AS value FROM news_articles")
+@query("SELECT ingest_id, coalesce(sentiment, CASE lower(sentiment_label) WHEN 'positive' THEN 1.0 WHEN 'negative' THEN -1.0 END, 0.0) AS value FROM news_articles")
 def sentiment_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "news_articles").select("ingest_id", T.sentiment_value(F.col("sentiment").cast("string"), F.col("sentiment_label")).alias("value"))
 
@@ -168,25 +168,29 @@ def case_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "harness_results").select("msg_id", T.case_parts(F.col("case_id")).alias("p")).select("msg_id", "p.*")
 
 
-_RX = r"(\{[^{}]*\"vote\"[^{}]*\})"
-
-
 @query(
-    r"""WITH r AS (SELECT msg_id, content, regexp_extract(content, '(\{[^{}]*"vote"[^{}]*\})', 1) AS raw FROM harness_results),
-    o AS (SELECT *, CASE WHEN json_valid(raw) AND raw <> '' THEN upper(trim(json_extract_string(raw, '$.vote'))) END AS vote, CASE WHEN json_valid(raw) AND raw <> '' THEN TRY_CAST(json_extract_string(raw, '$.confidence') AS DOUBLE) END AS confidence, CASE WHEN json_valid(raw) AND raw <> '' THEN TRY_CAST(json_extract_string(raw, '$.sentiment') AS DOUBLE) END AS sentiment FROM r)
-    SELECT msg_id, vote, confidence, sentiment, CASE WHEN content IS NULL OR trim(content) = '' THEN 'empty' WHEN raw = '' THEN 'no-json-vote' WHEN vote IS NULL AND confidence IS NULL AND sentiment IS NULL THEN 'json-parse'
-      WHEN NOT coalesce(vote IN ('UP', 'DOWN', 'FLAT'), false) THEN 'vote' WHEN NOT coalesce(confidence BETWEEN 0 AND 1, false) THEN 'confidence' WHEN NOT coalesce(sentiment BETWEEN -1 AND 1, false) THEN 'sentiment' END AS reason FROM o"""
+    r"""WITH r AS (SELECT msg_id, coalesce(thinking, '') AS thinking, regexp_extract(coalesce(content, ''), '(\{[^{}]*"vote"[^{}]*\})', 1, 's') AS raw FROM harness_results),
+    o AS (SELECT *, json_valid(raw) AND raw <> '' AS ok, CASE WHEN json_valid(raw) AND raw <> '' THEN raw END AS j FROM r),
+    v AS (SELECT *, upper(coalesce(json_extract_string(j, '$.vote'), '')) AS vote, TRY_CAST(json_extract_string(j, '$.confidence') AS DOUBLE) AS confidence, TRY_CAST(json_extract_string(j, '$.sentiment') AS DOUBLE) AS sentiment, replace(coalesce(json_extract_string(j, '$.trace_steps'), '[1,2,3,4]'), ' ', '') AS steps FROM o),
+    w AS (SELECT *, CASE WHEN length(trim(thinking)) < 50 THEN 'empty-thinking' WHEN raw = '' THEN 'no-json-vote' WHEN NOT ok THEN 'json-parse' WHEN vote NOT IN ('UP', 'DOWN', 'FLAT') THEN 'bad-vote:' || vote
+      WHEN confidence IS NULL OR sentiment IS NULL THEN 'bad-numbers' WHEN NOT (sentiment BETWEEN -1 AND 1 AND confidence BETWEEN 0 AND 1) THEN 'out-of-range' WHEN steps <> '[1,2,3,4]' THEN 'bad-trace-steps'
+      WHEN vote = 'UP' AND sentiment < 0 OR vote = 'DOWN' AND sentiment > 0 OR vote = 'FLAT' AND abs(sentiment) >= 0.5 THEN 'sign-mismatch' ELSE '' END AS reason FROM v)
+    SELECT msg_id, CASE WHEN reason = '' THEN vote END AS vote, CASE WHEN reason = '' THEN confidence END AS confidence, CASE WHEN reason = '' THEN sentiment END AS sentiment, reason FROM w"""
 )
 def rated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "harness_results").select("msg_id", T.rated_answer(F.col("content")).alias("r")).select("msg_id", "r.*")
+    return table(spark, sf_dir, "harness_results").select("msg_id", T.rated_answer(F.col("content"), F.col("thinking")).alias("r")).select("msg_id", "r.*")
 
 
-@query(
-    r"""SELECT doc_id, regexp_matches(text, '(?i)\b(next day|following session|subsequently|went on to)\b') AS outcome, regexp_matches(text, '(?i)\b(closed (up|down|higher|lower)|rallied|slumped)\b') AS price_move FROM documents"""
-)
-def leak_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", T.leak_hits(F.col("text"), F.col("published_on")).alias("h"))
-    return d.select("doc_id", F.coalesce(F.array_contains("h", "outcome"), F.lit(False)).alias("outcome"), F.coalesce(F.array_contains("h", "price_move"), F.lit(False)).alias("price_move"))
+def _leak_sql() -> str:
+    one = lambda p: f"len(regexp_extract_all(t, '(?i){p}'))" if p != T._ISO_DATE else f"len(list_filter(regexp_extract_all(t, '{p}'), lambda d: coalesce(TRY_CAST(d AS DATE) > decision_date, true)))"
+    counts = ", ".join(f"CAST({' + '.join(map(one, patterns))} AS INTEGER) AS {name}" for name, patterns in T.LEAK_PATTERNS.items())
+    return f"WITH x AS (SELECT msg_id, decision_date, concat_ws(' ', thinking, content) AS t FROM harness_results) SELECT msg_id, {counts} FROM x"
+
+
+@query(_leak_sql())
+def leak_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = table(spark, sf_dir, "harness_results")
+    return h.select("msg_id", *[c.alias(n) for n, c in T.leak_counts(F.concat_ws(" ", "thinking", "content"), F.col("decision_date")).items()])
 
 
 @query("WITH o AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS a, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 30 AS INTEGER) AS b FROM orders) SELECT o_orderkey, CAST((SELECT count(*) FROM unnest(generate_series(a + 1, b, INTERVAL 1 DAY)) t(d) WHERE isodow(d) <= 5) AS INTEGER) AS n FROM o")

@@ -62,7 +62,7 @@ def _chg(x: str, k: int = 1) -> str:
     return f"({x} / nullif({_lag(x, k)}, 0) - 1)"
 
 
-_PRICE = ["ret_1", "ret_3", "ret_5", "ret_10", "ret_20", "ret_60", "sma_ratio_5", "sma_ratio_10", "sma_ratio_20", "sma_ratio_50", "volatility_5", "volatility_10", "volatility_20", "range_ratio", "body_ratio", "gap_ratio", "bollinger_position", "bollinger_width"]
+_PRICE = ["ret_1", "ret_3", "ret_5", "ret_10", "ret_20", "ret_60", "sma_ratio_5", "sma_ratio_10", "sma_ratio_20", "sma_ratio_50", "sma_ratio_100", "sma_ratio_200", "volatility_5", "volatility_10", "volatility_20", "volatility_60", "range_ratio", "body_ratio", "gap_ratio", "bollinger_position", "bollinger_width"]
 _RET = f"r AS (SELECT *, {_chg('close')} AS ret_1 FROM bars)"
 
 
@@ -71,8 +71,8 @@ _RET = f"r AS (SELECT *, {_chg('close')} AS ret_1 FROM bars)"
         [*BARS, _RET],
         "SELECT symbol, ts, ret_1, "
         + ", ".join(f"{_chg('close', w)} AS ret_{w}" for w in (3, 5, 10, 20, 60))
-        + ", " + ", ".join(f"close / ({_mean('close', w)}) - 1 AS sma_ratio_{w}" for w in (5, 10, 20, 50))
-        + ", " + ", ".join(f"({_std('ret_1', w)}) * sqrt(252) AS volatility_{w}" for w in (5, 10, 20))
+        + ", " + ", ".join(f"close / ({_mean('close', w)}) - 1 AS sma_ratio_{w}" for w in (5, 10, 20, 50, 100, 200))
+        + ", " + ", ".join(f"({_std('ret_1', w)}) * sqrt(252) AS volatility_{w}" for w in (5, 10, 20, 60))
         + f""", (high - low) / nullif(close, 0) AS range_ratio, (close - open) / nullif(open, 0) AS body_ratio, open / nullif({_lag('close')}, 0) - 1 AS gap_ratio,
         (close - ({_mean('close', 20)})) / nullif(2 * ({_std('close', 20)}), 0) AS bollinger_position, 4 * ({_std('close', 20)}) / nullif({_mean('close', 20)}, 0) AS bollinger_width FROM r""",
         ["symbol", "ts"], _PRICE,
@@ -133,30 +133,32 @@ _FRAC = W.fractional_weights(0.4, most=30)
 
 @query(
     sql(
-        [*BARS],
-        f"SELECT symbol, ts, CASE WHEN count(close) {_n(len(_FRAC))} = {len(_FRAC)} THEN " + " + ".join(f"{w!r} * {_lag('close', k) if k else 'close'}" for k, w in enumerate(_FRAC)) + " END AS frac FROM bars",
-        ["symbol", "ts"], ["frac"],
+        [V.BARS_SQL, "lc AS (SELECT symbol, ts, ln(nullif(close, 0)) AS x FROM bars)", f"fr AS (SELECT symbol, ts, CASE WHEN count(x) {_n(len(_FRAC))} = {len(_FRAC)} THEN " + " + ".join(f"{w!r} * {_lag('x', k) if k else 'x'}" for k, w in enumerate(_FRAC)) + " END AS v FROM lc)"],
+        f"SELECT symbol, ts, {_lag('v')} AS frac FROM fr", ["symbol", "ts"], ["frac"],
     )
 )
 def fractional_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = V.bars(spark, sf_dir)
-    return rounded(b.select("symbol", "ts", W.fractional_difference(F.col("close"), _FRAC).alias("frac")))
+    logs = b.select("symbol", "ts", F.ln(F.nullif("close", F.lit(0.0))).alias("x"))
+    diff = logs.select("symbol", "ts", W.fractional_difference(F.col("x"), _FRAC).alias("v"))
+    return rounded(diff.select("symbol", "ts", F.lag("v").over(W.series()).alias("frac")))
 
 
-_MAC = [f"{c}{s}_lag1" for c in V.MACRO for s in ("", "_ret5", "_ret20", "_z60")]
+_MAC = [*[f"{c}{s}_lag1" for c in V.MACRO for s in ("", "_ret5", "_ret20", "_z60", "_vol20")], "asset_minus_index_ret20_lag1"]
 
 
 @query(
     sql(
-        [*BARS, V.MACRO_SQL, f"f AS (SELECT symbol, ts, {', '.join(f'last({c} IGNORE NULLS) OVER ({W_} ROWS UNBOUNDED PRECEDING) AS {c}' for c in V.MACRO)} FROM bars LEFT JOIN macro USING (ts))",
-         "g AS (SELECT symbol, ts, " + ", ".join(f"{c}, {_chg(c, 5)} AS {c}_ret5, {_chg(c, 20)} AS {c}_ret20, {_z(c, 60, 20)} AS {c}_z60" for c in V.MACRO) + " FROM f)"],
+        [*BARS, V.MACRO_SQL, f"f AS (SELECT symbol, ts, close, {', '.join(f'last({c} IGNORE NULLS) OVER ({W_} ROWS UNBOUNDED PRECEDING) AS {c}' for c in V.MACRO)} FROM bars LEFT JOIN macro USING (ts))",
+         "f2 AS (SELECT *, " + ", ".join(f"{_chg(c)} AS {c}_step" for c in V.MACRO) + " FROM f)",
+         "g AS (SELECT symbol, ts, " + ", ".join(f"{c}, {_chg(c, 5)} AS {c}_ret5, {_chg(c, 20)} AS {c}_ret20, {_z(c, 60, 20)} AS {c}_z60, {_std(c + '_step', 20)} AS {c}_vol20" for c in V.MACRO) + f", {_chg('close', 20)} - {_chg('m_high', 20)} AS asset_minus_index_ret20 FROM f2)"],
         "SELECT symbol, ts, " + ", ".join(f"{_lag(m[:-5])} AS {m}" for m in _MAC) + " FROM g",
         ["symbol", "ts"], _MAC,
     )
 )
 def macro_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    panel = V.bars(spark, sf_dir).select("symbol", "ts")
-    return rounded(X.macro_features(panel, V.macro(spark, sf_dir), V.MACRO).select("symbol", "ts", *_MAC))
+    panel = V.bars(spark, sf_dir).select("symbol", "ts", "close")
+    return rounded(X.macro_features(panel, V.macro(spark, sf_dir), V.MACRO, "m_high").select("symbol", "ts", *_MAC))
 
 
 _REG = ["close_high_regime", "close_bull_regime", "close_change_5"]
@@ -164,8 +166,8 @@ _REG = ["close_high_regime", "close_bull_regime", "close_change_5"]
 
 @query(
     sql(
-        [*BARS, f"g AS (SELECT symbol, ts, CASE WHEN close > ({_full('close', 252, f'quantile_cont(close, 0.75) {_n(252)}', 60)}) THEN 1.0 ELSE 0.0 END AS h, CASE WHEN close > ({_mean('close', 200, 60)}) THEN 1.0 ELSE 0.0 END AS b, close - {_lag('close', 5)} AS c FROM bars)"],
-        f"SELECT symbol, ts, {_lag('h')} AS close_high_regime, {_lag('b')} AS close_bull_regime, {_lag('c')} AS close_change_5 FROM g",
+        [*BARS, f"g AS (SELECT symbol, ts, CASE WHEN close > ({_full('close', 252, f'quantile_cont(close, 0.75) {_n(252)}', 60)}) THEN 1.0 ELSE 0.0 END AS h, CASE WHEN close > ({_mean('close', 200, 60)}) THEN 1.0 ELSE 0.0 END AS b, {_chg('close', 5)} AS c FROM bars)"],
+        f"SELECT symbol, ts, {_lag('h')} AS close_high_regime, coalesce({_lag('b')}, 0) AS close_bull_regime, {_lag('c')} AS close_change_5 FROM g",
         ["symbol", "ts"], _REG,
     )
 )
@@ -185,13 +187,17 @@ def expiry_week(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.expiry_week(days).select("symbol", "ts", "expiry_week")
 
 
+_CAL_INT = ["calendar_month", "calendar_quarter", "calendar_weekofyear", "calendar_dayofweek", "fiscal_quarter", "fiscal_year", "days_to_month_end", "is_quarter_end", "is_month_end", "is_month_start", "earnings_season_proxy"]
+
+
 @query(
     sql(
         ["d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS ts FROM orders)"],
-        """SELECT ts, CAST(month(ts) AS INTEGER) AS month, CAST(quarter(ts) AS INTEGER) AS quarter, CAST(week(ts) AS INTEGER) AS iso_week, CAST(isodow(ts) - 1 AS INTEGER) AS dow, sin(2 * pi() * (isodow(ts) - 1) / 5) AS dow_sin, cos(2 * pi() * (isodow(ts) - 1) / 5) AS dow_cos,
+        """SELECT ts, CAST(month(ts) AS INTEGER) AS calendar_month, CAST(quarter(ts) AS INTEGER) AS calendar_quarter, CAST(week(ts) AS INTEGER) AS calendar_weekofyear, CAST(isodow(ts) - 1 AS INTEGER) AS calendar_dayofweek,
+        sin(2 * pi() * month(ts) / 12) AS calendar_month_sin, cos(2 * pi() * month(ts) / 12) AS calendar_month_cos, sin(2 * pi() * quarter(ts) / 4) AS calendar_quarter_sin, cos(2 * pi() * quarter(ts) / 4) AS calendar_quarter_cos,
         CAST((month(ts) + 8) % 12 // 3 + 1 AS INTEGER) AS fiscal_quarter, CAST(year(ts) + CASE WHEN month(ts) >= 4 THEN 1 ELSE 0 END AS INTEGER) AS fiscal_year, CAST(date_diff('day', ts, last_day(ts)) AS INTEGER) AS days_to_month_end,
-        CASE WHEN day(ts) = 1 THEN 1.0 ELSE 0.0 END AS is_month_start, CASE WHEN ts = last_day(ts) THEN 1.0 ELSE 0.0 END AS is_month_end FROM d""",
-        ["ts", "month", "quarter", "iso_week", "dow", "fiscal_quarter", "fiscal_year", "days_to_month_end"], ["dow_sin", "dow_cos", "is_month_start", "is_month_end"],
+        CAST(ts = last_day(ts) AND month(ts) IN (3, 6, 9, 12) AS INTEGER) AS is_quarter_end, CAST(ts = last_day(ts) AS INTEGER) AS is_month_end, CAST(day(ts) = 1 AS INTEGER) AS is_month_start, CAST(month(ts) IN (1, 4, 7, 10) AS INTEGER) AS earnings_season_proxy FROM d""",
+        ["ts", *_CAL_INT], ["calendar_month_sin", "calendar_month_cos", "calendar_quarter_sin", "calendar_quarter_cos"],
     )
 )
 def calendar_features(spark: SparkSession, sf_dir: str) -> DataFrame:
