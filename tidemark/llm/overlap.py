@@ -2,12 +2,14 @@
 
 Texts become arrays of word hashes, and equal arrays one class. Two classes are
 the same text if few words were changed, added or dropped. Every evaluation
-class of L words is cut into k + 1 + SPARE segments of equal length, k being
-the most edits that a match may have. An edit touches at most one segment, so
-at least SPARE + 1 segments of an evaluation class stand unchanged in each of
-its matches, shifted by k words at most. Training classes offer every substring
-of those lengths; the join on its hash and position finds the pairs that share
-enough segments, and banded dynamic programming decides each.
+class of L words is cut into k + 1 + SPARE + COMMON segments of equal length,
+k being the most edits that a match may have. The COMMON segments that would
+make the most pairs are left out: they are the phrases that a large part of all
+texts may share. An edit touches at most one segment, so at least SPARE + 1 of
+the others stand unchanged in each match, shifted by k words at most. Training
+classes offer every substring of those lengths; the join on its hash and
+position finds the pairs that share enough segments, and banded dynamic
+programming decides each.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.scratch import materialize
@@ -28,6 +30,8 @@ WORDS_PER_EDIT = 10
 REMARK = 2
 #: Segments beyond those that the most edits can touch. More of them ask for more shared segments, but shorter ones.
 SPARE = 1
+#: Further segments of a text, those with the most pairs, that are left out: phrases that very many texts share.
+COMMON = 4
 #: Bits of the filter of evaluation segments; a fuller filter lets more substrings pass and loses none.
 FILTER_BITS = 1 << 26
 
@@ -64,7 +68,11 @@ def most_edits(n_words):
 
 
 def _segment_length(n_words: int) -> int:
-    return max(1, n_words // (most_edits(n_words) + 1 + SPARE))
+    return max(1, n_words // _pieces(n_words))
+
+
+def _pieces(n_words: int) -> int:
+    return most_edits(n_words) + 1 + SPARE + COMMON
 
 
 def _rolling(codes: np.ndarray, width: int) -> np.ndarray:
@@ -94,9 +102,8 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if n == 0:
                 continue
             width = _segment_length(n)
-            pieces = most_edits(n) + 1 + SPARE
             rolled = _rolling(codes, width)
-            at = np.arange(min(pieces, n // width)) * width
+            at = np.arange(min(_pieces(n), n // width)) * width
             parts.append(pd.DataFrame({"seg": rolled[at].view(np.int64), "width": width, "cls": cls, "no": np.arange(len(at)), "at": at, "n": n}))
         yield pd.concat(parts) if parts else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("seg", "width", "cls", "no", "at", "n")})
 
@@ -232,13 +239,20 @@ def matching_classes(classes: DataFrame) -> DataFrame:
     widths = {r["width"]: (r["low"], r["high"]) for r in segments.groupBy("width").agg(F.min("n").alias("low"), F.max("n").alias("high")).collect()}
     filter_bc, widths_bc = spark.sparkContext.broadcast(bits.tobytes()), spark.sparkContext.broadcast(widths)
 
-    offered = training.mapInPandas(_offer(filter_bc, widths_bc), "seg long, width int, cls long, at int, n int").withColumnsRenamed({"cls": "cls_t", "at": "at_t", "n": "n_t"})
-    cut = segments.withColumnsRenamed({"cls": "cls_e", "at": "at_e", "n": "n_e"})
+    offered = materialize(training.mapInPandas(_offer(filter_bc, widths_bc), "seg long, width int, cls long, at int, n int").withColumnsRenamed({"cls": "cls_t", "at": "at_t", "n": "n_t"}), "offered")
+    in_train = offered.groupBy("seg", "width").agg(F.count(F.lit(1)).alias("ft"))
+    in_eval = segments.groupBy("seg", "width").agg(F.count(F.lit(1)).alias("fe"))
+    # Segments that no training text has make no pairs and count as left out last.
+    weight = in_eval.join(in_train, ["seg", "width"]).select("seg", "width", (F.col("ft").cast("double") * F.col("fe")).alias("pairs"))
+    weighed = bounded_join(segments, weight, ["seg", "width"], "left", max_rows=0, spread=F.col("cls"))
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc_nulls_last("pairs"), "no"))
+    n_cut = F.count(F.lit(1)).over(Window.partitionBy("cls"))
+    cut = weighed.withColumns({"rank": rank, "n_cut": n_cut}).where((F.col("rank") > F.least(F.lit(COMMON), F.col("n_cut") - 1)) & F.col("pairs").isNotNull())
+    cut = cut.select("seg", "width", "no", F.col("cls").alias("cls_e"), F.col("at").alias("at_e"), F.col("n").alias("n_e"), F.greatest(F.col("n_cut") - COMMON, F.lit(1)).alias("kept"))
     k = F.floor(F.greatest("n_e", "n_t") / WORDS_PER_EDIT) + REMARK
     met = offered.join(cut, ["seg", "width"]).where((F.abs(F.col("at_t") - F.col("at_e")) <= k) & (F.abs(F.col("n_t") - F.col("n_e")) <= k))
-    shared = met.groupBy("cls_e", "cls_t").agg(F.count_distinct("no").alias("shared"), F.max("n_e").alias("n_e"), F.max(k).alias("k"))
-    pieces = F.least(F.floor((F.col("n_e") + REMARK) / (WORDS_PER_EDIT - 1)) + REMARK + 1 + SPARE, F.col("n_e"))
-    pairs = materialize(shared.where((F.col("shared") >= pieces - F.col("k")) & (F.col("cls_e") != F.col("cls_t"))).select("cls_e", "cls_t"), "overlap-pairs")
+    shared = met.groupBy("cls_e", "cls_t").agg(F.count_distinct("no").alias("shared"), F.max("kept").alias("kept"), F.max(k).alias("k"))
+    pairs = materialize(shared.where((F.col("shared") >= F.col("kept") - F.col("k")) & (F.col("cls_e") != F.col("cls_t"))).select("cls_e", "cls_t"), "overlap-pairs")
 
     with_e = pairs.join(evaluation.select(F.col("cls").alias("cls_e"), F.col("codes").alias("codes_e")), "cls_e")
     with_both = with_e.join(training.select(F.col("cls").alias("cls_t"), F.col("codes").alias("codes_t")), "cls_t")
