@@ -145,7 +145,7 @@ def ranked_by_size(pieces: DataFrame) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("capacity", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("part", "capacity", "size", F.coalesce(before, F.lit(0)).alias("before"))
     # One row for each size and partition: partitions hold ranges, so that is sizes plus partitions.
-    return ranged.withColumn("own", F.row_number().over(within) - 1).join(F.broadcast(offsets), ["part", "capacity", "size"]).select(*keys, (F.col("own") + F.col("before")).alias("rank"))
+    return ranged.withColumn("own", F.row_number().over(within) - 1).join(F.broadcast(offsets), ["part", "capacity", "size"]).select(*pieces.columns, (F.col("own") + F.col("before")).alias("rank"))
 
 
 def packed(sizes: DataFrame, capacities: list[int]) -> DataFrame:
@@ -174,13 +174,12 @@ def packed(sizes: DataFrame, capacities: list[int]) -> DataFrame:
     plan = spark.createDataFrame(pd.DataFrame(rows, columns=["capacity", "size", "first_rank", "number", "first_container"]).astype("int64"), "capacity long, size long, first_rank long, number long, first_container long") if rows else spark.createDataFrame([], "capacity long, size long, first_rank long, number long, first_container long")
     # The placements of one size, in order of rank; an item looks its own up by binary search over at most that many.
     book = plan.groupBy("capacity", "size").agg(F.sort_array(F.collect_list(F.struct("first_rank", "number", "first_container"))).alias("book"))
-    ranked = ranked_by_size(pieces.where("size > 0").select("capacity", "size", "item_id", "piece"))
+    ranked = ranked_by_size(pieces.where("size > 0"))
     hit = F.element_at(F.filter("book", lambda b: (b["first_rank"] <= F.col("rank")) & (F.col("rank") < b["first_rank"] + b["number"])), 1)
     placed = ranked.join(F.broadcast(book), ["capacity", "size"]).withColumn("hit", hit)
-    placed = placed.select("capacity", "item_id", "piece", "size", (F.col("hit.first_container") + F.col("rank") - F.col("hit.first_rank")).alias("container"))
-    counted = placed.join(each.select("capacity", "item_id", "n_pieces"), ["capacity", "item_id"])
+    placed = placed.select("capacity", "item_id", "piece", "n_pieces", "size", (F.col("hit.first_container") + F.col("rank") - F.col("hit.first_rank")).alias("container"))
     nothing = pieces.where("size <= 0").select("capacity", "item_id", "piece", "n_pieces", "size", F.lit(None).cast("long").alias("container"))
-    return counted.select("capacity", "item_id", "piece", "n_pieces", "size", "container").unionByName(nothing)
+    return placed.unionByName(nothing)
 
 
 def pack_documents(documents: DataFrame, budgets: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer: str = f"{TOKENIZER_DIR}/{TOKENIZER}") -> DataFrame:
