@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+
+from tidemark.functions.scalars import whole
 from pyspark.sql import types as T
 
 P = ["p_down", "p_flat", "p_up"]
@@ -235,6 +237,6 @@ def trade_page(trades: DataFrame, outcome: str, offset: int, limit: int) -> Data
     """A page of accepted trades, winners or losers, by net; each row has the count and sum of all that match."""
     won = F.col("net") > 0 if outcome == "winners" else F.col("net") < 0
     rows = trades.where(F.col("accepted") & won)
-    total = rows.agg(F.count(F.lit(1)).alias("n_all"), F.sum("net").alias("net_all"))
+    total = whole(rows, n=F.count(F.lit(1)), net=F.sum("net"))
     order = F.desc("net") if outcome == "winners" else F.asc("net")
-    return rows.orderBy(order, "id").offset(offset).limit(limit).select("id", "symbol", "net").crossJoin(F.broadcast(total))
+    return rows.orderBy(order, "id").offset(offset).limit(limit).select("id", "symbol", "net", total["n"].alias("n_all"), total["net"].alias("net_all"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import whole
 from tidemark.operators import windows as W
 
 # Keywords of the event families in announcement subjects.
@@ -296,5 +297,5 @@ def complete_rows(df: DataFrame, features: list[str], may_miss: list[str]) -> Da
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """(label, n, weight): N / (K n) for each of K classes."""
     counts = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("k"))
-    return counts.crossJoin(F.broadcast(total)).select(label, "n", (F.col("total") / (F.col("k") * F.col("n"))).alias("weight"))
+    all_of = whole(counts, total=F.sum("n"), k=F.count(F.lit(1)))
+    return counts.select(label, "n", (all_of["total"] / (all_of["k"] * F.col("n"))).alias("weight"))

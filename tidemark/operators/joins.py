@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import whole
 from tidemark.plans.skew import bounded_join
 
 # Local zone of the exchange and the time after which a text counts for the next day.
@@ -37,18 +38,16 @@ def with_decision_date(events: DataFrame, sessions: DataFrame, published: str =
     Events before the calendar belong to its first session.
     """
     day = decision_day(F.col(published))
-    first = sessions.agg(F.min("session").alias("first"))
-    # One row.
-    keyed = events.crossJoin(F.broadcast(first)).withColumn("__day", F.greatest(day, F.col("first"))).drop("first")
+    keyed = events.withColumn("__day", F.greatest(day, whole(sessions, first=F.min("session"))["first"]))
     lookup = next_session_map(sessions).select(F.col("day").alias("__day"), F.col("session").alias("decision_date"))
     return bounded_join(keyed, lookup, ["__day"], "inner").drop("__day")
 
 
 def with_event_session(events: DataFrame, sessions: DataFrame, published: str = "published_utc") -> DataFrame:
     """``events`` with decision_date, the next session without a cut-off; events after the calendar go to its last session."""
-    ends = sessions.agg(F.min("session").alias("first"), F.max("session").alias("last"))
+    ends = whole(sessions, first=F.min("session"), last=F.max("session"))
     day = F.to_date(F.from_utc_timestamp(F.col(published), LOCAL_ZONE))
-    keyed = events.crossJoin(F.broadcast(ends)).withColumn("__day", F.least(F.greatest(day, F.col("first")), F.col("last"))).drop("first", "last")
+    keyed = events.withColumn("__day", F.least(F.greatest(day, ends["first"]), ends["last"]))
     lookup = next_session_map(sessions).select(F.col("day").alias("__day"), F.col("session").alias("decision_date"))
     return bounded_join(keyed, lookup, ["__day"], "inner").drop("__day")
 
@@ -82,8 +81,8 @@ def interval_join(facts: DataFrame, intervals: DataFrame, entity: str = "symbol"
     Intervals are looked up by entity and year, so that long histories don't
     multiply; the rest is a filter inside the join.
     """
-    horizon = facts.agg(F.min(ts).alias("a"), F.max(ts).alias("z"))
-    bounded = intervals.crossJoin(F.broadcast(horizon)).where(F.coalesce(F.col(end), F.col("z")) >= F.col("a"))
+    horizon = whole(facts, a=F.min(ts), z=F.max(ts))
+    bounded = intervals.withColumns({"a": horizon["a"], "z": horizon["z"]}).where(F.coalesce(F.col(end), F.col("z")) >= F.col("a"))
     years = F.sequence(F.year(F.greatest(F.col(start), F.col("a"))), F.year(F.least(F.coalesce(F.col(end), F.col("z")), F.col("z"))))
     spread = bounded.where(F.greatest(F.col(start), F.col("a")) <= F.least(F.coalesce(F.col(end), F.col("z")), F.col("z"))).select(
         F.col(entity).alias("__e"), F.explode(years).alias("__y"), F.col(start).alias("__from"), F.col(end).alias("__to"), *values

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import whole
+
 VOTES = ["DOWN", "FLAT", "UP"]
 
 
@@ -90,8 +92,8 @@ def progress(ledger: DataFrame, n: int = 50, block: int = 4096) -> DataFrame:
 def value_shares(ledger: DataFrame, column: str, k: int = 12) -> DataFrame:
     """(value, n, share): the k most frequent values, null as ``(missing)``; share is of all rows."""
     counts = ledger.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("(missing)")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.orderBy(F.desc("n"), "value").limit(k).crossJoin(F.broadcast(total)).select("value", "n", (F.col("n") / F.col("total")).alias("share"))
+    total = whole(counts, n=F.sum("n"))
+    return counts.orderBy(F.desc("n"), "value").limit(k).select("value", "n", (F.col("n") / total["n"]).alias("share"))
 
 
 def summary(ledger: DataFrame) -> DataFrame:
@@ -118,9 +120,9 @@ def case_page(ledger: DataFrame, vote: str | None, only_matches: bool | None, of
         rows = rows.where(F.col("vote") == vote)
     if only_matches is not None:
         rows = rows.where(F.col("vote").isNotNull() & ((F.col("vote") == F.col("label")) == only_matches))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
+    total = whole(rows, n=F.count(F.lit(1)))
     page = rows.orderBy(F.desc("decision_date"), F.desc("seq")).offset(offset).limit(limit).select("seq", "case_id", "decision_date", "vote", "label")
-    return page.crossJoin(F.broadcast(total))
+    return page.withColumn("total", total["n"])
 
 
 def stratified(ledger: DataFrame, by: str, quotas: dict[str, int], key: str, seed: int = 7) -> DataFrame:

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import whole
+
 CLASSES = [0, 1, 2]
 
 
@@ -161,8 +163,8 @@ def clustered_bootstrap(pairs: DataFrame, reps: int = 1000, seed: int = 7, day:
         weight = weight + (u > total).cast("int")
     drawn = days.select(day, "delta", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("w", weight)
     means = drawn.groupBy("rep").agg(F.try_divide(F.sum(F.col("w") * F.col("delta")), F.sum("w")).alias("m"))
-    bounds = means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return days.agg(F.count("delta").alias("n_dates"), F.avg("delta").alias("mean_delta")).crossJoin(F.broadcast(bounds))
+    bounds = whole(means, low=F.percentile("m", F.lit(0.025)), high=F.percentile("m", F.lit(0.975)))
+    return days.agg(F.count("delta").alias("n_dates"), F.avg("delta").alias("mean_delta")).select("n_dates", "mean_delta", bounds["low"].alias("low"), bounds["high"].alias("high"))
 
 
 def mcnemar(pairs: DataFrame) -> DataFrame:
@@ -188,9 +190,9 @@ def diebold_mariano(losses: DataFrame, order: str = "ts", loss_a: str = "loss_a"
     ``losses`` has one row a date, so its order needs a single partition.
     """
     d = losses.select(order, (F.col(loss_a) - F.col(loss_b)).alias("d")).where("d is not null")
-    mean = d.agg(F.avg("d").alias("m"), F.count(F.lit(1)).alias("n"))
+    mean = whole(d, m=F.avg("d"), n=F.count(F.lit(1)))
     w = Window.orderBy(order)
-    x = d.crossJoin(F.broadcast(mean)).withColumn("e", F.col("d") - F.col("m"))
+    x = d.withColumns({"m": mean["m"], "n": mean["n"]}).withColumn("e", F.col("d") - F.col("m"))
     x = x.withColumns({f"g{k}": F.col("e") * F.lag("e", k).over(w) for k in range(1, lags + 1)})
     sums = x.agg(F.first("n").alias("n"), F.first("m").alias("m"), F.avg(F.col("e") * F.col("e")).alias("g0"), *[F.avg(f"g{k}").alias(f"g{k}") for k in range(1, lags + 1)])
     var = F.col("g0")
@@ -241,10 +243,9 @@ def segments(rows: DataFrame, segment: Column, least_rows: int = 100, least_date
 
 def quantile_bucket(rows: DataFrame, x: str, k: int, out: str) -> DataFrame:
     """``rows`` with ``out``: which of k quantile bins (lo, hi] holds ``x``, 1 to k; equal edges fall together, ties share a bin."""
-    edges = rows.agg(F.array_distinct(F.percentile(x, F.array(*[F.lit(i / k) for i in range(k + 1)]))).alias("__edges"))
+    edges = whole(rows, edges=F.array_distinct(F.percentile(x, F.array(*[F.lit(i / k) for i in range(k + 1)]))))
     b = F.greatest(F.size(F.filter("__edges", lambda e: e < F.col(x))), F.lit(1))
-    # One row.
-    return rows.crossJoin(F.broadcast(edges)).withColumn(out, F.when(F.col(x).isNotNull(), b)).drop("__edges")
+    return rows.withColumn("__edges", edges["edges"]).withColumn(out, F.when(F.col(x).isNotNull(), b)).drop("__edges")
 
 
 def flips(pairs: DataFrame) -> DataFrame:

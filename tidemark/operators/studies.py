@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import whole
 from tidemark.operators.quality import quantile_bucket
 
 
@@ -176,5 +177,5 @@ def united_cases(sources: list[DataFrame]) -> DataFrame:
 
 def recent_samples(samples: DataFrame, ts: str, seconds: int) -> DataFrame:
     """Samples of the last ``seconds`` before the newest one."""
-    newest = samples.agg(F.max(ts).alias("__max"))
-    return samples.crossJoin(F.broadcast(newest)).where(F.unix_micros("__max") - F.unix_micros(ts) <= seconds * 1_000_000).drop("__max")
+    newest = whole(samples, ts=F.max(ts))
+    return samples.where(F.unix_micros(newest["ts"]) - F.unix_micros(ts) <= seconds * 1_000_000)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.scalars import whole
 from tidemark.operators import features as X
 from tidemark.operators import ingest as I
 from tidemark.operators import joins as J
@@ -253,8 +254,8 @@ _GRID = "g AS (SELECT s.symbol, session AS ts FROM sessions CROSS JOIN (SELECT D
 
 def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of each symbol: a feature panel's rows are wanted for each."""
-    symbols = V.articles(spark, sf_dir).select("symbol").distinct().groupBy().agg(F.collect_set("symbol").alias("s"))
-    return V.sessions(spark, sf_dir).crossJoin(F.broadcast(symbols)).select(F.explode("s").alias("symbol"), F.col("session").alias("ts"))
+    symbols = whole(V.articles(spark, sf_dir), names=F.collect_set("symbol"))
+    return V.sessions(spark, sf_dir).select(F.explode(symbols["names"]).alias("symbol"), F.col("session").alias("ts"))
 
 
 _EVENT_SQL = {f: " OR ".join(f"contains(lower(coalesce(subject, '')), '{w}')" for w in ws) for f, ws in X.EVENT_KEYWORDS.items()}

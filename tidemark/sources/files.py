@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.scalars import whole
+
 
 def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -124,8 +126,11 @@ def trading_calendar(index: DataFrame, value: str = "close", ts: str = "ts") ->
 
 def universe_at(members: DataFrame, days: DataFrame, static: list[str]) -> DataFrame:
     """(day, symbol): members valid on each day, or the static list where there are none."""
-    held = days.join(members, (days["day"] >= members["from"]) & (members["to"].isNull() | (days["day"] <= members["to"])), "left").groupBy("day").agg(F.collect_set("symbol").alias("s"))
-    return held.select("day", F.explode(F.when(F.size("s") > 0, F.col("s")).otherwise(F.array(*map(F.lit, static)))).alias("symbol"))
+    wanted = days.select("day").distinct()
+    span = whole(wanted, a=F.min("day"), z=F.max("day"))
+    clipped = members.select("symbol", F.greatest("from", span["a"]).alias("a"), F.least(F.coalesce("to", span["z"]), span["z"]).alias("z")).where("a <= z")
+    held = clipped.select("symbol", F.explode(F.sequence("a", "z")).alias("day")).join(wanted, "day").groupBy("day").agg(F.collect_set("symbol").alias("s"))
+    return wanted.join(held, "day", "left").select("day", F.explode(F.coalesce("s", F.array(*map(F.lit, static)))).alias("symbol"))
 
 
 def wide_series(rows: DataFrame, names: list[str], value: str = "close") -> DataFrame:
