@@ -97,3 +97,26 @@ def test_article_of(spark):
     texts = [prompt("hello there"), "SYMBOL: X\nVOR T: y\nARTIKEL:\nGuten Tag\nAUFGABE: los", "no lines at all", None, "ARTICLE:\n\nTASK: x"]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(O.article_of(F.col("t")).alias("a")).collect()
     assert [r["a"] for r in rows] == ["hello there", "Guten Tag", "no lines at all", None, ""]
+
+
+def test_a_phrase_that_many_share_pairs_nobody(spark, monkeypatch):
+    """A third of all texts open with the same words; their pairs must not reach the comparison."""
+    rng = random.Random(8)
+    phrase = " ".join(f"p{k}" for k in range(12))
+    rows = []
+    for i in range(1, 901):
+        text = story(rng, 110)
+        rows.append((i, f"c{i}", "train" if i % 2 else "test", "s", prompt(f"{phrase} {text}" if i % 3 == 0 else text), None))
+    rows.append((1001, "x", "test", "s", rows[2][4], None))  # row 3 again
+    seen = {}
+    keep = O.materialize
+
+    def watched(df, label, partition_by=None):
+        out = keep(df, label, partition_by)
+        if label == "overlap-pairs":
+            seen["n"] = out.count()
+        return out
+
+    monkeypatch.setattr(O, "materialize", watched)
+    got = {(r["cand_id_a"], r["cand_id_b"]) for r in O.cross_split_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(3, 1001)} and seen["n"] < 200
