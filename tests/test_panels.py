@@ -127,3 +127,16 @@ def test_lookup_must_be_unique(spark):
 def test_drift_columns(spark):
     df = spark.createDataFrame([], "symbol string, close double, ret_1 double, macro_index double, macro_index_z60 double, calendar_month int, fiscal_year int, days_to_month_end int")
     assert X.drift_columns(df) == ["ret_1", "macro_index_z60"]
+
+
+def test_variants_and_differences(spark, small):
+    from tidemark.sources.views import predictions
+
+    p = predictions(spark, small)
+    rows = {r["variant"]: r for r in D.variants(p, {"base": {}, "one": {"per_day": 1}}).collect()}
+    base = D.curve_figures(D.equity_curve(D.daily_net(D.backtest(p)))).first()
+    assert rows["base"]["sharpe"] == pytest.approx(base["sharpe"]) and rows["one"]["n_accepted"] <= rows["base"]["n_accepted"]
+    same = p.select("id", "actual", F.col("p_up").alias("x"), F.col("p_up").alias("y"))
+    r = G.auc_difference(same, "x", "y", F.col("actual") == 2, reps=5).first()
+    auc = {a["class"]: a["auc"] for a in G.auc_by_class(p, {2: "p_up"}).collect()}[2]
+    assert r["difference"] == 0 and r["se"] == 0 and r["auc_a"] == pytest.approx(auc)

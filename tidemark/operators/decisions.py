@@ -240,3 +240,21 @@ def trade_page(trades: DataFrame, outcome: str, offset: int, limit: int) -> Data
     total = whole(rows, n=F.count(F.lit(1)), net=F.sum("net"))
     order = F.desc("net") if outcome == "winners" else F.asc("net")
     return rows.orderBy(order, "id").offset(offset).limit(limit).select("id", "symbol", "net", total["n"].alias("n_all"), total["net"].alias("net_all"))
+
+
+def variants(predictions: DataFrame, settings: dict[str, dict]) -> DataFrame:
+    """(variant, n_days, total_return, max_drawdown, sharpe, n_accepted) of backtests with other settings.
+
+    A setting may have threshold, cost, max_gross, per_day (most rows of a day
+    by top probability, chosen before acceptance) and only (a row condition).
+    """
+    out = None
+    for name, options in settings.items():
+        o = dict(options)
+        rows = predictions.where(o.pop("only")) if "only" in o else predictions
+        if per_day := o.pop("per_day", None):
+            rows = top_per_day(rows.withColumn("__c", F.greatest(*P)), per_day, "__c").drop("__c")
+        trades = backtest(rows, **o)
+        row = curve_figures(equity_curve(daily_net(trades))).withColumns({"variant": F.lit(name), "n_accepted": trades.agg(F.count_if("accepted")).scalar()})
+        out = row if out is None else out.unionByName(row)
+    return out

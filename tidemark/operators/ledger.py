@@ -170,3 +170,10 @@ def level_pairs(rows: DataFrame, case: str, level: str, value: str, least: int =
 def random_sample(rows: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:
     """n rows, the first by a hash of key and seed."""
     return rows.orderBy(F.sha2(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))), 256), key).limit(n)
+
+
+def keep_rates(ledger: DataFrame, by: str = "label") -> DataFrame:
+    """(by, n, kept, rate, se): share of kept rows of each class with the standard error of a proportion."""
+    g = ledger.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("kept", F.lit(False))).alias("kept"))
+    rate = F.col("kept") / F.col("n")
+    return g.withColumns({"rate": rate, "se": F.sqrt(rate * (1 - rate) / F.col("n"))})

@@ -156,12 +156,7 @@ def clustered_bootstrap(pairs: DataFrame, reps: int = 1000, seed: int = 7, day:
     a hash of date and replicate: the same on every run and cluster.
     """
     days = paired_days(pairs, day)
-    u = (F.pmod(F.xxhash64(F.col(day).cast("string"), F.col("rep"), F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    weight, total = F.lit(0), 0.0
-    for k in range(8):
-        total += math.exp(-1) / math.factorial(k)
-        weight = weight + (u > total).cast("int")
-    drawn = days.select(day, "delta", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("w", weight)
+    drawn = days.select(day, "delta", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("rep")).withColumn("w", poisson_weight(F.col(day), F.col("rep"), seed))
     means = drawn.groupBy("rep").agg(F.try_divide(F.sum(F.col("w") * F.col("delta")), F.sum("w")).alias("m"))
     bounds = whole(means, low=F.percentile("m", F.lit(0.025)), high=F.percentile("m", F.lit(0.975)))
     return days.agg(F.count("delta").alias("n_dates"), F.avg("delta").alias("mean_delta")).select("n_dates", "mean_delta", bounds["low"].alias("low"), bounds["high"].alias("high"))
@@ -336,3 +331,49 @@ def flip_distance(explanations: DataFrame, row: str = "id") -> DataFrame:
     """(row, total, strongest, distance): sum of contributions, the feature with the largest, and whether taking that away would change the sign."""
     g = explanations.groupBy(row).agg(F.sum("contribution").alias("total"), F.max_by(F.struct("feature", "contribution"), F.struct(F.abs("contribution"), "feature")).alias("s"))
     return g.select(row, "total", F.col("s.feature").alias("strongest"), (F.col("total") - F.col("s.contribution")).alias("without_strongest"), (F.signum("total") != F.signum(F.col("total") - F.col("s.contribution"))).alias("flips"))
+
+
+def importance_shares(explanations: DataFrame) -> DataFrame:
+    """(feature, mean_abs, share, rank): mean absolute contribution, its share of the sum over features, and its rank."""
+    m = explanations.groupBy("feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
+    total = whole(m, s=F.sum("mean_abs"))
+    # One row a feature.
+    return m.select("feature", "mean_abs", F.try_divide(F.col("mean_abs"), total["s"]).alias("share"), F.row_number().over(Window.orderBy(F.desc("mean_abs"), "feature")).alias("rank"))
+
+
+def poisson_weight(key: Column, rep: Column, seed: int) -> Column:
+    """Poisson(1) draw of a row in a replicate, by hash: the same on every run and cluster."""
+    u = (F.pmod(F.xxhash64(key.cast("string"), rep, F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
+    weight, total = F.lit(0), 0.0
+    for k in range(8):
+        total += math.exp(-1) / math.factorial(k)
+        weight = weight + (u > total).cast("int")
+    return weight
+
+
+def auc_difference(pairs: DataFrame, score_a: str, score_b: str, positive: Column, key: str = "id", reps: int = 50, seed: int = 7) -> DataFrame:
+    """(auc_a, auc_b, difference, se): areas of two scores on the same rows, and the standard error of their difference over replicates.
+
+    Each replicate weighs rows by a Poisson draw; weighted ranks are prefix sums
+    over the distinct scores of a replicate, so replicates are groups of their own.
+    """
+    rows = pairs.select(key, positive.cast("int").alias("pos"), F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col(score_a).alias("s")), F.struct(F.lit("b").alias("side"), F.col(score_b).alias("s")))).alias("x")).select(key, "pos", "x.*")
+    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("w", F.when(F.col("rep") == 0, 1).otherwise(poisson_weight(F.col(key), F.col("rep"), seed))).where("w > 0")
+    by_score = drawn.groupBy("rep", "side", "s").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("pos")).alias("wp"))
+    upto = F.sum("w").over(Window.partitionBy("rep", "side").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = by_score.withColumn("r", upto - (F.col("w") - 1) / 2)
+    sums = ranked.groupBy("rep", "side").agg(F.sum("wp").alias("p"), F.sum("w").alias("n"), F.sum(F.col("r") * F.col("wp")).alias("rp"))
+    auc = F.try_divide(F.col("rp") - F.col("p") * (F.col("p") + 1) / 2, F.col("p").cast("double") * (F.col("n") - F.col("p")))
+    both = sums.groupBy("rep").agg(F.max(F.when(F.col("side") == "a", auc)).alias("a"), F.max(F.when(F.col("side") == "b", auc)).alias("b"))
+    at = lambda c: F.max(F.when(F.col("rep") == 0, F.col(c)))
+    return both.agg(at("a").alias("auc_a"), at("b").alias("auc_b"), (at("b") - at("a")).alias("difference"), F.stddev_samp(F.when(F.col("rep") > 0, F.col("b") - F.col("a"))).alias("se"))
+
+
+def signal_report(rows: DataFrame, threshold: float) -> DataFrame:
+    """(n, n_signals, signal_accuracy, baseline, edge): directions at or above a probability, against the most frequent class of all rows."""
+    signal = (top_probability() >= threshold) & (F.col("predicted") != 1)
+    right = F.col("actual") == F.col("predicted")
+    n = F.count(F.lit(1))
+    base = F.greatest(*[F.count_if(F.col("actual") == k) for k in CLASSES]) / n
+    acc = F.try_divide(F.count_if(signal & right), F.count_if(signal))
+    return rows.agg(n.alias("n"), F.count_if(signal).alias("n_signals"), acc.alias("signal_accuracy"), base.alias("baseline"), (acc - base).alias("edge"))

@@ -251,3 +251,35 @@ def table_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql([V.LEDGER_SQL, "r AS (SELECT seq, row_number() OVER (ORDER BY sha256(CAST(seq AS VARCHAR) || '|7'), seq) AS r FROM ledger)"], "SELECT seq FROM r WHERE r <= 100", ["seq"]))
 def random_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.random_sample(V.ledger(spark, sf_dir), "seq", 100).select("seq")
+
+
+@query(sql([V.LEDGER_SQL, "k AS (SELECT label, count(*) AS n, count(*) FILTER (kept) AS kept FROM ledger GROUP BY 1)"], "SELECT label, n, kept, kept / n AS rate, sqrt(kept / n * (1 - kept / n) / n) AS se FROM k", ["label", "n", "kept"], ["rate", "se"]))
+def keep_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(K.keep_rates(V.ledger(spark, sf_dir)))
+
+
+@query(sql([*PRED, _EXPL, "m AS (SELECT feature, avg(abs(contribution)) AS mean_abs FROM ex GROUP BY 1)"], "SELECT feature, mean_abs, mean_abs / (SELECT sum(mean_abs) FROM m) AS share, row_number() OVER (ORDER BY mean_abs DESC, feature) AS rank FROM m", ["feature", "rank"], ["mean_abs", "share"]))
+def importance_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.importance_shares(_explained(spark, sf_dir)))
+
+
+@query(sql(PRED, "SELECT count(*) AS n, count(*) FILTER (greatest(p_down, p_flat, p_up) >= 0.5 AND predicted <> 1) AS n_signals, count(*) FILTER (greatest(p_down, p_flat, p_up) >= 0.5 AND predicted <> 1 AND actual = predicted) / nullif(count(*) FILTER (greatest(p_down, p_flat, p_up) >= 0.5 AND predicted <> 1), 0) AS signal_accuracy, greatest(count(*) FILTER (actual = 0), count(*) FILTER (actual = 1), count(*) FILTER (actual = 2)) / count(*) AS baseline, count(*) FILTER (greatest(p_down, p_flat, p_up) >= 0.5 AND predicted <> 1 AND actual = predicted) / nullif(count(*) FILTER (greatest(p_down, p_flat, p_up) >= 0.5 AND predicted <> 1), 0) - greatest(count(*) FILTER (actual = 0), count(*) FILTER (actual = 1), count(*) FILTER (actual = 2)) / count(*) AS edge FROM predictions", ["n", "n_signals"], ["signal_accuracy", "baseline", "edge"]))
+def signal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.signal_report(_pred(spark, sf_dir), 0.5))
+
+
+@query(sql([V.ARTICLES_SQL, V.SESSIONS_SQL, _GRID, "e AS (SELECT DISTINCT symbol, CAST(published_utc AS DATE) AS d FROM articles WHERE subject = 'purchase' AND article_id % 9 = 0)", "l AS (SELECT g.symbol, g.ts, date_diff('day', max(e.d), g.ts) AS days FROM g LEFT JOIN e ON e.symbol = g.symbol AND e.d < g.ts GROUP BY 1, 2)"], "SELECT CASE WHEN days <= 5 THEN '0-5' WHEN days <= 10 THEN '6-10' WHEN days <= 20 THEN '11-20' WHEN days IS NOT NULL THEN '21+' ELSE 'none' END AS proximity, count(*) AS n FROM l GROUP BY 1", ["proximity", "n"]))
+def event_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = V.articles(spark, sf_dir).where("subject = 'purchase' and article_id % 9 = 0").select("symbol", F.to_date("published_utc").alias("ts"))
+    days = J.last_before(_grid(spark, sf_dir), events, "last", strict=True).select(F.datediff("ts", "last").alias("days"))
+    return days.groupBy(H.proximity(F.col("days")).alias("proximity")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def auc_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(G.auc_difference(_pairs(spark, sf_dir), "p_up_a", "p_up_b", F.col("actual_a") == 2))
+
+
+@query()
+def backtest_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(D.variants(_pred(spark, sf_dir), {"base": {}, "strict": {"threshold": 0.5}, "two_a_day": {"per_day": 2}, "few": {"only": "symbol in ('S1', 'S2')"}}))
