@@ -32,6 +32,8 @@ REMARK = 2
 SPARE = 1
 #: Further segments of a text, those with the most pairs, that are left out: phrases that very many texts share.
 COMMON = 4
+#: Texts whose substrings are sent on at once.
+SLICE = 1000
 #: Bits of the filter of evaluation segments; a fuller filter lets more substrings pass and loses none.
 FILTER_BITS = 1 << 26
 
@@ -129,19 +131,26 @@ def _offer(filter_bc, widths_bc):
         widths = widths_bc.value
         passes = lambda h: np.all([(bits[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1) for s in _slots(h)], axis=0)
         for pdf in batches:
-            parts = []
-            for cls, words in zip(pdf["cls"], pdf["codes"]):
-                codes = np.asarray(words, dtype=np.int64).view(np.uint64)
-                n = len(codes)
-                # A text of m words cuts by its own length; only lengths within the most edits of either can match.
-                for width, (low, high) in widths.items():
-                    if not (low - most_edits(low) <= n <= high + most_edits(high)) or n < width:
-                        continue
-                    rolled = _rolling(codes, width)
-                    at = np.flatnonzero(passes(rolled))
-                    if len(at):
-                        parts.append(pd.DataFrame({"seg": rolled[at].view(np.int64), "width": width, "cls": cls, "at": at, "n": n}))
-            yield pd.concat(parts) if parts else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("seg", "width", "cls", "at", "n")})
+            # Plain arrays, joined once a slice: a frame for each text would cost more memory than its substrings.
+            for start in range(0, len(pdf), SLICE):
+                seg, at, owner = [], [], []
+                for cls, words in zip(pdf["cls"].iloc[start : start + SLICE], pdf["codes"].iloc[start : start + SLICE]):
+                    codes = np.asarray(words, dtype=np.int64).view(np.uint64)
+                    n = len(codes)
+                    # A text of m words is cut by its own length; only lengths within the most edits of either can match.
+                    for width, (low, high) in widths.items():
+                        if not (low - most_edits(low) <= n <= high + most_edits(high)) or n < width:
+                            continue
+                        rolled = _rolling(codes, width)
+                        hits = np.flatnonzero(passes(rolled))
+                        if len(hits):
+                            seg.append(rolled[hits])
+                            at.append(hits)
+                            owner.append((width, cls, n, len(hits)))
+                if not seg:
+                    continue
+                width, cls, n, times = (np.array(c, dtype=np.int64) for c in zip(*owner))
+                yield pd.DataFrame({"seg": np.concatenate(seg).view(np.int64), "width": np.repeat(width, times), "cls": np.repeat(cls, times), "at": np.concatenate(at), "n": np.repeat(n, times)})
 
     return run
 
