@@ -85,6 +85,20 @@ def test_what_does_not_count(spark):
     assert got == {(1, k + 2) for k in range(len(same))}
 
 
+def test_unmarked_remark_of_four_words_besides_a_tenth_of_changed_words(spark):
+    base = [f"w{k}" for k in range(50)]
+    changed = [f"new{k}" if k % 10 == 5 else w for k, w in enumerate(base)]
+    dropped = [w for k, w in enumerate(base) if k % 10 != 5]
+    remark = ["seen", "by", "our", "desk"]
+    texts = [remark + changed, changed + remark, remark[:2] + changed + remark[2:], remark + dropped]
+    no = [remark + ["today"] + changed, remark + ["new15" if w == "w12" else w for w in changed]]
+    rows = [(1, "a", "train", "s", prompt(" ".join(base)), None)] + [(k + 2, f"b{k}", "test", "s", prompt(" ".join(t)), None) for k, t in enumerate(texts + no)]
+    # And the other way round: the remark in the training text.
+    rows += [(90, "c", "test", "s", prompt(" ".join(base)).replace("w", "v"), None), (91, "d", "train", "s", prompt(" ".join(remark + changed)).replace("w", "v"), None)]
+    got = {(r["cand_id_a"], r["cand_id_b"]) for r in O.cross_split_pairs(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(1, k + 2) for k in range(len(texts))} | {(90, 91)}
+
+
 def test_empty_table_and_report(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert O.cross_split_pairs(df).count() == 0 and O.overlap_report(df).count() == 0

@@ -27,7 +27,7 @@ from tidemark.plans.skew import bounded_join
 #: Of this many words one may differ.
 WORDS_PER_EDIT = 10
 #: Words that remarks before or after a text may have without counting, beyond those told by their form.
-REMARK = 2
+REMARK = 4
 #: Segments beyond those that the most edits can touch. More of them ask for more shared segments, but shorter ones.
 SPARE = 1
 #: Further segments of a text, those with the most pairs, that are left out: phrases that very many texts share.
@@ -214,12 +214,12 @@ def same_text(a: np.ndarray, b: np.ndarray) -> bool:
         return False
     if found <= allowed:
         return True
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    extra = min(REMARK, len(long) - len(short))
-    for lead in range(extra + 1):
-        for tail in range(extra - lead + 1):
-            if (lead or tail) and edits_within(short, long[lead : len(long) - tail], allowed) is not None:
-                return True
+    # The text with the remark may be the shorter one, where it lost other words.
+    for plain, remarked in ((a, b), (b, a)):
+        for lead in range(REMARK + 1):
+            for tail in range(REMARK - lead + 1):
+                if (lead or tail) and lead + tail < len(remarked) and edits_within(plain, remarked[lead : len(remarked) - tail], allowed) is not None:
+                    return True
     return False
 
 
