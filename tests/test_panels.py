@@ -140,3 +140,51 @@ def test_variants_and_differences(spark, small):
     r = G.auc_difference(same, "x", "y", F.col("actual") == 2, reps=5).first()
     auc = {a["class"]: a["auc"] for a in G.auc_by_class(p, {2: "p_up"}).collect()}[2]
     assert r["difference"] == 0 and r["se"] == 0 and r["auc_a"] == pytest.approx(auc)
+
+
+def test_auc_difference_takes_a_thousand_draws_of_all_rows(spark):
+    """Against areas by counting pairs, with ties that go over ranges and batches."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = 400
+    y, x, z = rng.integers(0, 2, n), rng.integers(0, 6, n) / 5, rng.random(n)
+    df = spark.createDataFrame([(i, int(y[i]), float(x[i]), float(z[i])) for i in range(n)], "id long, actual int, x double, z double")
+    keys = {r["id"]: r["h"] for r in df.select("id", F.xxhash64(F.col("id").cast("string"), F.lit(7)).alias("h")).collect()}
+    w = G.poisson_draws(np.array([keys[i] for i in range(n)], dtype=np.int64), 1000)
+    assert w[:, 1:].mean() == pytest.approx(1, abs=0.01) and w[:, 1:].var() == pytest.approx(1, abs=0.02)
+
+    def areas(s):
+        won = (s[y == 1][:, None] > s[y == 0]) + 0.5 * (s[y == 1][:, None] == s[y == 0])
+        p, q = w[y == 1], w[y == 0]
+        return np.einsum("ir,ij,jr->r", p, won, q, optimize=True) / (p.sum(0) * q.sum(0))
+
+    a, b = areas(x), areas(z)
+    r = G.auc_difference(df.repartition(7), "x", "z", F.col("actual") == 1).first()
+    assert (r["auc_a"], r["auc_b"]) == (pytest.approx(a[0]), pytest.approx(b[0]))
+    assert r["se"] == pytest.approx(np.std((b - a)[1:], ddof=1))
+
+
+def test_bootstrap_query_takes_the_default_draws(spark, small, monkeypatch):
+    import inspect
+
+    from tidemark.plans import model_queries as Q
+
+    asked, full = [], G.clustered_bootstrap
+    monkeypatch.setattr(Q.G, "clustered_bootstrap", lambda *a, **k: asked.append(inspect.signature(full).bind(*a, **k)))
+    Q.clustered_bootstrap(spark, small)
+    asked[0].apply_defaults()
+    assert asked[0].arguments["reps"] == 1000
+
+
+def test_overfitting_takes_sixteen_blocks_and_five_hundred_splits(spark):
+    import random
+
+    from tidemark.operators.studies import overfitting
+
+    rng = random.Random(5)
+    days = spark.createDataFrame([(i, rng.gauss(0, 1), rng.gauss(0, 1), rng.gauss(0, 1), 1 + rng.gauss(0, 1)) for i in range(400)], "day int, a double, b double, c double, good double")
+    r = overfitting(days, ["a", "b", "c"]).first()
+    assert r["n_splits"] == 500 and 0 < r["pbo"] < 1 and (r["pbo"] * 500) % 1 == pytest.approx(0)
+    assert overfitting(days, ["a", "good"]).first()["pbo"] == 0
+    assert overfitting(days.where("day < 79"), ["a", "b"]).first()["pbo"] is None

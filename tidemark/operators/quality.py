@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -351,19 +354,76 @@ def poisson_weight(key: Column, rep: Column, seed: int) -> Column:
     return weight
 
 
-def auc_difference(pairs: DataFrame, score_a: str, score_b: str, positive: Column, key: str = "id", reps: int = 50, seed: int = 7) -> DataFrame:
+def poisson_draws(keys: np.ndarray, reps: int) -> np.ndarray:
+    """Poisson(1) draws of hashed keys, a column for each replicate; column 0 is all ones."""
+    x = keys.view(np.uint64)[:, None] + np.arange(1, reps + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    totals = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(8)])
+    table = np.searchsorted(totals, (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float64)
+    return np.concatenate([np.ones((len(keys), 1)), table[(x >> np.uint64(48)).astype(np.int64)]], axis=1)
+
+
+def _pairs_won(reps: int, step: int = 512):
+    """Of each side and run of sorted rows, a row a replicate: (side, low, rep, won, p, n), ``won`` being the weight of (positive, lower negative) pairs within it, ties half."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: dict = {}
+
+        def close() -> None:
+            state["won"] += state["open_p"] * (state["n"] + state["open_n"] / 2)
+            state["p"] += state["open_p"]
+            state["n"] += state["open_n"]
+
+        def result() -> pd.DataFrame:
+            close()
+            return pd.DataFrame({"side": state["side"], "low": state["low"], "rep": np.arange(reps + 1), "won": state["won"], "p": state["p"], "n": state["n"]})
+
+        for pdf in batches:
+            for side, part in pdf.groupby("side", sort=True):
+                score, pos, keys = part["s"].to_numpy(), part["pos"].to_numpy(dtype=np.float64), part["h"].to_numpy(dtype=np.int64)
+                if state and state["side"] != side:
+                    yield result()
+                    state.clear()
+                if not state:
+                    state.update(side=side, low=score[0], at=score[0], **{c: np.zeros(reps + 1) for c in ("won", "p", "n", "open_p", "open_n")})
+                for a in range(0, len(score), step):
+                    s, y = score[a : a + step], pos[a : a + step, None]
+                    w = poisson_draws(keys[a : a + step], reps)
+                    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+                    gp, gn = np.add.reduceat(w * y, starts), np.add.reduceat(w * (1 - y), starts)
+                    if s[0] == state["at"]:
+                        gp[0] += state["open_p"]
+                        gn[0] += state["open_n"]
+                    else:
+                        close()
+                    below = state["n"] + np.cumsum(gn[:-1], axis=0) - gn[:-1]
+                    state["won"] += (gp[:-1] * (below + gn[:-1] / 2)).sum(axis=0)
+                    state["p"] += gp[:-1].sum(axis=0)
+                    state["n"] += gn[:-1].sum(axis=0)
+                    # The last score may go on in the next rows.
+                    state.update(at=s[-1], open_p=gp[-1], open_n=gn[-1])
+        if state:
+            yield result()
+
+    return run
+
+
+def auc_difference(pairs: DataFrame, score_a: str, score_b: str, positive: Column, key: str = "id", reps: int = 1000, seed: int = 7) -> DataFrame:
     """(auc_a, auc_b, difference, se): areas of two scores on the same rows, and the standard error of their difference over replicates.
 
-    Each replicate weighs rows by a Poisson draw; weighted ranks are prefix sums
-    over the distinct scores of a replicate, so replicates are groups of their own.
+    Each replicate weighs rows by a Poisson draw. Rows are sorted by score once;
+    each range counts its pairs for all replicates, and the negatives of lower
+    ranges are added at the end, so that no row is copied for a replicate. A
+    null score is below all others, NaN above.
     """
-    rows = pairs.select(key, positive.cast("int").alias("pos"), F.explode(F.array(F.struct(F.lit("a").alias("side"), F.col(score_a).alias("s")), F.struct(F.lit("b").alias("side"), F.col(score_b).alias("s")))).alias("x")).select(key, "pos", "x.*")
-    drawn = rows.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps)))).withColumn("w", F.when(F.col("rep") == 0, 1).otherwise(poisson_weight(F.col(key), F.col("rep"), seed))).where("w > 0")
-    by_score = drawn.groupBy("rep", "side", "s").agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("pos")).alias("wp"))
-    upto = F.sum("w").over(Window.partitionBy("rep", "side").orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = by_score.withColumn("r", upto - (F.col("w") - 1) / 2)
-    sums = ranked.groupBy("rep", "side").agg(F.sum("wp").alias("p"), F.sum("w").alias("n"), F.sum(F.col("r") * F.col("wp")).alias("rp"))
-    auc = F.try_divide(F.col("rp") - F.col("p") * (F.col("p") + 1) / 2, F.col("p").cast("double") * (F.col("n") - F.col("p")))
+    known = lambda c: F.when(F.isnan(c), F.lit(math.inf)).otherwise(F.coalesce(F.col(c).cast("double"), F.lit(-math.inf)))
+    sides = F.array(F.struct(F.lit("a").alias("side"), known(score_a).alias("s")), F.struct(F.lit("b").alias("side"), known(score_b).alias("s")))
+    rows = pairs.select(F.xxhash64(F.col(key).cast("string"), F.lit(seed)).alias("h"), F.coalesce(positive, F.lit(False)).cast("int").alias("pos"), F.explode(sides).alias("x")).select("h", "pos", "x.*")
+    ranges = rows.repartitionByRange("side", "s").sortWithinPartitions("side", "s").mapInPandas(_pairs_won(reps), "side string, low double, rep int, won double, p double, n double")
+    lower = F.coalesce(F.sum("n").over(Window.partitionBy("side", "rep").orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    sums = ranges.withColumn("won", F.col("won") + F.col("p") * lower).groupBy("rep", "side").agg(F.sum("won").alias("won"), F.sum("p").alias("p"), F.sum("n").alias("n"))
+    auc = F.try_divide("won", F.col("p") * F.col("n"))
     both = sums.groupBy("rep").agg(F.max(F.when(F.col("side") == "a", auc)).alias("a"), F.max(F.when(F.col("side") == "b", auc)).alias("b"))
     at = lambda c: F.max(F.when(F.col("rep") == 0, F.col(c)))
     return both.agg(at("a").alias("auc_a"), at("b").alias("auc_b"), (at("b") - at("a")).alias("difference"), F.stddev_samp(F.when(F.col("rep") > 0, F.col("b") - F.col("a"))).alias("se"))

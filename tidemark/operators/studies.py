@@ -93,27 +93,33 @@ def proximity(days: Column) -> Column:
     return F.when(days <= 5, "0-5").when(days <= 10, "6-10").when(days <= 20, "11-20").when(days.isNotNull(), "21+").otherwise("none")
 
 
-def overfitting(daily: DataFrame, strategies: list[str], blocks: int = 8, splits: int = 40, seed: int = 7) -> DataFrame:
+def overfitting(daily: DataFrame, strategies: list[str], blocks: int = 16, splits: int = 500, seed: int = 7) -> DataFrame:
     """(n_splits, pbo): share of half-splits of the days in which the strategy that is best inside ranks below the median outside.
 
     ``daily`` has a column of returns for each strategy, one row a day. Blocks are
-    contiguous; each split takes half of them, drawn with a fixed seed; Sharpe
-    ratios come from sums by block. Null for fewer than two strategies.
+    contiguous and have twenty days at least, so short series have fewer; each
+    split takes half of them, drawn with a fixed seed, and the mean of their
+    Sharpe ratios. Null for fewer than two strategies or four blocks.
     """
     import random
 
     n = daily.count()
-    if len(strategies) < 2 or n < blocks:
+    blocks = min(blocks, n // 20)
+    if len(strategies) < 2 or blocks < 4:
         return daily.sparkSession.createDataFrame([(0, None)], "n_splits int, pbo double")
     pos = daily.withColumn("__b", F.floor((F.row_number().over(Window.orderBy("day")) - 1) * blocks / n).cast("int"))
     sums = {r["__b"]: r for r in pos.groupBy("__b").agg(F.count(F.lit(1)).alias("n"), *[F.sum(s).alias(f"s_{s}") for s in strategies], *[F.sum(F.col(s) * F.col(s)).alias(f"q_{s}") for s in strategies]).collect()}
 
-    def sharpe(chosen: list[int], s: str) -> float:
-        m = sum(sums[b]["n"] for b in chosen)
-        mean = sum(sums[b][f"s_{s}"] for b in chosen) / m
-        var = sum(sums[b][f"q_{s}"] for b in chosen) / m - mean * mean
+    def block_sharpe(b: int, s: str) -> float:
+        mean = sums[b][f"s_{s}"] / sums[b]["n"]
+        var = sums[b][f"q_{s}"] / sums[b]["n"] - mean * mean
         return mean / var**0.5 if var > 1e-18 else 0.0
 
+    by_block = {s: [block_sharpe(b, s) for b in range(blocks)] for s in strategies}
+
+    def sharpe(chosen: list[int], s: str) -> float:
+        return sum(by_block[s][b] for b in chosen) / len(chosen)
+
     rng, below = random.Random(seed), 0
     for _ in range(splits):
         inside = sorted(rng.sample(range(blocks), blocks // 2))

@@ -286,7 +286,7 @@ def paired_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def clustered_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.clustered_bootstrap(_pairs(spark, sf_dir), reps=200)
+    return G.clustered_bootstrap(_pairs(spark, sf_dir))
 
 
 @query()
