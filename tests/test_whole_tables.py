@@ -1,0 +1,20 @@
+"""Queries over whole tables, beside those that keep a filter because their SQL has it."""
+
+import pytest
+
+import __spark_entry__ as entry
+
+
+@pytest.mark.parametrize("name", ["event_proximity_all", "case_pool_all", "lagged_publication_all"])
+def test_no_filter_in_sql(name):
+    assert "article_id % 9" not in entry.oracle_sql()[name] and "extract(" not in entry.oracle_sql()[name]
+
+
+def test_every_bar_is_a_case_and_published(spark, small):
+    from tidemark.sources import views as V
+
+    q, bars = entry.queries(), V.bars(spark, small)
+    assert q["case_pool_all"](spark, small).count() == bars.count() > q["case_pool"](spark, small).count()
+    # Only the first bar of a symbol has nothing published before it.
+    missing = q["lagged_publication_all"](spark, small).where("v_available = 0").count()
+    assert missing == bars.where("volume is null").count() + bars.select("symbol").distinct().count()

@@ -338,6 +338,13 @@ def lagged_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.lagged_publication(b.select("symbol", "ts"), published, ["v"]))
 
 
+@query(ORACLE_SQL["lagged_publication"].replace(" WHERE extract('day' FROM ts) % 2 = 0", ""))
+def lagged_publication_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``lagged_publication``, published on every day."""
+    b = V.bars(spark, sf_dir)
+    return rounded(X.lagged_publication(b.select("symbol", "ts"), b.select("symbol", "ts", F.col("volume").alias("v")), ["v"]))
+
+
 @query(sql(["c AS (SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1)"], "SELECT status, n, (SELECT sum(n) FROM c) / ((SELECT count(*) FROM c) * n) AS weight FROM c", ["status", "n"], ["weight"]))
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.class_weights(table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("status")), "status"))

@@ -231,6 +231,13 @@ def case_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(H.case_pool(b.where(F.dayofmonth("ts") <= 7).select("symbol", "ts"), b))
 
 
+@query(ORACLE_SQL["case_pool"].replace(" WHERE extract('day' FROM ts) <= 7", ""))
+def case_pool_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``case_pool``, of every bar."""
+    b = V.bars(spark, sf_dir)
+    return rounded(H.case_pool(b.select("symbol", "ts"), b))
+
+
 @query(sql([*DECIDED, "u AS (SELECT symbol, decision_date, subject AS text FROM dd WHERE decision_date IS NOT NULL)"], "SELECT DISTINCT symbol, decision_date, text, symbol || '|' || CAST(decision_date AS VARCHAR) || '|' || substr(md5(text), 1, 8) AS case_id FROM u", ["symbol", "decision_date", "text", "case_id"]))
 def united_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _decided(spark, sf_dir).withColumn("text", F.col("subject"))
@@ -275,6 +282,14 @@ def event_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.groupBy(H.proximity(F.col("days")).alias("proximity")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(ORACLE_SQL["event_proximity"].replace(" AND article_id % 9 = 0", ""))
+def event_proximity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``event_proximity``, after every purchase."""
+    events = V.articles(spark, sf_dir).where("subject = 'purchase'").select("symbol", F.to_date("published_utc").alias("ts"))
+    days = J.last_before(_grid(spark, sf_dir), events, "last", strict=True).select(F.datediff("ts", "last").alias("days"))
+    return days.groupBy(H.proximity(F.col("days")).alias("proximity")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query()
 def auc_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.auc_difference(_pairs(spark, sf_dir), "p_up_a", "p_up_b", F.col("actual_a") == 2))
