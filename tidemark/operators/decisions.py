@@ -78,6 +78,11 @@ def down_sweep(predictions: DataFrame, taus: list[float], tau_flat: float, least
 
 def policy_grid(predictions: DataFrame, confidences: list[float], taus: list[float], margins: list[float]) -> DataFrame:
     """(confidence, tau, margin, coverage, accuracy_called, accuracy_all, least_recall) of every gated policy, in one pass."""
+    return policy_search(predictions, confidences, taus, margins).drop("feasible", "infeasible_reason")
+
+
+def policy_search(predictions: DataFrame, confidences: list[float], taus: list[float], margins: list[float], floor: float = 0.15, least_share: float = 0.10) -> DataFrame:
+    """As ``policy_grid``, with feasible and infeasible_reason: the recall of every class that has ``least_share`` of the rows is to reach ``floor``. Infeasible policies stay."""
     rows = predictions.select("actual", *P, _grid(confidences, "confidence")).select("*", _grid(taus, "tau")).select("*", _grid(margins, "margin"))
     top = F.greatest(*[F.col(p) for p in P])
     label = (
@@ -86,9 +91,11 @@ def policy_grid(predictions: DataFrame, confidences: list[float], taus: list[flo
     rows = rows.withColumn("call", label)
     right = F.col("call") == F.col("actual")
     recall = lambda k: F.coalesce(F.try_divide(F.count_if(right & (F.col("actual") == k)), F.count_if(F.col("actual") == k)), F.lit(0.0))
+    short = lambda k, name: F.when((F.avg((F.col("actual") == k).cast("double")) >= least_share) & (recall(k) < floor), F.lit(f"{name} recall below {floor}"))
+    reason = F.concat_ws("; ", short(0, "DOWN"), short(1, "FLAT"), short(2, "UP"))
     return rows.groupBy("confidence", "tau", "margin").agg(
         F.avg(F.col("call").isin(0, 2).cast("double")).alias("coverage"), F.try_divide(F.count_if(right), F.count_if(F.col("call") >= 0)).alias("accuracy_called"), F.avg(right.cast("double")).alias("accuracy_all"),
-        F.least(recall(0), recall(1), recall(2)).alias("least_recall"),
+        F.least(recall(0), recall(1), recall(2)).alias("least_recall"), (reason == "").alias("feasible"), F.nullif(reason, F.lit("")).alias("infeasible_reason"),
     )
 
 

@@ -98,6 +98,24 @@ def policy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(D.policy_grid(_pred(spark, sf_dir), [0.35, 0.45], [0.4, 0.5], [0.0, 0.1]))
 
 
+#: 7 x 7 x 5 = 245 policies. The reference tells their number only; the values are ours.
+_POLICIES = [0.0, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60], [0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60], [0.0, 0.02, 0.05, 0.10, 0.15]
+
+
+@query()
+def policy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(D.policy_search(_pred(spark, sf_dir), *_POLICIES))
+
+
+_ALL_TAUS = [round(0.10 + 0.05 * k, 2) for k in range(11)]
+
+
+@query(ORACLE_SQL["flat_sweep"].replace(_TAU_SQL, "t AS (SELECT unnest([" + ", ".join(f"{t}::DOUBLE" for t in _ALL_TAUS) + "]) AS tau)"))
+def flat_sweep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``flat_sweep``, with the reference's eleven thresholds."""
+    return rounded(D.flat_sweep(_pred(spark, sf_dir), _ALL_TAUS))
+
+
 _SIZED = "z AS (SELECT *, CASE predicted WHEN 2 THEN greatest(0, least(1, (p_up - 0.4) / 0.6)) WHEN 0 THEN -greatest(0, least(1, (p_down - 0.4) / 0.6)) ELSE 0 END AS signal FROM predictions)"
 #: Acceptance step by step: of each symbol and start only the first wish in order counts, and the next one taken is the earliest that starts after the end of the last.
 _ACCEPT = [

@@ -490,6 +490,12 @@ def label_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.label_grid(V.bars(spark, sf_dir), [3, 5], [1.0, 1.5]))
 
 
+@query()
+def label_grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``label_grid``, with the reference's twelve cells."""
+    return rounded(L.label_grid(V.bars(spark, sf_dir), [1, 5, 10, 20], [0.5, 1.0, 1.5]))
+
+
 _BANDS = [0.25, 0.5, 1.0, 2.0]
 
 
