@@ -1,4 +1,6 @@
-"""Registered grids have the reference's size, and infeasible policies are recorded."""
+"""Registered grids have the reference's size, infeasible policies are recorded, and one scan gives what single runs give."""
+
+import pytest
 
 import __spark_entry__ as entry
 from tidemark.operators import decisions as D
@@ -8,14 +10,24 @@ from tidemark.sources import views as V
 
 def test_sizes(spark, small):
     q = entry.queries()
-    sweep = q["flat_sweep_all"](spark, small).collect()
+    sweep = q["flat_sweep"](spark, small).collect()
     assert sorted(r["tau"] for r in sweep) == [0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6] and sum(r["picked"] for r in sweep) == 1
     policies = q["policy_search"](spark, small).collect()
     assert len(policies) == 245 and all(r["feasible"] == (r["infeasible_reason"] is None) for r in policies)
-    cells = {(r["horizon"], r["multiplier"]): r for r in q["label_grid_all"](spark, small).collect()}
-    assert set(cells) == {(h, m) for h in (1, 5, 10, 20) for m in (0.5, 1.0, 1.5)}
-    labels = L.triple_barrier(V.bars(spark, small), 20, 0.5, 0.5)
-    assert cells[20, 0.5]["n"] == labels.count()
+
+
+def test_cells_in_one_scan_equal_single_runs(spark, small):
+    bars = V.bars(spark, small).cache()
+    cells = {(r["horizon"], r["multiplier"]): r for r in L.label_grid(bars, [1, 5, 20], [0.5, 1.5]).collect()}
+    assert set(cells) == {(h, m) for h in (1, 5, 20) for m in (0.5, 1.5)}
+    for (h, m), r in cells.items():
+        single = L.triple_barrier(bars, h, m, m).toPandas()
+        assert len(single) == r["n"] and (single["label"] == single["label_raw"] + 1).all()
+        for v, c in ((-1, "down"), (0, "flat"), (1, "up")):
+            of = single[single["label_raw"] == v]["realized_return"]
+            assert len(of) / len(single) == pytest.approx(r[f"share_{c}"])
+            if len(of):
+                assert of.median() == pytest.approx(r[f"median_{c}"]) and of.std(ddof=0) == pytest.approx(r[f"std_{c}"])
 
 
 def test_recall_floor_records_infeasible_policies(spark):

@@ -76,13 +76,11 @@ def down_sweep(predictions: DataFrame, taus: list[float], tau_flat: float, least
     return stats.withColumn("picked", picked)
 
 
-def policy_grid(predictions: DataFrame, confidences: list[float], taus: list[float], margins: list[float]) -> DataFrame:
-    """(confidence, tau, margin, coverage, accuracy_called, accuracy_all, least_recall) of every gated policy, in one pass."""
-    return policy_search(predictions, confidences, taus, margins).drop("feasible", "infeasible_reason")
-
-
 def policy_search(predictions: DataFrame, confidences: list[float], taus: list[float], margins: list[float], floor: float = 0.15, least_share: float = 0.10) -> DataFrame:
-    """As ``policy_grid``, with feasible and infeasible_reason: the recall of every class that has ``least_share`` of the rows is to reach ``floor``. Infeasible policies stay."""
+    """(confidence, tau, margin, coverage, accuracy_called, accuracy_all, least_recall, feasible, infeasible_reason) of every gated policy, in one pass.
+
+    The recall of every class that has ``least_share`` of the rows is to reach ``floor``; infeasible policies stay.
+    """
     rows = predictions.select("actual", *P, _grid(confidences, "confidence")).select("*", _grid(taus, "tau")).select("*", _grid(margins, "margin"))
     top = F.greatest(*[F.col(p) for p in P])
     label = (

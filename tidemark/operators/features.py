@@ -71,10 +71,8 @@ def recursive_features(bars: DataFrame) -> DataFrame:
     prepared = true_range(bars).withColumns({"__gain": F.greatest(step, F.lit(0.0)), "__loss": F.greatest(-step, F.lit(0.0))})
     prepared = prepared.withColumns({k: F.when(step.isNotNull(), F.col(k)) for k in ("__gain", "__loss")})
     specs = {f"ema_{s}": ("close", 2 / (s + 1)) for s in (10, 12, 20, 26, 50)}
-    specs |= {"__avg_gain": ("__gain", 1 / 14), "__avg_loss": ("__loss", 1 / 14), "atr_14": ("true_range", 1 / 14)}
-    means = W.ewm_means(prepared, specs)
-    means = means.withColumn("macd", F.col("ema_12") - F.col("ema_26"))
-    means = W.ewm_means(means, {"macd_signal": ("macd", 2 / 10)})
+    specs |= {"__avg_gain": ("__gain", 1 / 14), "__avg_loss": ("__loss", 1 / 14), "atr_14": ("true_range", 1 / 14), "macd_signal": ("ema_12-ema_26", 2 / 10)}
+    means = W.ewm_means(prepared, specs).withColumn("macd", F.col("ema_12") - F.col("ema_26"))
     ratio = F.try_divide(F.col("__avg_gain"), F.nullif(F.col("__avg_loss"), F.lit(0.0)))
     out = means.withColumns(
         {

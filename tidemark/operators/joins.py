@@ -11,6 +11,8 @@ from tidemark.plans.skew import bounded_join
 # Local zone of the exchange and the time after which a text counts for the next day.
 LOCAL_ZONE = "Asia/Kolkata"
 CUT_OFF = "15:30:00"
+#: First characters by which many aliases are looked up.
+GRAM = 3
 
 
 def next_session_map(sessions: DataFrame, before_days: int = 0) -> DataFrame:
@@ -91,17 +93,26 @@ def interval_join(facts: DataFrame, intervals: DataFrame, entity: str = "symbol"
     return facts.join(spread, on, "left").drop("__e", "__y", "__from", "__to")
 
 
-def substring_matches(texts: DataFrame, aliases: DataFrame, text: str, alias: str, max_aliases: int = 10_000) -> DataFrame:
+def substring_matches(texts: DataFrame, aliases: DataFrame, text: str, alias: str, max_aliases: int = 1_000) -> DataFrame:
     """``texts`` once for each key of ``aliases`` (key, alias) one of whose aliases is in the upper-case text.
 
-    The aliases of all keys go to every task as one array, at most ``max_aliases``.
+    Blank aliases are in no text. Up to ``max_aliases`` aliases, by count, go to
+    every task as one array. More are joined by their first ``GRAM`` characters:
+    each distinct text offers the distinct pieces of that length (all of its
+    characters and pairs too, for shorter aliases), and those that meet an alias
+    are tested. Equal texts are looked up once.
     """
-    rows = aliases.where(F.length(F.trim(alias)) > 0).select("key", F.upper(alias).alias("a")).distinct().limit(max_aliases + 1).collect()
-    if len(rows) > max_aliases:
-        raise ValueError(f"more than {max_aliases} aliases")
-    table = F.array(*[F.struct(F.lit(r["key"]).alias("key"), F.lit(r["a"]).alias("a")) for r in sorted(rows, key=lambda r: (r["key"], r["a"]))])
-    hay = F.upper(F.col(text))
-    return texts.withColumn("key", F.explode(F.array_distinct(F.transform(F.filter(table, lambda x: hay.contains(x["a"])), lambda x: x["key"]))))
+    keyed = aliases.where(F.length(F.trim(alias)) > 0).select(F.col("key").alias("__key"), F.upper(alias).alias("__a")).distinct()
+    rows = keyed.limit(max_aliases + 1).collect()
+    if len(rows) <= max_aliases:
+        table = F.array(*[F.struct(F.lit(r["__key"]).alias("key"), F.lit(r["__a"]).alias("a")) for r in sorted(rows, key=lambda r: (r["__key"], r["__a"]))])
+        hay = F.upper(F.col(text))
+        return texts.withColumn("key", F.explode(F.array_distinct(F.transform(F.filter(table, lambda x: hay.contains(x["a"])), lambda x: x["key"]))))
+    hays = texts.select(F.upper(F.col(text)).alias("__hay")).where("length(__hay) > 0").distinct()
+    pieces = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("__hay") - n + 1, F.lit(1))), lambda i, n=n: F.substring("__hay", i, F.lit(n))) for n in range(1, GRAM + 1)])))
+    found = bounded_join(hays.withColumn("__piece", F.explode(pieces)), keyed.withColumn("__piece", F.substring("__a", 1, GRAM)), ["__piece"], "inner")
+    found = found.where(F.col("__hay").contains(F.col("__a"))).groupBy("__hay").agg(F.collect_set("__key").alias("__keys"))
+    return texts.withColumn("__hay", F.upper(F.col(text))).join(found, "__hay").select(*texts.columns, F.explode("__keys").alias("key"))
 
 
 def paired(a: DataFrame, b: DataFrame, keys: list[str], label: str, values: list[str]) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import windows as W
 
 
 def triple_barrier(bars: DataFrame, horizon: int = 5, upper: float = 1.0, lower: float = 1.0, flat_band: float = 1.0, sigma_window: int = 20) -> DataFrame:
-    """(symbol, ts, label_raw, event_start, event_end, entry_price, exit_price, realized_return) of the rows with a label.
+    """(symbol, ts, label_raw, label, event_start, event_end, entry_price, exit_price, realized_return) of the rows with a label.
+
+    ``label_raw`` is -1, 0 or 1; ``label`` the class number 0, 1 or 2.
 
     Entry is the next open; the barriers lie ``upper`` and ``lower`` trailing
     deviations of returns from it. The first of the next ``horizon`` bars that
@@ -40,31 +42,56 @@ def triple_barrier(bars: DataFrame, horizon: int = 5, upper: float = 1.0, lower:
     hit = hit.otherwise(F.struct(flat.alias("label"), F.col(f"__t{horizon}").alias("ts"), last.alias("price")))
     out = base.withColumn("__hit", hit)
     return out.select(
-        "symbol", "ts", F.col("__hit.label").alias("label_raw"), F.col("__t1").alias("event_start"), F.col("__hit.ts").alias("event_end"), F.col("entry").alias("entry_price"),
+        "symbol", "ts", F.col("__hit.label").alias("label_raw"), (F.col("__hit.label") + 1).alias("label"), F.col("__t1").alias("event_start"), F.col("__hit.ts").alias("event_end"), F.col("entry").alias("entry_price"),
         F.col("__hit.price").alias("exit_price"), (F.col("__hit.price") / F.col("entry") - 1).alias("realized_return"),
     )
 
 
-def label_grid(bars: DataFrame, horizons: list[int], multipliers: list[float]) -> DataFrame:
-    """(horizon, multiplier, n, share_down, share_flat, share_up, median_return, std_return) of each cell, over all rows."""
-    cells = None
-    for h in horizons:
-        for m in multipliers:
-            cell = triple_barrier(bars, h, m, m).select(F.lit(h).alias("horizon"), F.lit(m).alias("multiplier"), "label_raw", "realized_return")
-            cells = cell if cells is None else cells.unionByName(cell)
-    share = lambda v: F.avg((F.col("label_raw") == v).cast("double"))
+def _entries(bars: DataFrame, multipliers: list[float], most: int, sigma_window: int) -> DataFrame:
+    """(symbol, ts, entry, sigma, ahead, multiplier, touch): the next ``most`` bars of each row with an entry, and the first of them to touch a barrier, counted from 1; null if none does. One sort by symbol for all of it."""
+    w = W.series()
+    base = bars.withColumn("__ret", W.change(F.col("close")))
+    ahead = F.collect_list(F.struct("ts", "high", "low", "close")).over(w.rowsBetween(1, most))
+    base = base.select("symbol", "ts", W.rolling_std(F.col("__ret"), sigma_window).alias("sigma"), F.lead("open", 1).over(w).alias("entry"), ahead.alias("ahead")).where("sigma > 0 and entry > 0")
+    each = base.withColumn("multiplier", F.explode(F.array(*[F.lit(float(m)) for m in multipliers])))
+    up, down = F.col("entry") * (1 + F.col("multiplier") * F.col("sigma")), F.col("entry") * (1 - F.col("multiplier") * F.col("sigma"))
+    touch = F.array_position(F.transform("ahead", lambda b: (b["high"] >= up) | (b["low"] <= down)), True)
+    return each.withColumns({"up": up, "down": down, "touch": F.when(touch > 0, touch.cast("int"))})
+
+
+def _outcome(horizon: Column, flat_band: Column) -> Column:
+    """(label, price) of a row of ``_entries`` over its first ``horizon`` bars; as ``triple_barrier`` says."""
+    bar = F.try_element_at("ahead", F.col("touch"))
+    hit_up, hit_down = bar["high"] >= F.col("up"), bar["low"] <= F.col("down")
+    touched = F.struct(F.when(hit_up & hit_down, 0).when(hit_up, 1).otherwise(-1).alias("label"), F.when(hit_up & hit_down, bar["close"]).when(hit_up, F.col("up")).otherwise(F.col("down")).alias("price"))
+    last = F.try_element_at("ahead", horizon)["close"]
+    ret = last / F.col("entry") - 1
+    timed_out = F.struct(F.when(F.abs(ret) <= F.col("sigma") * flat_band, 0).when(ret > 0, 1).otherwise(-1).alias("label"), last.alias("price"))
+    return F.when(F.col("touch") <= horizon, touched).otherwise(timed_out)
+
+
+def label_grid(bars: DataFrame, horizons: list[int], multipliers: list[float], sigma_window: int = 20) -> DataFrame:
+    """(horizon, multiplier, n, and share, median and deviation of returns of each class) of each cell, over all rows.
+
+    The bars are read and sorted once for all cells: the first touch of a
+    multiplier is found over the longest horizon, and shorter ones ask whether
+    it lies within them.
+    """
+    entries = _entries(bars, multipliers, max(horizons), sigma_window)
+    cells = entries.withColumn("horizon", F.explode(F.array(*[F.lit(int(h)) for h in horizons]))).where(F.size("ahead") >= F.col("horizon"))
+    cells = cells.select("horizon", "multiplier", "entry", _outcome(F.col("horizon"), F.lit(1.0)).alias("o")).select("horizon", "multiplier", F.col("o.label").alias("label"), (F.col("o.price") / F.col("entry") - 1).alias("r"))
+    of = lambda v, x: F.when(F.col("label") == v, x)
+    names = {-1: "down", 0: "flat", 1: "up"}
     return cells.groupBy("horizon", "multiplier").agg(
-        F.count(F.lit(1)).alias("n"), share(-1).alias("share_down"), share(0).alias("share_flat"), share(1).alias("share_up"),
-        F.percentile("realized_return", F.lit(0.5)).alias("median_return"), F.stddev_pop("realized_return").alias("std_return"),
+        F.count(F.lit(1)).alias("n"), *[F.avg((F.col("label") == v).cast("double")).alias(f"share_{c}") for v, c in names.items()],
+        *[F.percentile(of(v, F.col("r")), F.lit(0.5)).alias(f"median_{c}") for v, c in names.items()], *[F.stddev_pop(of(v, F.col("r"))).alias(f"std_{c}") for v, c in names.items()],
     )
 
 
-def flat_band_scan(bars: DataFrame, bands: list[float], low: float = 0.25, high: float = 0.40) -> DataFrame:
+def flat_band_scan(bars: DataFrame, bands: list[float], low: float = 0.25, high: float = 0.40, horizon: int = 5, sigma_window: int = 20) -> DataFrame:
     """(band, n, share_flat, picked): the first band with a FLAT share within bounds is picked, else that nearest to their middle."""
-    rows = None
-    for b in bands:
-        one = triple_barrier(bars, flat_band=b).select(F.lit(b).alias("band"), (F.col("label_raw") == 0).cast("double").alias("flat"))
-        rows = one if rows is None else rows.unionByName(one)
+    entries = _entries(bars, [1.0], horizon, sigma_window).where(F.size("ahead") >= horizon)
+    rows = entries.withColumn("band", F.explode(F.array(*[F.lit(float(b)) for b in bands]))).select("band", (_outcome(F.lit(horizon), F.col("band"))["label"] == 0).cast("double").alias("flat"))
     shares = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.avg("flat").alias("share_flat"))
     inside = F.col("share_flat").between(low, high)
     # One row a band.

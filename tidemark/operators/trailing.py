@@ -8,16 +8,27 @@ of any length cost the same and share one sort.
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Prefixes are decimals, so that differences are exact and don't depend on the order of sums.
-EXACT = "decimal(38,12)"
+EXACT = "decimal(38,18)"
+#: Values from here on have no place in those decimals and are summed window by window, as doubles.
+LARGE = 1e12
+
+
+def _finite(c: Column) -> Column:
+    x = c.cast("double")
+    return F.when(~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))), x)
 
 
-def _exact(c: Column) -> Column:
-    finite = F.when(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < 1e14), c)
-    return finite.try_cast("decimal(26,12)")
+def _has_large(panel: DataFrame, measures: list[str]) -> bool:
+    """Whether any value is large: a filter that Parquet answers from its statistics, so that nothing is read where none is."""
+    large = [(F.col(m) >= LARGE) | (F.col(m) <= -LARGE) for m in measures]
+    return not panel.select(*measures).where(functools.reduce(operator.or_, large)).isEmpty()
 
 
 def latest_rows(panel: DataFrame, keys: list[str], updated: str, values: list[str]) -> DataFrame:
@@ -45,12 +56,15 @@ def trailing_totals(
     mean over the days of the window since the entity's first row (days without
     a row count with 0). Of several rows with one (entity, day) the latest
     ``updated`` counts; null and NaN values are 0. Days before the first row add
-    nothing. Rows without entity or day are left out. Values up to 1e14 with
-    twelve decimals are exact; beyond that a value counts as missing.
+    nothing, and neither do infinities. Rows without entity or day are left out.
+    Values below 1e12 are exact to eighteen decimals, since prefixes are
+    decimals; larger ones, if there are any, are summed as doubles over each
+    window by itself, so that no difference of large prefixes loses digits.
     """
     rows = panel.where(F.col(entity).isNotNull() & F.col(day).isNotNull()).select(
-        F.col(entity).alias("__entity"), F.col(day).cast("date").alias("cal_day"), F.col(updated).alias("__updated"), *[_exact(F.col(m)).alias(m) for m in measures]
+        F.col(entity).alias("__entity"), F.col(day).cast("date").alias("cal_day"), F.col(updated).alias("__updated"), *[_finite(F.col(m)).alias(m) for m in measures]
     )
+    with_large = _has_large(panel, measures)
     rows = latest_rows(rows, ["__entity", "cal_day"], "__updated", measures)
     in_order = Window.partitionBy("__entity").orderBy("cal_day")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, 0)
@@ -59,21 +73,27 @@ def trailing_totals(
         "cal_day",
         F.coalesce(F.lead("cal_day").over(in_order), F.date_add("cal_day", 1)).alias("__next"),
         F.min("cal_day").over(so_far).alias("__first"),
-        *[F.coalesce(F.sum(m).over(so_far), F.lit(0)).cast(EXACT).alias(f"__p_{m}") for m in measures],
+        *[F.coalesce(F.sum(F.when(F.abs(m) < LARGE, F.col(m).cast("decimal(30,18)"))).over(so_far), F.lit(0)).cast(EXACT).alias(f"__p_{m}") for m in measures],
+        *[F.when(F.abs(m) >= LARGE, F.col(m)).alias(f"__l_{m}") for m in measures if with_large],
         *[F.count(m).over(so_far).alias(f"__n_{m}") for m in measures],
     )
     # The prefix of a session holds until the day before the next one: that is the forward fill.
-    days = sessions.select("*", F.explode(F.sequence("cal_day", F.date_sub("__next", 1))).alias("__day")).drop("cal_day").withColumnRenamed("__day", "cal_day")
+    days = sessions.select("*", F.explode(F.sequence("cal_day", F.date_sub("__next", 1))).alias("__day"))
+    if with_large:
+        days = days.withColumns({f"__l_{m}": F.when(F.col("__day") == F.col("cal_day"), F.col(f"__l_{m}")) for m in measures})
+    days = days.drop("cal_day").withColumnRenamed("__day", "cal_day")
     out = [F.col("__entity").alias(entity), F.col("cal_day")]
     for w in windows:
         elapsed = F.least(F.lit(w), F.datediff("cal_day", "__first") + 1)
         for m in measures:
-            total = F.col(f"__p_{m}") - F.coalesce(F.lag(f"__p_{m}", w).over(in_order), F.lit(0))
+            total = (F.col(f"__p_{m}") - F.coalesce(F.lag(f"__p_{m}", w).over(in_order), F.lit(0))).cast("double")
+            if with_large:
+                total = total + F.coalesce(F.sum(f"__l_{m}").over(in_order.rowsBetween(-(w - 1), 0)), F.lit(0.0))
             seen = F.col(f"__n_{m}") - F.coalesce(F.lag(f"__n_{m}", w).over(in_order), F.lit(0))
             out += [
-                total.cast("double").alias(f"{m}_total_{w}"),
+                total.alias(f"{m}_total_{w}"),
                 seen.cast("long").alias(f"{m}_obs_{w}"),
-                (total.cast("double") / elapsed).alias(f"{m}_avg_{w}"),
+                (total / elapsed).alias(f"{m}_avg_{w}"),
             ]
     return days.select(*out)
 

@@ -5,8 +5,6 @@ All frames of one entity share one specification, so Catalyst plans one sort for
 
 from __future__ import annotations
 
-import itertools
-import operator
 from collections.abc import Iterable
 
 import numpy as np
@@ -88,44 +86,34 @@ def ewm_means(df: DataFrame, specs: dict[str, tuple[str, float]], entity: str =
 
     ``specs`` maps an output column to (input column, a). A null input keeps
     the mean and decays its weight, as the recursion over positions does; rows
-    before the first value are null. An entity's series is one group: it has at
-    most as many rows as there are sessions.
+    before the first value are null. An input may be the difference of two
+    outputs before it, written ``"a-b"``. Only time and inputs go to Python,
+    once, where the recursion is compiled; an entity's series is one group, as
+    long as it has sessions, and its rows are joined back by position.
     """
-    schema = T.StructType([*df.schema.fields, *[T.StructField(c, T.DoubleType()) for c in specs]])
+    sources = list(dict.fromkeys(s for s, _ in specs.values() if "-" not in s))
+    placed = df.withColumn("__at", F.row_number().over(series(entity, ts)))
+    schema = T.StructType([df.schema[entity], T.StructField("__at", T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in specs]])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ts, kind="stable")
-        for out, (source, alpha) in specs.items():
-            pdf[out] = _ewm(pdf[source].to_numpy(dtype=float, na_value=np.nan), alpha)
-        return pdf
+        pdf = pdf.sort_values("__at")
+        out = {entity: pdf[entity].to_numpy(), "__at": pdf["__at"].to_numpy()}
+        for name, (source, alpha) in specs.items():
+            a, _, b = source.partition("-")
+            x = pd.Series(out[a] - out[b] if b else pdf[source].to_numpy(dtype=float, na_value=np.nan))
+            out[name] = x.ewm(alpha=alpha, adjust=False, ignore_na=False).mean().to_numpy()
+        return pd.DataFrame(out)
 
-    return df.groupBy(entity).applyInPandas(run, schema)
-
-
-def _ewm(x: np.ndarray, alpha: float) -> np.ndarray:
-    out = np.full(len(x), np.nan)
-    mean, old = np.nan, 1.0
-    for i, v in enumerate(x):
-        if np.isnan(mean):
-            mean, old = v, 1.0
-        else:
-            old *= 1 - alpha
-            if not np.isnan(v):
-                mean = (old * mean + alpha * v) / (old + alpha)
-                old = 1.0
-        out[i] = mean
-    return out
+    means = placed.select(entity, "__at", *sources).groupBy(entity).applyInPandas(run, schema)
+    return placed.join(means, [entity, "__at"], "left").drop("__at")
 
 
 def fractional_weights(d: float, threshold: float = 1e-5, most: int = 200) -> list[float]:
     """Binomial weights of a fractional difference, up to the first one below ``threshold``."""
-    series_of = itertools.accumulate((1.0 - (d + 1.0) / k for k in range(1, most)), operator.mul, initial=1.0)
-    weights = []
-    for w in series_of:
-        weights.append(w)
-        if abs(w) < threshold:
-            return weights
-    return weights
+    k = np.arange(1, most)
+    weights = np.concatenate([[1.0], np.cumprod((k - 1 - d) / k)])  # the coefficients of (1 - x) ** d
+    small = np.flatnonzero(np.abs(weights) < threshold)
+    return weights[: small[0] + 1 if len(small) else most].tolist()
 
 
 def fractional_difference(x: Column, weights: Iterable[float]) -> Column:

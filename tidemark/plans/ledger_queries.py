@@ -119,9 +119,9 @@ def case_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DRAW = "sha256(CAST(seq AS VARCHAR) || '|7')"
 
 
-@query(sql([*LEDGER, f"r AS (SELECT seq, label, row_number() OVER (PARTITION BY label ORDER BY {_DRAW}, seq) AS r FROM ledger)"], "SELECT seq, label FROM r WHERE r <= CASE label WHEN 'DOWN' THEN 40 WHEN 'FLAT' THEN 20 ELSE 60 END", ["seq", "label"]))
+@query(sql([*LEDGER, f"r AS (SELECT seq, label, row_number() OVER (PARTITION BY label ORDER BY {_DRAW}, seq) AS r FROM ledger)"], "SELECT seq, label FROM r WHERE r <= CASE label WHEN 'DOWN' THEN 500 WHEN 'FLAT' THEN 250 ELSE 750 END", ["seq", "label"]))
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.stratified(V.ledger(spark, sf_dir), "label", {"DOWN": 40, "FLAT": 20, "UP": 60}, "seq").select("seq", "label")
+    return J.stratified(V.ledger(spark, sf_dir), "label", {"DOWN": 500, "FLAT": 250, "UP": 750}, "seq").select("seq", "label")
 
 
 @query(sql([*LEDGER, f"r AS (SELECT seq, row_number() OVER (ORDER BY {_DRAW}, seq) AS r, count(*) OVER () AS n FROM ledger)"], "SELECT seq, CASE WHEN r <= greatest(1, floor(n * 0.05)) THEN 'validation' ELSE 'train' END AS part FROM r", ["seq", "part"]))

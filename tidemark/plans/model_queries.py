@@ -59,7 +59,7 @@ def gated_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.groupBy("branch", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-_TAUS = [0.30, 0.35, 0.40, 0.45, 0.50]
+_TAUS = [round(0.10 + 0.05 * k, 2) for k in range(11)]
 _TAU_SQL = "t AS (SELECT unnest([" + ", ".join(f"{t}::DOUBLE" for t in _TAUS) + "]) AS tau)"
 
 
@@ -86,36 +86,25 @@ def down_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(D.down_sweep(_pred(spark, sf_dir), _TAUS, 0.5))
 
 
-@query(
-    sql(
-        [*PRED, "g AS (SELECT c AS confidence, t AS tau, m AS margin, actual, CASE WHEN " + _TOP + " < c THEN -1 WHEN p_flat >= t THEN 1 WHEN abs(p_up - p_down) < m THEN 1 WHEN p_down >= p_up THEN 0 ELSE 2 END AS call FROM predictions, (SELECT unnest([0.35::DOUBLE, 0.45::DOUBLE]) AS c), (SELECT unnest([0.4::DOUBLE, 0.5::DOUBLE]) AS t), (SELECT unnest([0.0::DOUBLE, 0.1::DOUBLE]) AS m))"],
-        "SELECT confidence, tau, margin, avg(CAST(call IN (0, 2) AS INTEGER)) AS coverage, count(*) FILTER (call = actual) / nullif(count(*) FILTER (call >= 0), 0) AS accuracy_called, avg(CAST(call = actual AS INTEGER)) AS accuracy_all, least("
-        + ", ".join(f"coalesce(count(*) FILTER (call = {k} AND actual = {k}) / nullif(count(*) FILTER (actual = {k}), 0), 0)" for k in range(3)) + ") AS least_recall FROM g GROUP BY 1, 2, 3",
-        [], ["confidence", "tau", "margin", "coverage", "accuracy_called", "accuracy_all", "least_recall"],
-    )
-)
-def policy_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.policy_grid(_pred(spark, sf_dir), [0.35, 0.45], [0.4, 0.5], [0.0, 0.1]))
-
-
 #: 7 x 7 x 5 = 245 policies. The reference tells their number only; the values are ours.
 _POLICIES = [0.0, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60], [0.30, 0.35, 0.40, 0.45, 0.50, 0.55, 0.60], [0.0, 0.02, 0.05, 0.10, 0.15]
+_GRID3 = ", ".join(f"(SELECT unnest([{', '.join(f'{v}::DOUBLE' for v in values)}]) AS {x})" for x, values in zip("ctm", _POLICIES))
+_RECALLS = [f"coalesce(count(*) FILTER (call = {k} AND actual = {k}) / nullif(count(*) FILTER (actual = {k}), 0), 0) AS r{k}, avg(CAST(actual = {k} AS INTEGER)) AS s{k}" for k in range(3)]
+_SHORT = ", ".join(f"CASE WHEN s{k} >= 0.1 AND r{k} < 0.15 THEN '{name} recall below 0.15' END" for k, name in enumerate(("DOWN", "FLAT", "UP")))
 
 
-@query()
+@query(
+    sql(
+        [*PRED, "g AS (SELECT c AS confidence, t AS tau, m AS margin, actual, CASE WHEN " + _TOP + f" < c THEN -1 WHEN p_flat >= t THEN 1 WHEN abs(p_up - p_down) < m THEN 1 WHEN p_down >= p_up THEN 0 ELSE 2 END AS call FROM predictions, {_GRID3})",
+         "s AS (SELECT confidence, tau, margin, avg(CAST(call IN (0, 2) AS INTEGER)) AS coverage, count(*) FILTER (call = actual) / nullif(count(*) FILTER (call >= 0), 0) AS accuracy_called, avg(CAST(call = actual AS INTEGER)) AS accuracy_all, " + ", ".join(_RECALLS) + " FROM g GROUP BY 1, 2, 3)",
+         f"u AS (SELECT *, least(r0, r1, r2) AS least_recall, nullif(concat_ws('; ', {_SHORT}), '') AS infeasible_reason FROM s)"],
+        "SELECT *, infeasible_reason IS NULL AS feasible FROM u", ["feasible", "infeasible_reason"], ["confidence", "tau", "margin", "coverage", "accuracy_called", "accuracy_all", "least_recall"],
+    )
+)
 def policy_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(D.policy_search(_pred(spark, sf_dir), *_POLICIES))
 
 
-_ALL_TAUS = [round(0.10 + 0.05 * k, 2) for k in range(11)]
-
-
-@query(ORACLE_SQL["flat_sweep"].replace(_TAU_SQL, "t AS (SELECT unnest([" + ", ".join(f"{t}::DOUBLE" for t in _ALL_TAUS) + "]) AS tau)"))
-def flat_sweep_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``flat_sweep``, with the reference's eleven thresholds."""
-    return rounded(D.flat_sweep(_pred(spark, sf_dir), _ALL_TAUS))
-
-
 _SIZED = "z AS (SELECT *, CASE predicted WHEN 2 THEN greatest(0, least(1, (p_up - 0.4) / 0.6)) WHEN 0 THEN -greatest(0, least(1, (p_down - 0.4) / 0.6)) ELSE 0 END AS signal FROM predictions)"
 #: Acceptance step by step: of each symbol and start only the first wish in order counts, and the next one taken is the earliest that starts after the end of the last.
 _ACCEPT = [
@@ -281,17 +270,17 @@ def daily_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _POS2 = "d AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS pos, count(*) OVER () AS n FROM (SELECT DISTINCT ts FROM predictions))"
-_PAIR = [V.predictions_sql("pa", 0), V.predictions_sql("pb0", 1), "pb AS (SELECT * FROM pb0 WHERE id % 10 <> 3)", "pr AS (SELECT pa.id, pa.ts, pa.actual, pa.predicted AS predicted_a, pb.predicted AS predicted_b, pa.p_up AS p_up_a, pb.p_up AS p_up_b FROM pa JOIN pb USING (id))"]
+_PAIR = [V.predictions_sql("pa", 0), V.predictions_sql("pb", 1), "pr AS (SELECT pa.id, pa.ts, pa.actual, pa.predicted AS predicted_a, pb.predicted AS predicted_b, pa.p_up AS p_up_a, pb.p_up AS p_up_b FROM pa JOIN pb USING (id))"]
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, b = V.predictions(spark, sf_dir), V.predictions(spark, sf_dir, 1)
-    return J.paired(a, b.where("id % 10 <> 3"), ["id", "ts"], "actual", ["predicted", "p_up"])
+    return J.paired(a, b, ["id", "ts"], "actual", ["predicted", "p_up"])
 
 
 @query(sql(_PAIR, "SELECT (SELECT count(*) FROM pa) AS n_a, (SELECT count(*) FROM pb) AS n_b, count(*) AS n_paired, (SELECT count(*) FROM pa) - count(*) AS n_only_a, (SELECT count(*) FROM pb) - count(*) AS n_only_b, 0::BIGINT AS n_label_mismatch FROM pr", ["n_a", "n_b", "n_paired", "n_only_a", "n_only_b", "n_label_mismatch"]))
 def pairing_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.pairing_counts(V.predictions(spark, sf_dir), V.predictions(spark, sf_dir, 1).where("id % 10 <> 3"), ["id"], "actual")
+    return J.pairing_counts(V.predictions(spark, sf_dir), V.predictions(spark, sf_dir, 1), ["id"], "actual")
 
 
 _DAYS = "dy AS (SELECT ts, avg(CAST(predicted_b = actual AS INTEGER) - CAST(predicted_a = actual AS INTEGER)) AS delta FROM pr GROUP BY 1)"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DIGITS = 4
+DIGITS = 7
 #: Added before values are cut to ``DIGITS``: data with few decimals have many means just at a half, none at this.
 OFFSET = 0.31830989
 

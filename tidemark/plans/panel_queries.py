@@ -129,7 +129,7 @@ def recursive_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(X.recursive_features(V.bars(spark, sf_dir)).select("symbol", "ts", *_REC))
 
 
-_FRAC = W.fractional_weights(0.4, most=30)
+_FRAC = W.fractional_weights(0.4)
 
 
 @query(
@@ -328,19 +328,11 @@ def news_day_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     sql(
-        [*BARS, "m AS (SELECT symbol, ts, volume AS v FROM bars WHERE extract('day' FROM ts) % 2 = 0)", f"l AS (SELECT b.symbol, b.ts, lag(v) OVER (PARTITION BY b.symbol ORDER BY b.ts) AS v_lag1 FROM bars b LEFT JOIN m ON b.symbol = m.symbol AND b.ts = m.ts)"],
+        [*BARS, "m AS (SELECT symbol, ts, volume AS v FROM bars)", f"l AS (SELECT b.symbol, b.ts, lag(v) OVER (PARTITION BY b.symbol ORDER BY b.ts) AS v_lag1 FROM bars b LEFT JOIN m ON b.symbol = m.symbol AND b.ts = m.ts)"],
         f"SELECT symbol, ts, v_lag1, {_z('v_lag1', 20)} AS v_z20, CASE WHEN v_lag1 IS NOT NULL THEN 1.0 ELSE 0.0 END AS v_available FROM l", ["symbol", "ts"], ["v_lag1", "v_z20", "v_available"],
     )
 )
 def lagged_publication(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = V.bars(spark, sf_dir)
-    published = b.where(F.dayofmonth("ts") % 2 == 0).select("symbol", "ts", F.col("volume").alias("v"))
-    return rounded(X.lagged_publication(b.select("symbol", "ts"), published, ["v"]))
-
-
-@query(ORACLE_SQL["lagged_publication"].replace(" WHERE extract('day' FROM ts) % 2 = 0", ""))
-def lagged_publication_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``lagged_publication``, published on every day."""
     b = V.bars(spark, sf_dir)
     return rounded(X.lagged_publication(b.select("symbol", "ts"), b.select("symbol", "ts", F.col("volume").alias("v")), ["v"]))
 
@@ -383,16 +375,20 @@ def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.with_event_session(V.articles(spark, sf_dir), V.sessions(spark, sf_dir)).select("article_id", "decision_date")
 
 
-@query("SELECT p_partkey, k AS key FROM part, (VALUES ('alum', 'ALUM'), ('steel', 'STEEL'), ('steel', 'BRASS'), ('small', 'SMALL')) v(k, a) WHERE contains(upper(p_type || ' ' || p_name), a) GROUP BY 1, 2")
+_ALIASES = "al AS (SELECT DISTINCT lower(word) AS key, upper(word) AS a FROM (SELECT unnest(string_split(p_type, ' ') || string_split(p_name, ' ')) AS word FROM part) WHERE trim(word) <> '' UNION SELECT DISTINCT 'maker', upper(p_brand) FROM part)"
+
+
+@query(sql([_ALIASES], "SELECT DISTINCT p_partkey, key FROM part JOIN al ON contains(upper(concat_ws(' ', p_brand, p_type, p_name)), a)", ["p_partkey", "key"]))
 def substring_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    aliases = spark.createDataFrame([("alum", "alum"), ("steel", "Steel"), ("steel", "brass"), ("small", "small")], "key string, alias string")
-    texts = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_type", "p_name").alias("hay"))
-    return J.substring_matches(texts, aliases, "hay", "alias").select("p_partkey", "key")
+    part = table(spark, sf_dir, "part")
+    words = part.select(F.explode(F.concat(F.split("p_type", " "), F.split("p_name", " "))).alias("word")).select(F.lower("word").alias("key"), F.col("word").alias("alias"))
+    aliases = words.unionByName(part.select(F.lit("maker").alias("key"), F.col("p_brand").alias("alias")))
+    return J.substring_matches(part.select("p_partkey", F.concat_ws(" ", "p_brand", "p_type", "p_name").alias("hay")), aliases, "hay", "alias").select("p_partkey", "key")
 
 
 @query(
     sql(
-        [*BARS, V.MEMBERSHIP_SQL, _MEMBER, "ev AS (SELECT symbol, ts, count(*) AS own FROM bars, generate_series(1, CAST(extract('day' FROM ts) AS INTEGER) % 3) GROUP BY 1, 2)",
+        [*BARS, V.MEMBERSHIP_SQL, _MEMBER, "ev AS (SELECT 'V' || CAST(l_suppkey AS VARCHAR) AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS ts, count(*) AS own FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1, 2)",
          'tg AS (SELECT ts, bucket, sum(own) AS s FROM ev JOIN membership m ON ev.symbol = m.symbol AND ts >= m."from" AND (m."to" IS NULL OR ts <= m."to") GROUP BY 1, 2)', "mk AS (SELECT ts, sum(own) AS market FROM ev GROUP BY 1)"],
         "SELECT b.symbol, b.ts, b.bucket, coalesce(own, 0) AS own, CAST(greatest(coalesce(s, 0) - coalesce(own, 0), 0) AS BIGINT) AS bucket_other, CAST(coalesce(market, 0) AS BIGINT) AS market FROM b LEFT JOIN ev ON ev.symbol = b.symbol AND ev.ts = b.ts LEFT JOIN tg ON tg.ts = b.ts AND tg.bucket = b.bucket LEFT JOIN mk ON mk.ts = b.ts",
         ["symbol", "ts", "bucket", "own", "bucket_other", "market"],
@@ -400,7 +396,8 @@ def substring_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def bucket_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = V.bars(spark, sf_dir).select("symbol", "ts")
-    events = b.select("symbol", "ts", F.explode(F.when(F.dayofmonth("ts") % 3 > 0, F.sequence(F.lit(1), F.dayofmonth("ts") % 3))).alias("i"))
+    lines = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'")
+    events = lines.select(F.concat(F.lit("V"), F.col("l_suppkey").cast("string")).alias("symbol"), F.date_trunc("week", "l_shipdate").cast("date").alias("ts"))
     members = V.membership(spark, sf_dir)
     return J.bucket_activity(J.interval_join(b, members), events, members).select("symbol", "ts", "bucket", "own", "bucket_other", "market")
 
@@ -471,29 +468,26 @@ def _barrier_sql(h: int = 5, m: float = 1.0, band: float = 1.0, name: str = "tb"
     ]
 
 
-@query(sql([*BARS, _RET, *_barrier_sql()], "SELECT * FROM tb", ["symbol", "ts", "label_raw", "event_start", "event_end"], _TB))
+@query(sql([*BARS, _RET, *_barrier_sql()], "SELECT *, label_raw + 1 AS label FROM tb", ["symbol", "ts", "label_raw", "label", "event_start", "event_end"], _TB))
 def triple_barrier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(L.triple_barrier(V.bars(spark, sf_dir)))
 
 
-_CELLS = [(h, m) for h in (3, 5) for m in (1.0, 1.5)]
+_HORIZONS, _MULTIPLIERS = [1, 5, 10, 20], [0.5, 1.0, 1.5]
+_CELLS = [(h, m) for h in _HORIZONS for m in _MULTIPLIERS]
+_CLASSES = {-1: "down", 0: "flat", 1: "up"}
+_CELL_FIGURES = [f"{x}_{c}" for x in ("share", "median", "std") for c in _CLASSES.values()]
 
 
 @query(
     sql(
         [*BARS, _RET, *[x for h, m in _CELLS for x in _barrier_sql(h, m, 1.0, f"c{h}_{int(m * 10)}_")]],
-        " UNION ALL ".join(f"SELECT {h} AS horizon, {m}::DOUBLE AS multiplier, count(*) AS n, avg(CAST(label_raw = -1 AS INTEGER)) AS share_down, avg(CAST(label_raw = 0 AS INTEGER)) AS share_flat, avg(CAST(label_raw = 1 AS INTEGER)) AS share_up, quantile_cont(realized_return, 0.5) AS median_return, stddev_pop(realized_return) AS std_return FROM c{h}_{int(m * 10)}_" for h, m in _CELLS),
-        ["horizon", "n"], ["multiplier", "share_down", "share_flat", "share_up", "median_return", "std_return"],
+        " UNION ALL ".join(f"SELECT {h} AS horizon, {m}::DOUBLE AS multiplier, count(*) AS n, " + ", ".join(f"avg(CAST(label_raw = {v} AS INTEGER)) AS share_{c}, quantile_cont(realized_return, 0.5) FILTER (label_raw = {v}) AS median_{c}, stddev_pop(realized_return) FILTER (label_raw = {v}) AS std_{c}" for v, c in _CLASSES.items()) + f" FROM c{h}_{int(m * 10)}_" for h, m in _CELLS),
+        ["horizon", "n"], ["multiplier", *_CELL_FIGURES],
     )
 )
 def label_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(L.label_grid(V.bars(spark, sf_dir), [3, 5], [1.0, 1.5]))
-
-
-@query()
-def label_grid_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``label_grid``, with the reference's twelve cells."""
-    return rounded(L.label_grid(V.bars(spark, sf_dir), [1, 5, 10, 20], [0.5, 1.0, 1.5]))
+    return rounded(L.label_grid(V.bars(spark, sf_dir), _HORIZONS, _MULTIPLIERS))
 
 
 _BANDS = [0.25, 0.5, 1.0, 2.0]

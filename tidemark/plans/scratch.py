@@ -2,7 +2,8 @@
 
 Executors may be lost at any time, so lineage is cut only through files that
 every executor can read: the folder named by ``spark.checkpoint.dir``. A folder
-of this machine is used only where the session names none, as in tests.
+of this machine is used only where the session names none and runs on this
+machine alone, as in tests; on a cluster an unnamed folder is an error.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if sc.applicationId not in _LOCAL:
         _LOCAL[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return _LOCAL[sc.applicationId]

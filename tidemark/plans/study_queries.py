@@ -101,7 +101,7 @@ def top_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql([*_PAIR], "SELECT count(*) AS n, max(abs(p_up_a - p_up_b)) AS max_abs_diff, avg(abs(p_up_a - p_up_b)) AS mean_abs_diff, count(*) FILTER (abs(p_up_a - p_up_b) > 1e-6) AS n_different, avg(CAST(predicted_a = predicted_b AS INTEGER)) AS agreement FROM pr", ["n", "n_different"], ["max_abs_diff", "mean_abs_diff", "agreement"]))
 def reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(J.reconciled(V.predictions(spark, sf_dir), V.predictions(spark, sf_dir, 1).where("id % 10 <> 3"), ["id"], ["p_up"], "predicted"))
+    return rounded(J.reconciled(V.predictions(spark, sf_dir), V.predictions(spark, sf_dir, 1), ["id"], ["p_up"], "predicted"))
 
 
 @query(sql([*PRED, _POS2], "SELECT pos >= floor(n * (1 - 0.2)) AS held_out, count(*) AS n_rows, min(ts) AS first FROM predictions JOIN d USING (ts) GROUP BY 1", ["held_out", "n_rows", "first"]))
@@ -223,17 +223,10 @@ def fallback_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     sql(
         [V.BARS_SQL, f"b AS (SELECT symbol, ts, row_number() OVER ({W_}) AS i, close / nullif(lag(close, 5) OVER ({W_}), 0) - 1 AS t5, (volume - avg(volume) OVER p) / nullif(stddev_samp(volume) OVER p, 0) AS vz FROM bars WINDOW p AS ({W_} ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"],
-        "SELECT symbol, ts, CASE WHEN i > 5 THEN t5 END AS trend5, CASE WHEN i > 20 THEN vz END AS volume_z FROM b WHERE extract('day' FROM ts) <= 7", ["symbol", "ts"], ["trend5", "volume_z"],
+        "SELECT symbol, ts, CASE WHEN i > 5 THEN t5 END AS trend5, CASE WHEN i > 20 THEN vz END AS volume_z FROM b", ["symbol", "ts"], ["trend5", "volume_z"],
     )
 )
 def case_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = V.bars(spark, sf_dir)
-    return rounded(H.case_pool(b.where(F.dayofmonth("ts") <= 7).select("symbol", "ts"), b))
-
-
-@query(ORACLE_SQL["case_pool"].replace(" WHERE extract('day' FROM ts) <= 7", ""))
-def case_pool_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``case_pool``, of every bar."""
     b = V.bars(spark, sf_dir)
     return rounded(H.case_pool(b.select("symbol", "ts"), b))
 
@@ -241,7 +234,7 @@ def case_pool_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql([*DECIDED, "u AS (SELECT symbol, decision_date, subject AS text FROM dd WHERE decision_date IS NOT NULL)"], "SELECT DISTINCT symbol, decision_date, text, symbol || '|' || CAST(decision_date AS VARCHAR) || '|' || substr(md5(text), 1, 8) AS case_id FROM u", ["symbol", "decision_date", "text", "case_id"]))
 def united_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _decided(spark, sf_dir).withColumn("text", F.col("subject"))
-    return H.united_cases([d.where("article_id % 2 = 0"), d]).select("symbol", "decision_date", "text", "case_id")
+    return H.united_cases([d.where("subject = 'purchase'"), d]).select("symbol", "decision_date", "text", "case_id")
 
 
 @query("SELECT event_id FROM events WHERE epoch_us((SELECT max(ts) FROM events)) - epoch_us(ts) <= CAST(86400 AS BIGINT) * 1000000")
@@ -275,16 +268,8 @@ def signal_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.signal_report(_pred(spark, sf_dir), 0.5))
 
 
-@query(sql([V.ARTICLES_SQL, V.SESSIONS_SQL, _GRID, "e AS (SELECT DISTINCT symbol, CAST(published_utc AS DATE) AS d FROM articles WHERE subject = 'purchase' AND article_id % 9 = 0)", "l AS (SELECT g.symbol, g.ts, date_diff('day', max(e.d), g.ts) AS days FROM g LEFT JOIN e ON e.symbol = g.symbol AND e.d < g.ts GROUP BY 1, 2)"], "SELECT CASE WHEN days <= 5 THEN '0-5' WHEN days <= 10 THEN '6-10' WHEN days <= 20 THEN '11-20' WHEN days IS NOT NULL THEN '21+' ELSE 'none' END AS proximity, count(*) AS n FROM l GROUP BY 1", ["proximity", "n"]))
+@query(sql([V.ARTICLES_SQL, V.SESSIONS_SQL, _GRID, "e AS (SELECT DISTINCT symbol, CAST(published_utc AS DATE) AS d FROM articles WHERE subject = 'purchase')", "l AS (SELECT g.symbol, g.ts, date_diff('day', max(e.d), g.ts) AS days FROM g LEFT JOIN e ON e.symbol = g.symbol AND e.d < g.ts GROUP BY 1, 2)"], "SELECT CASE WHEN days <= 5 THEN '0-5' WHEN days <= 10 THEN '6-10' WHEN days <= 20 THEN '11-20' WHEN days IS NOT NULL THEN '21+' ELSE 'none' END AS proximity, count(*) AS n FROM l GROUP BY 1", ["proximity", "n"]))
 def event_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = V.articles(spark, sf_dir).where("subject = 'purchase' and article_id % 9 = 0").select("symbol", F.to_date("published_utc").alias("ts"))
-    days = J.last_before(_grid(spark, sf_dir), events, "last", strict=True).select(F.datediff("ts", "last").alias("days"))
-    return days.groupBy(H.proximity(F.col("days")).alias("proximity")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(ORACLE_SQL["event_proximity"].replace(" AND article_id % 9 = 0", ""))
-def event_proximity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``event_proximity``, after every purchase."""
     events = V.articles(spark, sf_dir).where("subject = 'purchase'").select("symbol", F.to_date("published_utc").alias("ts"))
     days = J.last_before(_grid(spark, sf_dir), events, "last", strict=True).select(F.datediff("ts", "last").alias("days"))
     return days.groupBy(H.proximity(F.col("days")).alias("proximity")).agg(F.count(F.lit(1)).alias("n"))

@@ -14,20 +14,20 @@ _ORDER = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(symbol, ts, open, high, low, close, volume): weekly bars of each brand's unit prices."""
-    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
+    """(symbol, ts, open, high, low, close, volume): weekly bars of each supplier's unit prices; their number grows with the data."""
     px = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct(*_ORDER)
-    return lines.groupBy(F.col("p_brand").alias("symbol"), F.date_trunc("week", "l_shipdate").cast("date").alias("ts")).agg(
+    symbol = F.concat(F.lit("V"), F.col("l_suppkey").cast("string"))
+    return table(spark, sf_dir, "lineitem").groupBy(symbol.alias("symbol"), F.date_trunc("week", "l_shipdate").cast("date").alias("ts")).agg(
         F.min_by(px, order).alias("open"), F.max(px).alias("high"), F.min(px).alias("low"), F.max_by(px, order).alias("close"), F.sum("l_quantity").alias("volume")
     )
 
 
 BARS_SQL = f"""bars AS (
-  SELECT p_brand AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS ts,
+  SELECT 'V' || CAST(l_suppkey AS VARCHAR) AS symbol, CAST(date_trunc('week', l_shipdate) AS DATE) AS ts,
     first(l_extendedprice / l_quantity ORDER BY {", ".join(_ORDER)}) AS open, max(l_extendedprice / l_quantity) AS high, min(l_extendedprice / l_quantity) AS low,
     last(l_extendedprice / l_quantity ORDER BY {", ".join(_ORDER)}) AS close, sum(l_quantity) AS volume
-  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2)"""
+  FROM lineitem GROUP BY 1, 2)"""
 
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 MACRO = ["m_urgent", "m_high", "m_medium", "m_unspecified", "m_low"]
@@ -68,17 +68,19 @@ SESSIONS_SQL = "sessions AS (SELECT DISTINCT CAST(ts AS DATE) AS session FROM ev
 
 
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(symbol, bucket, from, to): intervals of brands, with gaps and open ends."""
-    b = table(spark, sf_dir, "part").select(F.col("p_brand").alias("symbol")).distinct().withColumn("n", F.regexp_extract("symbol", r"(\d+)$", 1).cast("int"))
-    early = b.where("n % 7 != 3").select("symbol", F.concat(F.lit("B"), (F.col("n") % 5).cast("string")).alias("bucket"), F.lit("1992-01-01").cast("date").alias("from"), F.date_add(F.lit("1994-06-01").cast("date"), F.col("n") * 7).alias("to"))
-    late = b.where("n % 4 != 1").select("symbol", F.concat(F.lit("B"), ((F.col("n") + 1) % 5).cast("string")).alias("bucket"), F.date_add(F.lit("1995-06-01").cast("date"), F.col("n")).alias("from"), F.lit(None).cast("date").alias("to"))
+    """(symbol, bucket, from, to): intervals of suppliers, with gaps and open ends."""
+    n = F.col("s_suppkey").cast("int")
+    b = table(spark, sf_dir, "supplier").select(F.concat(F.lit("V"), n.cast("string")).alias("symbol"), n.alias("n"))
+    bucket = lambda k: F.concat(F.lit("B"), (k % 5).cast("string")).alias("bucket")
+    early = b.where("n % 7 != 3").select("symbol", bucket(F.col("n")), F.lit("1992-01-01").cast("date").alias("from"), F.date_add(F.lit("1994-06-01").cast("date"), F.col("n") % 25 * 7).alias("to"))
+    late = b.where("n % 4 != 1").select("symbol", bucket(F.col("n") + 1), F.date_add(F.lit("1995-06-01").cast("date"), F.col("n") % 200).alias("from"), F.lit(None).cast("date").alias("to"))
     return early.unionByName(late)
 
 
-MEMBERSHIP_SQL = """brands AS (SELECT DISTINCT p_brand AS symbol, CAST(regexp_extract(p_brand, '(\\d+)$', 1) AS INTEGER) AS n FROM part),
+MEMBERSHIP_SQL = """vendors AS (SELECT 'V' || CAST(s_suppkey AS VARCHAR) AS symbol, CAST(s_suppkey AS INTEGER) AS n FROM supplier),
 membership AS (
-  SELECT symbol, 'B' || CAST(n % 5 AS VARCHAR) AS bucket, DATE '1992-01-01' AS "from", DATE '1994-06-01' + n * 7 AS "to" FROM brands WHERE n % 7 <> 3
-  UNION ALL SELECT symbol, 'B' || CAST((n + 1) % 5 AS VARCHAR), DATE '1995-06-01' + n, NULL FROM brands WHERE n % 4 <> 1)"""
+  SELECT symbol, 'B' || CAST(n % 5 AS VARCHAR) AS bucket, DATE '1992-01-01' AS "from", DATE '1994-06-01' + n % 25 * 7 AS "to" FROM vendors WHERE n % 7 <> 3
+  UNION ALL SELECT symbol, 'B' || CAST((n + 1) % 5 AS VARCHAR), DATE '1995-06-01' + n % 200, NULL FROM vendors WHERE n % 4 <> 1)"""
 
 
 def predictions(spark: SparkSession, sf_dir: str, seed: int = 0) -> DataFrame:
