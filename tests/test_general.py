@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import versions_at, with_attributes
-from tidemark.operators.deliveries import DeliveryStore, exactly_once, repeated_deliveries
+from tidemark.operators.deliveries import DeliveryStore, _sorted_buckets, exactly_once, repeated_deliveries
 from tidemark.operators.instants import InstantDictionary, duration_micros, news_instants, parse_instants
 from tidemark.operators.trailing import idle_days, trailing_totals
-from tidemark.plans.skew import bounded_join, split_join
+from tidemark.plans.skew import bounded_join, hot_keys, salted_join, split_join
 
 UTC = dt.timezone.utc
 
@@ -113,19 +113,38 @@ def test_exactly_once(spark):
     assert repeated_deliveries(df.limit(0)).count() == 0
 
 
-def test_store_is_idempotent(spark):
-    rows = [(i, f"c{i % 7}", dt.datetime(2024, 1, 1, tzinfo=UTC) + dt.timedelta(seconds=(i * 37) % 11), "x") for i in range(60)]
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_store_over_two_sessions(spark, tmp_path):
+    rows = [(i, f"c{i % 7}", dt.datetime(2024, 1, 1, tzinfo=UTC) + dt.timedelta(seconds=(i * 37) % 11), "x") for i in range(60)] + [(90, None, None, "x"), (91, "late", None, "x"), (92, "late", None, "x")]
     df = spark.createDataFrame(rows, SCHEMA)
-    store = DeliveryStore(spark, buckets=3)
-    store.upsert(df.where("msg_id < 40"))
-    store.upsert(df)
-    first = {r["key"]: r["msg_id"] for r in store.compact().collect()}
-    store.upsert(df)
-    assert {r["key"]: r["msg_id"] for r in store.compact().collect()} == first
     best = {}
     for i, c, at, _ in rows:
-        best[c.upper()] = min(best.get(c.upper(), (at, i)), (at, i))
-    assert first == {k: v[1] for k, v in best.items()}
+        if c:
+            best[c.upper()] = min(best.get(c.upper(), (at or dt.datetime.max.replace(tzinfo=UTC), i)), (at or dt.datetime.max.replace(tzinfo=UTC), i))
+    expected = {k: v[1] for k, v in best.items()}
+    path = f"file://{tmp_path}/store"
+    store = DeliveryStore(spark, path, buckets=3)
+    store.upsert(df.where("msg_id < 20"), batch_id="one")
+    store.upsert(df.where("msg_id between 15 and 40"), batch_id="two")
+    # A second session knows the runs and the number of buckets, and takes no batch twice.
+    again = DeliveryStore(spark, path)
+    assert again.buckets == 3 and again.runs == store.runs and len(again.runs) == 2
+    again.upsert(df, batch_id="two")
+    assert len(again.runs) == 2
+    again.upsert(df, batch_id="three", cut=dt.datetime(2024, 1, 1, 0, 0, 5, tzinfo=UTC))
+    assert len(again.runs) == 4
+    with _sorted_buckets(spark):
+        plan = _plan(again._merged(*again.runs[:2]))
+    assert "SortMergeJoin" in plan and "Exchange" not in plan and " Sort [" not in plan
+    assert {r["key"]: r["msg_id"] for r in again.compact().collect()} == expected
+    # Only the merged run is left; a batch that comes again changes nothing.
+    assert [n for n in again.folder.names() if n.startswith("merge-")] == again.runs and not any(again.folder.names(n) for n in again.folder.names() if n.startswith("run-"))
+    again.upsert(df)
+    assert {r["key"]: r["msg_id"] for r in DeliveryStore(spark, path).compact().collect()} == expected
+    assert DeliveryStore(spark, f"file://{tmp_path}/none").compact().count() == 0
 
 
 PANEL = "symbol string, ts date, ret_20 double, volatility_20 double, news_count double, updated_at timestamp, cal_day string"
@@ -157,6 +176,15 @@ def test_trailing_total_is_exact(spark):
     assert got == {str(dt.date(2024, 1, 1) + dt.timedelta(days=k)) for k in range(11, 40)}
 
 
+def test_large_values_are_summed(spark):
+    v = [1e300, -3e20, 1e15, 2.5, None, 7e13]
+    rows = [("A", dt.date(2024, 1, 1 + k), x, 0.0, 0.1, None, "z") for k, x in enumerate(v)] + [("B", dt.date(2024, 1, 1), float("inf"), 0.0, 1e-15, None, "z")]
+    got = {(r["symbol"], r["cal_day"].day): r for r in trailing_totals(spark.createDataFrame(rows, PANEL), ["ret_20", "news_count"], [2]).collect()}
+    assert got["A", 1]["ret_20_total_2"] == 1e300 and got["A", 3]["ret_20_total_2"] == -3e20 + 1e15 and got["A", 4]["ret_20_total_2"] == 1e15 + 2.5
+    assert got["A", 6]["ret_20_total_2"] == 7e13 and got["A", 6]["ret_20_obs_2"] == 1
+    assert got["B", 1]["ret_20_total_2"] == 0 and got["B", 1]["news_count_total_2"] == 1e-15
+
+
 def test_versions_against_brute_force(spark):
     import random
 
@@ -189,6 +217,8 @@ def test_joins_beyond_the_broadcast_bound(spark):
     for how in ("inner", "left", "left_semi", "left_anti"):
         small = sorted(map(tuple, bounded_join(facts, dim, ["k"], how).select("i").collect()))
         assert small == sorted(map(tuple, bounded_join(facts, dim, ["k"], how, max_rows=1).select("i").collect()))
+        assert small == sorted(map(tuple, salted_join(facts, dim, ["k"], how, salts=3, hot_floor=20).select("i").collect()))
+    assert {r["k"] for r in hot_keys(facts, ["k"], floor=40).collect()} == {0}
     counts = facts.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     plain = sorted(map(str, facts.join(dim, "k", "left").select("i", "v").collect()))
     assert plain == sorted(map(str, split_join(facts, dim, ["k"], counts, "n", hot_floor=20).select("i", "v").collect()))

@@ -42,3 +42,39 @@ def materialize(df: DataFrame, label: str, partition_by: list[str] | None = None
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Folder:
+    """A folder of any file system that Spark reaches, for what is too small to be a table."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+        self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def _at(self, name: str):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+
+    def names(self, name: str = "") -> list[str]:
+        """Names in the folder or one below it; none where there is no such folder."""
+        at = self._at(name)
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(at)) if self._fs.exists(at) else []
+
+    def read_text(self, name: str) -> str:
+        stream = self._fs.open(self._at(name))
+        try:
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write_text(self, name: str, text: str) -> None:
+        """Write a new file whole or not at all; a file of that name is an error."""
+        part = self._at(f".{name}.{uuid.uuid4().hex}")
+        stream = self._fs.create(part, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        if self._fs.exists(self._at(name)) or not self._fs.rename(part, self._at(name)):
+            self._fs.delete(part, False)
+            raise FileExistsError(f"{self.path}/{name}")
+
+    def remove(self, name: str) -> None:
+        self._fs.delete(self._at(name), True)
