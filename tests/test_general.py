@@ -41,6 +41,10 @@ INSTANTS = [
     (" 2022-01-25 02:38:09z\t", "Asia/Kolkata", "DMY", micros(2022, 1, 25, 2, 38, 9)),
     ("2022-04-20T10:08Z", "UTC", "DMY", micros(2022, 4, 20, 10, 8)),
     ("Jan 5, 2024 10:02 PM", "UTC", "DMY", micros(2024, 1, 5, 22, 2)),
+    ("2024-07-05 10:00 IST", "Europe/Dublin", "DMY", micros(2024, 7, 5, 9)),
+    ("2024-07-05 10:00 CST", "Asia/Shanghai", "DMY", micros(2024, 7, 5, 2)),
+    ("2024-01-05 10:00 AEDT", "Australia/Sydney", "DMY", micros(2024, 1, 4, 23)),
+    ("2024-01-05 10:00 SAST", "Africa/Johannesburg", "DMY", micros(2024, 1, 5, 8)),
     ("2024-02-30 10:00:00", "UTC", "DMY", None),
     ("0000-00-00 00:00:00", "UTC", "DMY", None),
     ("2024-01-05 25:00", "UTC", "DMY", None),
@@ -81,6 +85,9 @@ def test_dictionary_parses_new_texts_only(spark, tmp_path):
     d = InstantDictionary(spark, path)
     d.absorb(req("5m", "5m", None, "x"))
     d.absorb(req("5m", "1h"))
+    assert len(d.folder.names()) == 2 and spark.read.parquet(*[f"{path}/{n}" for n in d.folder.names()]).count() == 3
+    # Another writer that saw nothing of this adds a key once more.
+    spark.read.parquet(f"{path}/{d.folder.names()[0]}").write.parquet(f"{path}/texts-other")
     again = InstantDictionary(spark, path)
     assert sorted((r["raw"], r["earlier"]) for r in again.read().collect()) == [("1h", 3_600_000_000), ("5m", 300_000_000), ("x", None)]
     rows = spark.createDataFrame([("5m",), ("zz",), (None,)], "t string")

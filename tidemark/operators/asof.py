@@ -13,12 +13,18 @@ entity with a third of all events is spread over as many tasks as it has days.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.plans.skew import bounded_join
 
 _DAY_US = 86_400_000_000
+#: Levels of blocks of numbers; an entity can have 2 ** 30 changes.
+_LEVELS = 31
+
+
+def _day(c: str) -> Column:
+    return F.floor(F.col(c) / F.lit(_DAY_US)).cast("long")
 
 
 def entity_key(symbol: str):
@@ -39,25 +45,58 @@ def change_points(versions: DataFrame, entity: str = "symbol") -> DataFrame:
     return v.select("entity_key", F.explode(F.array_compact(F.array("start", "end"))).alias("at")).distinct()
 
 
+def numbered_changes(points: DataFrame) -> DataFrame:
+    """(entity_key, at, number, total): changes of each entity numbered from 1 in order of time, by days and within a day, and how many it has."""
+    dated = points.withColumn("day", _day("at"))
+    per_day = dated.groupBy("entity_key", "day").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("entity_key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    carried = per_day.select("entity_key", "day", F.coalesce(before, F.lit(0)).alias("carried"), F.sum("n").over(Window.partitionBy("entity_key")).alias("total"))
+    own = F.row_number().over(Window.partitionBy("entity_key", "day").orderBy("at"))
+    return dated.withColumn("own", own).join(carried, ["entity_key", "day"]).select("entity_key", "at", (F.col("own") + F.col("carried")).cast("int").alias("number"), F.col("total").cast("int").alias("total"))
+
+
+def _dyadic(first: Column, end: Column) -> Column:
+    """Array of (level, node): the fewest aligned blocks of 2 ** level numbers that make up [first, end)."""
+    none = F.array().cast("array<struct<level:int,node:int>>")
+    # Level by level from the bottom, an odd left end and an odd right end each give one block.
+    step = lambda s, level: F.struct(
+        F.shiftright(s["a"] + 1, 1).alias("a"),
+        F.shiftright(s["b"], 1).alias("b"),
+        F.concat(
+            s["nodes"],
+            F.when((s["a"] < s["b"]) & (s["a"] % 2 == 1), F.array(F.struct(level.alias("level"), s["a"].alias("node")))).otherwise(none),
+            F.when((s["a"] < s["b"]) & (s["b"] % 2 == 1), F.array(F.struct(level.alias("level"), (s["b"] - 1).alias("node")))).otherwise(none),
+        ).alias("nodes"),
+    )
+    start = F.struct(first.cast("int").alias("a"), end.cast("int").alias("b"), none.alias("nodes"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(_LEVELS - 1)), start, step)["nodes"]
+
+
 def version_timeline(versions: DataFrame, entity: str = "symbol", id_col: str = "version_id") -> DataFrame:
     """(entity_key, number, version id): the version that holds after the ``number``-th change of its entity.
 
     Of several versions the latest valid_from wins, then the latest known_at,
-    then the largest id. Numbers without a valid version are left out. An
-    entity's versions and changes are joined on the entity; both are as few as
-    its revisions.
+    then the largest id. Numbers without a valid version are left out. A version
+    holds over a run of numbers, which a few aligned blocks make up; each block
+    keeps its best version, and each number asks the blocks that it lies in. So
+    an entity with a long history costs its length times the logarithm of it,
+    and no pair of changes and versions is formed.
     """
-    points = change_points(versions, entity)
-    numbered = points.withColumn("number", F.row_number().over(Window.partitionBy("entity_key").orderBy("at")))
+    points = numbered_changes(change_points(versions, entity))
     v = versions.select(
         entity_key(entity).alias("entity_key"),
         F.unix_micros("valid_from").alias("f"),
         F.unix_micros("valid_to").alias("t"),
         F.unix_micros("known_at").alias("k"),
         F.col(id_col).alias("v"),
-    )
-    held = numbered.join(v, "entity_key").where("f <= at and k <= at and (t is null or t > at)")
-    best = held.groupBy("entity_key", "number").agg(F.max(F.struct("f", "k", "v")).alias("best"))
+    ).where("entity_key is not null and f is not null and k is not null")
+    at = lambda c, n, *more: points.select("entity_key", F.col("at").alias(c), F.col("number").alias(n), *more)
+    held = v.withColumn("start", F.greatest("f", "k")).join(at("start", "first", "total"), ["entity_key", "start"]).join(at("t", "end"), ["entity_key", "t"], "left")
+    # A version without end holds over every later number.
+    runs = held.select("entity_key", "f", "k", "v", "first", F.coalesce("end", F.col("total") + 1).alias("end"))
+    blocks = runs.select("entity_key", F.explode(_dyadic(F.col("first"), F.col("end"))).alias("b"), F.struct("f", "k", "v").alias("x")).groupBy("entity_key", "b").agg(F.max("x").alias("x"))
+    asked = points.select("entity_key", "number", F.explode(F.transform(F.sequence(F.lit(0), F.ceil(F.log2(F.col("total") + 1.0)).cast("int")), lambda l: F.struct(l.alias("level"), F.floor(F.col("number") / F.pow(F.lit(2.0), l)).cast("int").alias("node")))).alias("b"))
+    best = asked.join(blocks, ["entity_key", "b"]).groupBy("entity_key", "number").agg(F.max("x").alias("best"))
     return best.select("entity_key", "number", F.col("best.v").alias(id_col))
 
 
@@ -68,12 +107,11 @@ def versions_at(events: DataFrame, versions: DataFrame, entity: str, micros: str
     are shuffled; join the result with events and versions for the rest.
     """
     narrow = events.select(*event_id, entity_key(entity).alias("entity_key"), F.col(micros).alias("at")).where("entity_key is not null and at is not null")
-    day = lambda c: F.floor(F.col(c) / F.lit(_DAY_US)).cast("long")
     points = change_points(versions, versions_entity)
 
     # First level: changes before each day on which an entity has any event.
-    event_days = narrow.select("entity_key", day("at").alias("day")).distinct().withColumn("n", F.lit(0).cast("long"))
-    change_days = points.select("entity_key", day("at").alias("day")).groupBy("entity_key", "day").agg(F.count(F.lit(1)).alias("n"))
+    event_days = narrow.select("entity_key", _day("at").alias("day")).distinct().withColumn("n", F.lit(0).cast("long"))
+    change_days = points.select("entity_key", _day("at").alias("day")).groupBy("entity_key", "day").agg(F.count(F.lit(1)).alias("n"))
     days = event_days.unionByName(change_days).groupBy("entity_key", "day").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.partitionBy("entity_key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
     carried = days.select("entity_key", "day", F.coalesce(before, F.lit(0)).alias("carried"))
@@ -81,8 +119,8 @@ def versions_at(events: DataFrame, versions: DataFrame, entity: str, micros: str
     # Second level: a carry row opens each day; events count it and the day's changes up to their time.
     no_ids = [F.lit(None).cast(events.schema[c].dataType).alias(c) for c in event_id]
     opening = carried.select(*no_ids, "entity_key", "day", F.lit(None).cast("long").alias("at"), F.col("carried").alias("step"), F.lit(False).alias("is_event"))
-    changes = points.select(*no_ids, "entity_key", day("at").alias("day"), "at", F.lit(1).cast("long").alias("step"), F.lit(False).alias("is_event"))
-    asked = narrow.select(*event_id, "entity_key", day("at").alias("day"), "at", F.lit(0).cast("long").alias("step"), F.lit(True).alias("is_event"))
+    changes = points.select(*no_ids, "entity_key", _day("at").alias("day"), "at", F.lit(1).cast("long").alias("step"), F.lit(False).alias("is_event"))
+    asked = narrow.select(*event_id, "entity_key", _day("at").alias("day"), "at", F.lit(0).cast("long").alias("step"), F.lit(True).alias("is_event"))
     order = Window.partitionBy("entity_key", "day").orderBy(F.col("at").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, 0)
     numbered = opening.unionByName(changes).unionByName(asked).withColumn("number", F.sum("step").over(order)).where("is_event")
 

@@ -12,11 +12,16 @@ row's own arrival time picks one at the join.
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+from functools import lru_cache
+from zoneinfo import ZoneInfo, ZoneInfoNotFoundError
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.plans.scratch import scratch_path
-from tidemark.plans.skew import split_join
+from tidemark.plans.scratch import Folder, materialize, scratch_path
+from tidemark.plans.skew import salted_join, split_join
 
 # English month names, and zone abbreviations with their offsets in minutes.
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -26,15 +31,8 @@ ABBREVIATIONS = {
     "AEST": 600, "AEDT": 660, "ACST": 570, "ACDT": 630, "AWST": 480, "NZST": 720, "NZDT": 780,
     "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "BST": 60,
 }
-#: Abbreviations that mean another offset in one family of zones than in the table above.
-ABBREVIATIONS_BY_ZONE = {
-    ("Europe/Dublin", "IST"): 60,
-    ("Asia/Jerusalem", "IST"): 120,
-    ("Asia/Shanghai", "CST"): 480,
-    ("Asia/Dhaka", "BST"): 360,
-    ("Australia/Sydney", "EST"): 600,
-    ("Australia/Sydney", "EDT"): 660,
-}
+#: Years whose abbreviations of a zone are known; where one had several offsets, the latest counts.
+ABBREVIATION_YEARS = range(1990, 2036)
 
 _ZONE = r"(?:\s*(z|[a-z]{2,5}|[a-z]+(?:/[a-z0-9_+-]+)+|(?:utc|gmt)?[+-]\d{1,2}(?::?\d{2})?(?::?\d{2})?(?:\[[^\]]*\])?))?"
 _CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,9}))?)?(?:\s*([ap])\.?m\.?(?![a-z]))?"
@@ -64,6 +62,22 @@ def zone_ids(spark: SparkSession) -> list[str]:
     return sorted(spark._jvm.java.time.ZoneId.getAvailableZoneIds().toArray())
 
 
+@lru_cache(maxsize=None)
+def abbreviations_of(zone: str) -> dict[str, int]:
+    """Abbreviations that ``zone`` itself uses in ``ABBREVIATION_YEARS``, with their offsets in minutes; none where it has only numbers."""
+    try:
+        clock = ZoneInfo(zone)
+    except (ZoneInfoNotFoundError, ValueError):
+        return {}
+    found = {}
+    for year in ABBREVIATION_YEARS:
+        for month in range(1, 13):
+            at = datetime(year, month, 15, tzinfo=clock)
+            if at.tzname().isalpha():
+                found[at.tzname().upper()] = round(at.utcoffset().total_seconds() / 60)
+    return found
+
+
 def parse_instants(df: DataFrame, raw: str, zone: str, date_order: str) -> DataFrame:
     """``df`` with ``earlier`` and ``later``: the readings of ``raw`` in microseconds since 1970 UTC.
 
@@ -156,8 +170,11 @@ def parse_instants(df: DataFrame, raw: str, zone: str, date_order: str) -> DataF
     by_offset = F.when(minutes <= 18 * 60, F.when(col("__offset").startswith("-"), -minutes).otherwise(minutes))
     upper = F.upper("__mark")
     table = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    local = F.create_map(*[F.lit(x) for (z, a), m in ABBREVIATIONS_BY_ZONE.items() for x in (f"{z}|{a}", m)])
-    by_abbreviation = F.coalesce(F.try_element_at(local, F.concat_ws("|", col(zone), upper)), F.try_element_at(table, upper))
+    # One row an identifier of a zone: no more than the database of zones has.
+    used = [r[0] for r in df.select(zone).where(col(zone).isin(ids)).distinct().collect()]
+    local = [F.lit(x) for z in sorted(used) for a, m in abbreviations_of(z).items() for x in (f"{z}|{a}", m)]
+    by_zone = F.try_element_at(F.create_map(*local), F.concat_ws("|", col(zone), upper)) if local else F.lit(None).cast("int")
+    by_abbreviation = F.coalesce(by_zone, F.try_element_at(table, upper))
     df = df.withColumns(
         {
             "__fixed": F.coalesce(by_offset, by_abbreviation).cast("long"),
@@ -243,70 +260,67 @@ class InstantDictionary:
 
     ``kind`` is ``instant`` or ``duration``; the key is the raw text with the
     zone and date order of its source. ``absorb`` parses only keys that are not
-    stored yet and appends them as one more file set, so a later batch pays for
-    its new texts alone.
+    stored yet and adds them as one more folder, which counts once it is
+    complete; so a later batch pays for its new texts alone. The folder is
+    ``path``, else the one that the session names in ``spark.tidemark.instants.dir``,
+    which all queries then share, else one of its own. Two writers may add the
+    same key: both read the same, and one of the rows is used.
     """
 
     KEY = ["kind", "raw", "zone", "date_order"]
-    SCHEMA = "kind string, raw string, zone string, date_order string, n long, earlier long, later long"
+    SCHEMA = "kind string, raw string, zone string, date_order string, earlier long, later long"
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark = spark
-        self.path = path or scratch_path(spark, "instants")
-        self._stored = self._exists()
-
-    def _exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        self.folder = Folder(spark, path or spark.conf.get("spark.tidemark.instants.dir", None) or scratch_path(spark, "instants"))
+        self._asked: DataFrame | None = None
 
     def read(self) -> DataFrame:
-        """One row for each key that was ever absorbed; ``n`` counts its rows at that time."""
-        if not self._stored:
+        """One row for each key that was ever absorbed."""
+        parts = [n for n in self.folder.names() if "_SUCCESS" in self.folder.names(n)]
+        if not parts:
             return self.spark.createDataFrame([], self.SCHEMA)
-        return self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        stored = self.spark.read.schema(self.SCHEMA).parquet(*[f"{self.folder.path}/{n}" for n in parts])
+        return stored if len(parts) == 1 else stored.dropDuplicates(self.KEY)
 
     def absorb(self, requests: DataFrame) -> None:
         """Add the keys of ``requests`` (kind, raw, zone, date_order); null texts are left out."""
-        fresh = (
+        asked = (
             requests.where(F.col("raw").isNotNull())
             .withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in ("zone", "date_order")})
             .groupBy(*self.KEY)
             .agg(F.count(F.lit(1)).alias("n"))
         )
-        if self._stored:
-            fresh = fresh.join(self.read().select(*self.KEY), self.KEY, "left_anti")
+        self._asked = asked = materialize(asked, "time-texts")
+        fresh = asked.join(self.read().select(*self.KEY), self.KEY, "left_anti") if self.folder.names() else asked
         read = parse_instants(fresh.withColumn("__key_zone", F.when(F.col("zone") != "", F.col("zone"))), "raw", "__key_zone", "date_order")
         length = F.when(F.col("kind") == "duration", duration_micros(F.col("raw")))
         instant = F.col("kind") == "instant"
-        (
-            read.select(
-                *self.KEY,
-                "n",
-                F.when(instant, F.col("earlier")).otherwise(length).alias("earlier"),
-                F.when(instant, F.col("later")).otherwise(length).alias("later"),
-            )
-            .write.mode("append")
-            .parquet(self.path)
+        read.select(*self.KEY, F.when(instant, F.col("earlier")).otherwise(length).alias("earlier"), F.when(instant, F.col("later")).otherwise(length).alias("later")).write.parquet(
+            f"{self.folder.path}/texts-{uuid.uuid4().hex}"
         )
-        self._stored = True
 
     def resolve(self, rows: DataFrame, kind: str, raw: str, zone: str | None = None, date_order: str | None = None, not_after: str | None = None, out: str = "norm_micros") -> DataFrame:
         """``rows`` with the column ``out``: the reading of ``raw``, or null.
 
         Of two readings of a wall time the later one counts that is not after
-        the timestamp ``not_after``; without one, or where it is null, the earlier.
+        the timestamp ``not_after``; without one, or where it is null, the
+        earlier. Null texts, which match nothing, are spread over all tasks.
         """
-        known = self.read().where(F.col("kind") == kind)
+        nowhere = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]), F.lit(1 << 16)).cast("string")
         keyed = rows.withColumns(
             {
                 "__raw": F.col(raw),
                 "__zone": F.coalesce(F.col(zone), F.lit("")) if zone else F.lit(""),
-                "__order": F.coalesce(F.col(date_order), F.lit("")) if date_order else F.lit(""),
+                "__order": F.when(F.col(raw).isNull(), nowhere).otherwise(F.coalesce(F.col(date_order), F.lit("")) if date_order else F.lit("")),
             }
         )
-        dim = known.select(F.col("raw").alias("__raw"), F.col("zone").alias("__zone"), F.col("date_order").alias("__order"), F.col("earlier").alias("__earlier"), F.col("later").alias("__later"))
-        counts = known.select(F.col("raw").alias("__raw"), F.col("zone").alias("__zone"), F.col("date_order").alias("__order"), "n")
-        joined = split_join(keyed, dim, ["__raw", "__zone", "__order"], counts, "n")
+        names = [F.col("raw").alias("__raw"), F.col("zone").alias("__zone"), F.col("date_order").alias("__order")]
+        dim = self.read().where(F.col("kind") == kind).select(*names, F.col("earlier").alias("__earlier"), F.col("later").alias("__later"))
+        if self._asked is None:
+            joined = salted_join(keyed, dim, ["__raw", "__zone", "__order"], "left")
+        else:
+            joined = split_join(keyed, dim, ["__raw", "__zone", "__order"], self._asked.where(F.col("kind") == kind).select(*names, "n"), "n")
         reading = F.col("__earlier")
         if not_after:
             reading = F.when(F.col("__later") <= F.unix_micros(F.col(not_after)), F.col("__later")).otherwise(F.col("__earlier"))
