@@ -50,16 +50,16 @@ def hot_keys(facts: DataFrame, keys: list[str], share: float = HOT_SHARE, floor:
     return counts.where(F.col("__n") > total.scalar() * share).select(*keys)
 
 
-def salted_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", spread: Column | None = None, salts: int = SALTS, hot_floor: int = HOT_ROWS) -> DataFrame:
+def salted_join(facts: DataFrame, dim: DataFrame, keys: list[str], how: str = "inner", spread: Column | None = None, salts: int = SALTS, hot_floor: int = HOT_ROWS, hot: DataFrame | None = None) -> DataFrame:
     """Shuffled equi-join in which only keys that hold a large share of ``facts`` are salted.
 
     Rows of ``dim`` with a hot key are copied ``salts`` times and ``facts`` rows
     of it pick a copy by the hash of ``spread`` (by default the whole row); all
     other rows have salt 0 and no copies. Hot keys are few by definition, so the
-    list of them is broadcast.
+    list of them is broadcast. A caller that knows them already gives ``hot``.
     """
     spread = F.xxhash64(*[F.col(f"`{c}`") for c in facts.columns]) if spread is None else F.xxhash64(spread)
-    hot = hot_keys(facts, keys, floor=hot_floor).withColumn("__hot", F.lit(True))
+    hot = (hot_keys(facts, keys, floor=hot_floor) if hot is None else hot.select(*keys)).withColumn("__hot", F.lit(True))
     marked = lambda df: df.join(F.broadcast(hot), keys, "left")
     salted = marked(facts).withColumn("__salt", F.when(F.col("__hot"), F.pmod(spread, F.lit(salts))).otherwise(0).cast("int")).drop("__hot")
     copies = marked(dim).withColumn("__salt", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
