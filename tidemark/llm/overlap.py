@@ -3,13 +3,13 @@
 Texts become arrays of word hashes, and equal arrays one class. Two classes are
 the same text if few words were changed, added or dropped. Every evaluation
 class of L words is cut into k + 1 + SPARE + COMMON segments of equal length,
-k being the most edits that a match may have. The COMMON segments that would
+k being the most segments that a match can touch. The COMMON segments that would
 make the most pairs are left out: they are the phrases that a large part of all
-texts may share. An edit touches at most one segment, so at least SPARE + 1 of
-the others stand unchanged in each match, shifted by k words at most. Training
-classes offer every substring of those lengths; the join on its hash and
-position finds the pairs that share enough segments, and banded dynamic
-programming decides each.
+texts may share. At least SPARE + 1 of the others stand unchanged in each match,
+shifted by the most edits at most. Training classes offer every substring of
+those lengths that is such a segment; the join on its hash and position finds
+the pairs that share enough segments, and banded dynamic programming decides
+each.
 """
 
 from __future__ import annotations
@@ -21,8 +21,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.words import PARTING, VANISHING
 from tidemark.plans.scratch import materialize
-from tidemark.plans.skew import bounded_join
+from tidemark.plans.skew import HOT_ROWS, HOT_SHARE, salted_join
 
 #: Of this many words one may differ.
 WORDS_PER_EDIT = 10
@@ -34,15 +35,20 @@ SPARE = 1
 COMMON = 4
 #: Texts whose substrings are sent on at once.
 SLICE = 1000
-#: Bits of the filter of evaluation segments; a fuller filter lets more substrings pass and loses none.
-FILTER_BITS = 1 << 26
+#: Bits of the filter for each evaluation segment; two of them are set, so one substring in some sixty passes by chance.
+BITS_A_SEGMENT = 16
+#: Most segments of one filter (64 MB); more evaluation texts are matched block by block.
+SEGMENTS_A_BLOCK = 1 << 25
+# Signs that part words here, besides those that always do.
+HYPHENS = "-‐‑"
+_BLANKS = " \t\r\n\u00a0"
 
 
 def article_of(prompt: Column) -> Column:
     """Text between the lines ARTICLE: and TASK: of a prompt (or their German names); without them the prompt itself; null gives null."""
-    label = r"(?:^|\n)[ \t]*(?:ARTICLE|ARTIKEL)[ \t]*:"
-    body = F.regexp_extract(prompt, rf"(?is){label}(.*?)(?:\n[ \t]*(?:TASK|AUFGABE)[ \t]*:|$)", 1)
-    return F.when(prompt.rlike(rf"(?i){label}"), F.regexp_replace(body, r"(?U)^\s+|\s+$", "")).otherwise(prompt)
+    parts = F.split(prompt, r"(?i)(?:^|\n)[ \t]*(?:ARTICLE|ARTIKEL)[ \t]*:", 2)
+    body = F.split(parts[1], r"(?i)\n[ \t]*(?:TASK|AUFGABE)[ \t]*:", 2)[0]
+    return F.when(F.size(parts) > 1, F.btrim(body, F.lit(_BLANKS))).otherwise(prompt)
 
 
 def comparable_words(text: Column) -> Column:
@@ -52,16 +58,20 @@ def comparable_words(text: Column) -> Column:
     percent are left out as the sign is. Short remarks around the text, such as
     ``Corrected -`` or ``(Desk copy)``, are left out where they can be told by
     their form: bracketed, before a colon or dash at the start, or a closing
-    sentence of one or two words.
+    sentence of one or two words. Common signs go by a table; the general
+    patterns run only on texts that need them.
     """
     plain = F.lower(text)
-    plain = F.regexp_replace(plain, r"(?U)^\s*(?:\([^()]{1,40}\)|\[[^\[\]]{1,40}\]|[\p{L}]+(?: [\p{L}]+)?(?::| [-–—](?=\s)))\s*", "")
-    plain = F.regexp_replace(plain, r"(?U)\s*(?:\([^()]{1,40}\)|\[[^\[\]]{1,40}\])\s*$", "")
-    plain = F.regexp_replace(plain, r"(?U)(?<=[.;!?])\s+[\p{L}]+(?: [\p{L}]+)?[.!]?\s*$", "")
-    plain = F.regexp_replace(plain, r"(?U)\s*[-‐‑–—/]\s*", " ")
-    plain = F.regexp_replace(plain, r"(?U)[^\p{L}\p{N}\p{M}\s]+", "")
-    parts = F.split(F.regexp_replace(plain, r"(?U)^\s+|\s+$", ""), r"(?U)\s+")
-    return F.coalesce(F.filter(parts, lambda w: ~w.isin("", "pct", "percent", "prozent")), F.array().cast("array<string>"))
+    plain = F.regexp_replace(plain, r"^[\s\u00a0]*(?:\([^()]{1,40}\)|\[[^\[\]]{1,40}\]|\p{L}{1,40}(?: \p{L}{1,40})?(?::| [-–—](?=\s)))[\s\u00a0]*", "")
+    bracketed = F.substring(F.rtrim(plain, F.lit(_BLANKS)), -1, 1).isin(")", "]")
+    plain = F.when(bracketed, F.regexp_replace(plain, r"\s*(?:\([^()]{1,40}\)|\[[^\[\]]{1,40}\])\s*$", "")).otherwise(plain)
+    # Two words and their signs have no more room than this.
+    closing = F.length(F.regexp_extract(F.substring(plain, -100, 100), r"[.;!?](\s+\p{L}{1,40}(?: \p{L}{1,40})?[.!]?\s*)$", 1))
+    plain = F.when(closing > 0, F.substring(plain, F.lit(1), F.length(plain) - closing)).otherwise(plain)
+    plain = F.translate(plain, PARTING + HYPHENS + VANISHING, " " * len(PARTING + HYPHENS))
+    rest = r"[^\p{L}\p{N}\p{M} ]+"
+    plain = F.when(plain.rlike(rest), F.regexp_replace(plain, rest, "")).otherwise(plain)
+    return F.coalesce(F.filter(F.split(plain, " "), lambda w: ~w.isin("", "pct", "percent", "prozent")), F.array().cast("array<string>"))
 
 
 def most_edits(n_words):
@@ -69,12 +79,21 @@ def most_edits(n_words):
     return (n_words + REMARK) // (WORDS_PER_EDIT - 1) + REMARK
 
 
-def _segment_length(n_words: int) -> int:
-    return max(1, n_words // _pieces(n_words))
+def plan_segments(n_words: int) -> tuple[int, int, int]:
+    """(segments, words of each, most that a match can touch) of an evaluation text.
 
-
-def _pieces(n_words: int) -> int:
-    return most_edits(n_words) + 1 + SPARE + COMMON
+    A changed word touches one segment. Remark words stand at the ends, so up to
+    ``REMARK`` of them touch no more segments than are needed to hold them.
+    """
+    changes = (n_words + REMARK) // (WORDS_PER_EDIT - 1)
+    for width in range(REMARK, 0, -1):
+        by_remark = max(-(-a // width) - (-(REMARK - a) // width) for a in range(REMARK + 1))
+        touched = changes + by_remark
+        number = touched + 1 + SPARE + COMMON
+        if n_words // number >= width:
+            return number, n_words // number, touched
+    # Shorter texts are cut into single words, fewer than a match could touch.
+    return n_words, 1, touched
 
 
 def _rolling(codes: np.ndarray, width: int) -> np.ndarray:
@@ -90,8 +109,13 @@ def _rolling(codes: np.ndarray, width: int) -> np.ndarray:
     return total
 
 
-def _slots(hashes: np.ndarray) -> list[np.ndarray]:
-    return [hashes & np.uint64(FILTER_BITS - 1), (hashes >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)]
+def _slots(hashes: np.ndarray, n_bits: int) -> list[np.ndarray]:
+    return [hashes & np.uint64(n_bits - 1), (hashes >> np.uint64(32)) & np.uint64(n_bits - 1)]
+
+
+def filter_bits(n_segments: int) -> int:
+    """Size of a filter of ``n_segments``: a power of two with ``BITS_A_SEGMENT`` for each at least."""
+    return 1 << max(10, (n_segments * BITS_A_SEGMENT - 1).bit_length())
 
 
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,33 +127,46 @@ def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n = len(codes)
             if n == 0:
                 continue
-            width = _segment_length(n)
+            number, width, _ = plan_segments(n)
             rolled = _rolling(codes, width)
-            at = np.arange(min(_pieces(n), n // width)) * width
+            at = np.arange(number) * width
             parts.append(pd.DataFrame({"seg": rolled[at].view(np.int64), "width": width, "cls": cls, "no": np.arange(len(at)), "at": at, "n": n}))
         yield pd.concat(parts) if parts else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("seg", "width", "cls", "no", "at", "n")})
 
 
-def _filter_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _filter_words(n_bits: int):
     """(word, bits): the 64-bit words of the filter that the segments of a partition set."""
-    bits: set[int] = set()
-    for pdf in batches:
-        for s in _slots(pdf["seg"].to_numpy(dtype=np.int64).view(np.uint64)):
-            bits.update(np.unique(s).tolist())
-    slots = np.fromiter(bits, dtype=np.int64, count=len(bits))
-    order = np.argsort(slots)
-    words, starts = np.unique(slots[order] >> 6, return_index=True)
-    masks = (np.uint64(1) << (slots[order] & 63).astype(np.uint64)).view(np.int64)
-    yield pd.DataFrame({"word": words, "bits": np.bitwise_or.reduceat(masks, starts) if len(words) else masks})
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits: set[int] = set()
+        for pdf in batches:
+            for s in _slots(pdf["seg"].to_numpy(dtype=np.int64).view(np.uint64), n_bits):
+                bits.update(np.unique(s).tolist())
+        slots = np.fromiter(bits, dtype=np.int64, count=len(bits))
+        order = np.argsort(slots)
+        words, starts = np.unique(slots[order] >> 6, return_index=True)
+        masks = (np.uint64(1) << (slots[order] & 63).astype(np.uint64)).view(np.int64)
+        yield pd.DataFrame({"word": words, "bits": np.bitwise_or.reduceat(masks, starts) if len(words) else masks})
+
+    return run
+
+
+def segment_filter(segments: DataFrame, n_segments: int) -> bytes:
+    """Filter of the hashes ``seg``; no larger than ``SEGMENTS_A_BLOCK`` segments make it."""
+    n_bits = filter_bits(n_segments)
+    bits = np.zeros(n_bits // 64, dtype=np.uint64)
+    table = segments.select("seg").mapInPandas(_filter_words(n_bits), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
+    return bits.tobytes()
 
-def _offer(filter_bc, widths_bc):
-    """Substrings of training classes that pass the filter: (seg, width, cls, at, n)."""
+
+def _substrings(filter_bc, widths_bc, count: bool):
+    """Substrings of training classes that pass the filter: (seg, width, cls, at, n), or with ``count`` (seg, width, ft), how many a slice of texts has."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = np.frombuffer(filter_bc.value, dtype=np.uint64)
-        widths = widths_bc.value
-        passes = lambda h: np.all([(bits[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1) for s in _slots(h)], axis=0)
+        n_bits, widths = len(bits) * 64, widths_bc.value
+        passes = lambda h: np.all([(bits[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1) for s in _slots(h, n_bits)], axis=0)
         for pdf in batches:
             # Plain arrays, joined once a slice: a frame for each text would cost more memory than its substrings.
             for start in range(0, len(pdf), SLICE):
@@ -150,7 +187,11 @@ def _offer(filter_bc, widths_bc):
                 if not seg:
                     continue
                 width, cls, n, times = (np.array(c, dtype=np.int64) for c in zip(*owner))
-                yield pd.DataFrame({"seg": np.concatenate(seg).view(np.int64), "width": np.repeat(width, times), "cls": np.repeat(cls, times), "at": np.concatenate(at), "n": np.repeat(n, times)})
+                out = pd.DataFrame({"seg": np.concatenate(seg).view(np.int64), "width": np.repeat(width, times)})
+                if count:
+                    yield out.value_counts().rename("ft").reset_index()
+                else:
+                    yield out.assign(cls=np.repeat(cls, times), at=np.concatenate(at), n=np.repeat(n, times))
 
     return run
 
@@ -229,39 +270,63 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[keep, ["cls_e", "cls_t"]]
 
 
+def _block_pairs(segments: DataFrame, n_segments: int, training: DataFrame) -> DataFrame:
+    """(cls_e, cls_t) of evaluation and training classes that share enough of ``segments``.
+
+    Training texts are gone through twice: first to count the substrings that
+    are segments, then, once the commonest segments of each evaluation class are
+    left out, to offer those that are still asked for.
+    """
+    spark = segments.sparkSession
+    # At most one range for each segment length.
+    widths = spark.sparkContext.broadcast({r["width"]: (r["low"], r["high"]) for r in segments.groupBy("width").agg(F.min("n").alias("low"), F.max("n").alias("high")).collect()})
+    every = spark.sparkContext.broadcast(segment_filter(segments, n_segments))
+    in_train = training.mapInPandas(_substrings(every, widths, True), "seg long, width int, ft long").groupBy("seg", "width").agg(F.sum("ft").alias("ft"))
+    in_eval = segments.groupBy("seg", "width").agg(F.count(F.lit(1)).alias("fe"))
+    weight = materialize(in_eval.join(in_train, ["seg", "width"]), "segment-weights")
+    # Segments that no training text has make no pairs and count as left out last.
+    weighed = salted_join(segments, weight, ["seg", "width"], "left", spread=F.col("cls"), hot=_hot(weight, "fe"))
+    pairs = F.col("ft").cast("double") * F.col("fe")
+    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc_nulls_last(pairs), "no"))
+    n_cut = F.count(F.lit(1)).over(Window.partitionBy("cls"))
+    cut = weighed.withColumns({"rank": rank, "n_cut": n_cut}).where((F.col("rank") > F.least(F.lit(COMMON), F.col("n_cut") - 1)) & F.col("ft").isNotNull())
+    cut = materialize(cut.select("seg", "width", "no", F.col("cls").alias("cls_e"), F.col("at").alias("at_e"), F.col("n").alias("n_e"), F.greatest(F.col("n_cut") - COMMON, F.lit(1)).alias("kept")), "segments-asked")
+
+    asked = spark.sparkContext.broadcast(segment_filter(cut, cut.count()))
+    offered = training.mapInPandas(_substrings(asked, widths, False), "seg long, width int, cls long, at int, n int").withColumnsRenamed({"cls": "cls_t", "at": "at_t", "n": "n_t"})
+    k = F.floor(F.greatest("n_e", "n_t") / WORDS_PER_EDIT) + REMARK
+    met = salted_join(offered, cut, ["seg", "width"], "inner", spread=F.col("cls_t"), hot=_hot(weight, "ft"))
+    met = met.where((F.abs(F.col("at_t") - F.col("at_e")) <= k) & (F.abs(F.col("n_t") - F.col("n_e")) <= k) & (F.col("cls_e") != F.col("cls_t")))
+    # What a match of these two lengths can touch; see plan_segments.
+    by_remark = F.when(F.col("width") >= 3, 2).when(F.col("width") == 2, 3).otherwise(REMARK)
+    shared = met.groupBy("cls_e", "cls_t").agg(F.count_distinct("no").alias("shared"), F.max(F.col("kept") - (k - REMARK + by_remark)).alias("least"))
+    return shared.where(F.col("shared") >= F.greatest("least", F.lit(1))).select("cls_e", "cls_t")
+
+
+def _hot(weight: DataFrame, count: str) -> DataFrame:
+    """Segments with very many rows on one side; few by definition."""
+    total = weight.agg(F.sum(count).alias("s")).scalar()
+    return weight.where((F.col(count) > HOT_ROWS) & (F.col(count) > total * HOT_SHARE))
+
+
 def matching_classes(classes: DataFrame) -> DataFrame:
     """(cls_e, cls_t) of evaluation and training classes with nearly the same words.
 
     ``classes`` has (cls, codes, in_train, in_eval); a class in both splits
-    matches itself without any comparison.
+    matches itself without any comparison. Evaluation classes are taken in
+    blocks, whose filter of segments has a bounded size, against all training
+    classes.
     """
-    spark = classes.sparkSession
     evaluation = classes.where("in_eval").select("cls", "codes")
     training = classes.where("in_train").select("cls", "codes")
     segments = materialize(evaluation.mapInPandas(_cut, "seg long, width int, cls long, no int, at int, n int"), "segments")
-
-    # Bounded: FILTER_BITS bits, and at most one range for each segment length.
-    bits = np.zeros(FILTER_BITS // 64, dtype=np.uint64)
-    words = segments.select("seg").mapInPandas(_filter_words, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-    table = words.toArrow()
-    bits[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
-    widths = {r["width"]: (r["low"], r["high"]) for r in segments.groupBy("width").agg(F.min("n").alias("low"), F.max("n").alias("high")).collect()}
-    filter_bc, widths_bc = spark.sparkContext.broadcast(bits.tobytes()), spark.sparkContext.broadcast(widths)
-
-    offered = materialize(training.mapInPandas(_offer(filter_bc, widths_bc), "seg long, width int, cls long, at int, n int").withColumnsRenamed({"cls": "cls_t", "at": "at_t", "n": "n_t"}), "offered")
-    in_train = offered.groupBy("seg", "width").agg(F.count(F.lit(1)).alias("ft"))
-    in_eval = segments.groupBy("seg", "width").agg(F.count(F.lit(1)).alias("fe"))
-    # Segments that no training text has make no pairs and count as left out last.
-    weight = in_eval.join(in_train, ["seg", "width"]).select("seg", "width", (F.col("ft").cast("double") * F.col("fe")).alias("pairs"))
-    weighed = bounded_join(segments, weight, ["seg", "width"], "left", max_rows=0, spread=F.col("cls"))
-    rank = F.row_number().over(Window.partitionBy("cls").orderBy(F.desc_nulls_last("pairs"), "no"))
-    n_cut = F.count(F.lit(1)).over(Window.partitionBy("cls"))
-    cut = weighed.withColumns({"rank": rank, "n_cut": n_cut}).where((F.col("rank") > F.least(F.lit(COMMON), F.col("n_cut") - 1)) & F.col("pairs").isNotNull())
-    cut = cut.select("seg", "width", "no", F.col("cls").alias("cls_e"), F.col("at").alias("at_e"), F.col("n").alias("n_e"), F.greatest(F.col("n_cut") - COMMON, F.lit(1)).alias("kept"))
-    k = F.floor(F.greatest("n_e", "n_t") / WORDS_PER_EDIT) + REMARK
-    met = offered.join(cut, ["seg", "width"]).where((F.abs(F.col("at_t") - F.col("at_e")) <= k) & (F.abs(F.col("n_t") - F.col("n_e")) <= k))
-    shared = met.groupBy("cls_e", "cls_t").agg(F.count_distinct("no").alias("shared"), F.max("kept").alias("kept"), F.max(k).alias("k"))
-    pairs = materialize(shared.where((F.col("shared") >= F.col("kept") - F.col("k")) & (F.col("cls_e") != F.col("cls_t"))).select("cls_e", "cls_t"), "overlap-pairs")
+    n_segments = segments.count()
+    blocks = max(1, -(-n_segments // SEGMENTS_A_BLOCK))
+    pairs = None
+    for b in range(blocks):
+        own = segments if blocks == 1 else segments.where(F.pmod("cls", F.lit(blocks)) == b)
+        found = materialize(_block_pairs(own, n_segments // blocks + 1, training), "overlap-pairs")
+        pairs = found if pairs is None else pairs.unionByName(found)
 
     with_e = pairs.join(evaluation.select(F.col("cls").alias("cls_e"), F.col("codes").alias("codes_e")), "cls_e")
     with_both = with_e.join(training.select(F.col("cls").alias("cls_t"), F.col("codes").alias("codes_t")), "cls_t")
@@ -302,10 +367,10 @@ def cross_split_pairs(candidates: DataFrame) -> DataFrame:
     matched = materialize(matching_classes(classes), "overlap-matches")
     members = rows.select("cand_id", "side", "cls")
     of_eval = members.where("side = 'e'").join(matched.withColumnRenamed("cls_e", "cls"), "cls").select(F.col("cand_id").alias("e"), "cls_t")
-    by_text = bounded_join(members.where("side = 't'").select(F.col("cand_id").alias("t"), F.col("cls").alias("cls_t")), of_eval, ["cls_t"], "inner", max_rows=0, spread=F.col("t")).select("t", "e")
+    by_text = salted_join(members.where("side = 't'").select(F.col("cand_id").alias("t"), F.col("cls").alias("cls_t")), of_eval, ["cls_t"], spread=F.col("t")).select("t", "e")
     cases = rows.where("case_key is not null").select("cand_id", "side", "case_key")
     of_case = cases.where("side = 'e'").select(F.col("cand_id").alias("e"), "case_key")
-    by_case = bounded_join(cases.where("side = 't'").select(F.col("cand_id").alias("t"), "case_key"), of_case, ["case_key"], "inner", max_rows=0, spread=F.col("t")).select("t", "e")
+    by_case = salted_join(cases.where("side = 't'").select(F.col("cand_id").alias("t"), "case_key"), of_case, ["case_key"], spread=F.col("t")).select("t", "e")
     both = by_text.select("t", "e", F.lit(True).alias("x"), F.lit(False).alias("c")).unionByName(by_case.select("t", "e", F.lit(False).alias("x"), F.lit(True).alias("c")))
     pairs = both.groupBy("t", "e").agg(F.max("c").alias("by_case"), F.max("x").alias("by_text"))
     info = rows.select("cand_id", "split", "source")
