@@ -109,7 +109,7 @@ def test_empty_table_and_report(spark):
 
 def test_article_of(spark):
     texts = [prompt("hello there"), "SYMBOL: X\nVOR T: y\nARTIKEL:\nGuten Tag\nAUFGABE: los", "no lines at all", None, "ARTICLE:\n\nTASK: x"]
-    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(O.article_of(F.col("t")).alias("a")).collect()
+    rows = O.with_article(spark.createDataFrame([(t,) for t in texts], "t string"), "t", "a").collect()
     assert [r["a"] for r in rows] == ["hello there", "Guten Tag", "no lines at all", None, ""]
 
 

@@ -44,34 +44,36 @@ HYPHENS = "-‐‑"
 _BLANKS = " \t\r\n\u00a0"
 
 
-def article_of(prompt: Column) -> Column:
-    """Text between the lines ARTICLE: and TASK: of a prompt (or their German names); without them the prompt itself; null gives null."""
-    parts = F.split(prompt, r"(?i)(?:^|\n)[ \t]*(?:ARTICLE|ARTIKEL)[ \t]*:", 2)
-    body = F.split(parts[1], r"(?i)\n[ \t]*(?:TASK|AUFGABE)[ \t]*:", 2)[0]
-    return F.when(F.size(parts) > 1, F.btrim(body, F.lit(_BLANKS))).otherwise(prompt)
+def with_article(rows: DataFrame, prompt: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: text between the lines ARTICLE: and TASK: of a prompt (or their German names); without them the prompt itself; null gives null."""
+    parts = F.split(F.col(prompt), r"(?i)(?:^|\n)[ \t]*(?:ARTICLE|ARTIKEL)[ \t]*:", 2)
+    body = F.split(F.element_at("__parts", -1), r"(?i)\n[ \t]*(?:TASK|AUFGABE)[ \t]*:", 2)[0]
+    return rows.withColumn("__parts", parts).withColumn(out, F.when(F.size("__parts") > 1, F.btrim(body, F.lit(_BLANKS))).otherwise(F.col("__parts")[0])).drop("__parts")
 
 
-def comparable_words(text: Column) -> Column:
-    """Words of ``text`` as they count here: no case, punctuation, spacing or number style.
+def with_words(rows: DataFrame, text: str, out: str) -> DataFrame:
+    """``rows`` with ``out``: the words of ``text`` as they count here, without case, punctuation, spacing or number style; null gives none.
 
     Hyphens part words, all other signs vanish inside their word, and words for
     percent are left out as the sign is. Short remarks around the text, such as
     ``Corrected -`` or ``(Desk copy)``, are left out where they can be told by
     their form: bracketed, before a colon or dash at the start, or a closing
     sentence of one or two words. Common signs go by a table; the general
-    patterns run only on texts that need them.
+    patterns run only on texts that need them. Each step is a projection of its
+    own, so that no text is worked out twice.
     """
-    plain = F.lower(text)
-    plain = F.regexp_replace(plain, r"^[\s\u00a0]*(?:\([^()]{1,40}\)|\[[^\[\]]{1,40}\]|\p{L}{1,40}(?: \p{L}{1,40})?(?::| [-–—](?=\s)))[\s\u00a0]*", "")
-    bracketed = F.substring(F.rtrim(plain, F.lit(_BLANKS)), -1, 1).isin(")", "]")
-    plain = F.when(bracketed, F.regexp_replace(plain, r"\s*(?:\([^()]{1,40}\)|\[[^\[\]]{1,40}\])\s*$", "")).otherwise(plain)
+    remark = r"^(?:\([^()]{1,40}\)|\[[^\[\]]{1,40}\]|\p{L}{1,40}(?: \p{L}{1,40})?(?::| [-–—](?=\s)))"
+    step = rows.withColumn("__w", F.regexp_replace(F.ltrim(F.lower(text), F.lit(_BLANKS)), remark, ""))
+    step = step.withColumn("__w", F.rtrim("__w", F.lit(_BLANKS)))
+    bracketed = F.substring("__w", -1, 1).isin(")", "]")
+    step = step.withColumn("__w", F.when(bracketed, F.regexp_replace("__w", r"(?:\([^()]{1,40}\)|\[[^\[\]]{1,40}\])$", "")).otherwise(F.col("__w")))
     # Two words and their signs have no more room than this.
-    closing = F.length(F.regexp_extract(F.substring(plain, -100, 100), r"[.;!?](\s+\p{L}{1,40}(?: \p{L}{1,40})?[.!]?\s*)$", 1))
-    plain = F.when(closing > 0, F.substring(plain, F.lit(1), F.length(plain) - closing)).otherwise(plain)
-    plain = F.translate(plain, PARTING + HYPHENS + VANISHING, " " * len(PARTING + HYPHENS))
+    step = step.withColumn("__c", F.length(F.regexp_extract(F.substring("__w", -100, 100), r"[.;!?](\s+\p{L}{1,40}(?: \p{L}{1,40})?[.!]?\s*)$", 1)))
+    step = step.withColumn("__w", F.when(F.col("__c") > 0, F.substring("__w", F.lit(1), F.length("__w") - F.col("__c"))).otherwise(F.col("__w")))
+    step = step.withColumn("__w", F.translate("__w", PARTING + HYPHENS + VANISHING, " " * len(PARTING + HYPHENS)))
     rest = r"[^\p{L}\p{N}\p{M} ]+"
-    plain = F.when(plain.rlike(rest), F.regexp_replace(plain, rest, "")).otherwise(plain)
-    return F.coalesce(F.filter(F.split(plain, " "), lambda w: ~w.isin("", "pct", "percent", "prozent")), F.array().cast("array<string>"))
+    step = step.withColumn("__w", F.when(F.col("__w").rlike(rest), F.regexp_replace("__w", rest, "")).otherwise(F.col("__w")))
+    return step.withColumn(out, F.coalesce(F.filter(F.split("__w", " "), lambda w: ~w.isin("", "pct", "percent", "prozent")), F.array().cast("array<string>"))).drop("__w", "__c")
 
 
 def most_edits(n_words):
@@ -356,8 +358,9 @@ def cross_split_pairs(candidates: DataFrame) -> DataFrame:
     that no task makes them all.
     """
     rows = candidates.select(
-        F.col("cand_id").cast("long").alias("cand_id"), _split_side(F.col("split")).alias("side"), F.lower(F.trim("split")).alias("split"), "source", case_key("case_id").alias("case_key"), comparable_words(article_of(F.col("prompt"))).alias("words")
+        F.col("cand_id").cast("long").alias("cand_id"), _split_side(F.col("split")).alias("side"), F.lower(F.trim("split")).alias("split"), "source", case_key("case_id").alias("case_key"), "prompt"
     ).where("side is not null")
+    rows = with_words(with_article(rows, "prompt", "article"), "article", "words")
     codes = F.transform("words", lambda w: F.xxhash64(w))
     rows = rows.select("cand_id", "side", "split", "source", "case_key", F.when(F.size("words") > 0, codes).alias("codes"))
     rows = materialize(rows.withColumn("cls", F.when(F.col("codes").isNotNull(), F.xxhash64("codes"))), "overlap-rows")
