@@ -35,7 +35,6 @@ CLOSERS = "\"'”’»)]}*_`"
 MARKS = ["[truncated]", "[cut]", "[cut", "[...]", "[…]", "(cut)", "(truncated)", "<truncated>", "[snip]", "(continued)", "...", "…"]
 #: Share of the made cuts that get such a mark.
 MARKED = 0.1
-VOTES = {"UP", "DOWN", "FLAT"}
 
 _MARK = re.compile(r"(?:\s*(?:\[(?:truncated|cut|snip|continued|\.\.\.|…)\]?|\((?:truncated|cut|continued)\)|<truncated>|…|\.\.\.))+\s*$", re.I)
 
@@ -57,6 +56,13 @@ def _shape(token: str) -> str:
     return re.sub(r"[0-9]", "9", token)
 
 
+def word_kind(word: str) -> str:
+    """How a word is written: capitals, capitalised, small letters, digits, other; with the sign that it ends with, if any."""
+    core = word.strip(ENDERS + CLOSERS + ",;:([{-–—")
+    kind = "9" if re.search(r"\d", core) else "A" if len(core) > 1 and core.isupper() else "Aa" if core[:1].isupper() else "a" if core.isalpha() else "-"
+    return kind + ("" if word[-1:].isalnum() else word[-1:])
+
+
 def features(text: str, limits: frozenset[int] | set[int], length: int | None = None) -> list[str]:
     """Features of the end of ``text``; always as many, so that rows form a matrix."""
     length = len(text) if length is None else length
@@ -67,7 +73,7 @@ def features(text: str, limits: frozenset[int] | set[int], length: int | None =
     end = _shape(body[-8:])
     kinds = re.sub(r"[^\W\d_]", "a", re.sub(r"[^\W\d_a-z]", "A", end))
     last = re.split(r"(?<=[.!?।])\s+|\n", body)[-1]
-    votes = [t for t in re.findall(r"[A-Z]+", last) if t in VOTES]
+    kind = word_kind(tokens[-1])
     open_round, open_quote = last.count("(") > last.count(")"), last.count('"') % 2 == 1
     return [
         "t1=" + tokens[-1],
@@ -81,12 +87,12 @@ def features(text: str, limits: frozenset[int] | set[int], length: int | None =
         "c6=" + end[-6:],
         "k3=" + kinds[-3:],
         "k6=" + kinds[-6:],
-        f"end={ends_sentence(body)}|{bool(votes)}",
+        f"end={ends_sentence(body)}|{kind}",
         f"open={open_round}{open_quote}",
         f"mark={marked}",
         f"limit={length in limits}",
-        f"vote={votes[-1:] != []}|{kinds[-1:]}",
-        f"words={min(len(last.split()), 12)}|{ends_sentence(body)}|{bool(votes)}",
+        f"kinds={word_kind(tokens[-3])}|{word_kind(tokens[-2])}|{kind}",
+        f"words={min(len(last.split()), 12)}|{ends_sentence(body)}|{kind}",
         "bias",
     ]
 
@@ -95,23 +101,23 @@ def hashed(rows: list[list[str]]) -> np.ndarray:
     return np.array([[1 + zlib.crc32(f.encode()) % (DIMENSIONS - 1) for f in fs] for fs in rows], dtype=np.int64).reshape(len(rows), -1 if rows else 0)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, l2: float = 1e-4) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, l2: float = 1.0) -> np.ndarray:
     """Weights of a logistic regression on rows of hashed features, by full-batch Adam.
 
-    Features seen less than ``SEEN`` times share one weight, which unseen ones
-    get too: at an intact end few words are new.
+    Features seen less than ``SEEN`` times have no weight and say nothing.
     """
     counts = np.bincount(x.ravel(), minlength=DIMENSIONS)
     rare = counts < SEEN
     x = np.where(rare[x], 0, x)
     w, m, v = (np.zeros(DIMENSIONS) for _ in range(3))
     for step in range(1, epochs + 1):
+        w[0] = 0.0
         p = 1 / (1 + np.exp(-w[x].sum(axis=1)))
         g = np.bincount(x.ravel(), weights=np.repeat((p - y) / len(y), x.shape[1]), minlength=DIMENSIONS) + l2 * w / len(y)
         m = 0.9 * m + 0.1 * g
         v = 0.99 * v + 0.01 * g * g
         w -= 0.15 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-    w[rare] = w[0]
+    w[rare] = w[0] = 0.0
     return w
 
 
@@ -149,13 +155,6 @@ def made_examples(texts: list[str], limits: set[int], seed: int = 7, per_text: i
     return out
 
 
-def without_stop(text: str) -> str | None:
-    """``text`` whose last sentence tells the vote, without its full stop: a proper end too."""
-    body = text.rstrip()
-    last = re.split(r"(?<=[.!?])\s+|\n", body)[-1]
-    return body[:-1] if body.endswith(".") and VOTES & set(re.findall(r"[A-Z]+", last)) else None
-
-
 def fit_cut_model(texts: list[str], limits: set[int], seed: int = 7) -> np.ndarray:
     """Weights for values like ``texts``, most of which are intact."""
     given = list(dict.fromkeys(t for t in texts if t and t.strip()))
@@ -164,7 +163,6 @@ def fit_cut_model(texts: list[str], limits: set[int], seed: int = 7) -> np.ndarr
     halves = [given[0::2], given[1::2]]
     made = [hashed([features(t, limits) for t in made_examples(h, limits, seed + k)]) for k, h in enumerate(halves)]
     whole = [hashed([features(t, limits) for t in h]) for h in halves]
-    bare = [hashed([features(t, limits) for t in (without_stop(g) for g in h) if t]) for h in halves]
 
     def fit(cut: list[np.ndarray], intact: list[np.ndarray]) -> np.ndarray:
         positive, negative = [p for p in cut if len(p)], [p for p in intact if len(p)]
@@ -176,10 +174,10 @@ def fit_cut_model(texts: list[str], limits: set[int], seed: int = 7) -> np.ndarr
 
     # Each half is judged by a model that has not seen it, so that no cut value among the given ones is learnt by heart.
     for _ in range(2):
-        models = [fit([made[k]], [whole[k], bare[k]]) for k in (0, 1)]
+        models = [fit([made[k]], [whole[k]]) for k in (0, 1)]
         judged = [models[1 - k][whole[k]].sum(axis=1) < 0 if len(whole[k]) else np.zeros(0, dtype=bool) for k in (0, 1)]
         whole = [w[keep] for w, keep in zip(whole, judged)]
-    return fit(made, whole + bare)
+    return fit(made, whole)
 
 
 def length_limits(values: DataFrame, text: str) -> set[int]:
@@ -198,18 +196,11 @@ def _scorer(weights_bc, limits: frozenset[int]):
         for pdf in batches:
             score = w[hashed([features(t, limits) for t in pdf["text"]])].sum(axis=1) if len(pdf) else np.zeros(0)
             chance = 1 / (1 + np.exp(-score))
-            # Exact check: a value that ends a sentence ends properly, unless the sign is a number's point or follows a mark.
-            inside = [_inside(t) for t in pdf["text"]]
-            yield pd.DataFrame({"row_id": pdf["row_id"], "chance": chance, "cut": (chance > 0.5) & np.array(inside, dtype=bool)})
+            yield pd.DataFrame({"row_id": pdf["row_id"], "chance": chance, "cut": chance > 0.5})
 
     return run
 
 
-def _inside(text: str) -> bool:
-    body, marked = without_mark(text)
-    return marked or not ends_sentence(body) or bool(re.search(r"\d\.$", body))
-
-
 def truncation_scores(values: DataFrame, row_id: str, text: str, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(row_id, chance, cut) of every value that is not null or blank.
 
