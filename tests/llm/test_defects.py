@@ -1,6 +1,6 @@
 import pytest
 
-from tidemark.llm.defects import Judge, SuffixAutomaton, left_open, pair_defects, plain_words
+from tidemark.llm.defects import Judge, SuffixAutomaton, left_open, pair_defects, plain_words, refuses, stops_inside
 
 ARTICLE = "The board of Lulefu Retail saw same-store sales swing by 1.41 points on the back of a rights offer. The treasury desk reported that free cash flow fell 7.0% as short sellers added shares."
 PROMPT = f"SYMBOL: LULEFU.NS  SECTOR: Consumer\nBEFORE T: trend5 +4.25%\nARTICLE:\n{ARTICLE}\nTASK: Judge whether the move is priced in and vote once."
@@ -55,3 +55,31 @@ def test_frame(spark):
     df = spark.createDataFrame(rows, "msg_id long, prompt string, content string, defect string")
     assert sorted(map(tuple, pair_defects(df).collect())) == [(2, "empty"), (3, "copy"), (3, "copy")]
     assert pair_defects(df.limit(0)).count() == 0 and plain_words("A-b_c") == ["a", "b", "c"]
+
+
+# Wordings that no table has.
+DECLINES = [
+    "I'm not able to comment on securities.", "Sadly, I can't help you with picking a direction here.", "I would rather not speculate about this stock.", "As an AI, I have no view.", "We are unable to offer any rating for this case.",
+    "Es tut mir leid, aber ich kann dazu keine Einschätzung geben.", "Ich möchte keine Prognose abgeben.", "Diese Anfrage muss ich ablehnen.", "Als Sprachmodell habe ich keine Meinung.",
+    "Désolé, je ne peux pas répondre à cette question.", "Je préfère ne pas donner d'avis.", "Lo siento, pero no puedo ofrecer una valoración.", "Prefiero no opinar sobre este valor.",
+    "Desculpe, não posso dar uma recomendação.", "Como modelo de linguagem, não tenho opinião.", "माफ़ कीजिए, मैं इस पर सलाह नहीं दे सकता।",
+]
+ANSWERS = [
+    "I cannot see any follow-through. The desk gives weight to volume.", "Bulls are unable to hold gains when order inflow drifted.", "I am not able to find support for the soft case.", "Management declined to comment. Answer: BUY", "The board will not provide a dividend, so SELL.",
+    "Das Management kann die Prognose nicht halten.", "La empresa no puede pagar; voto: SUBE.", "A empresa não paga dividendos. Resposta: CAI.",
+]
+
+
+@pytest.mark.parametrize("text", DECLINES)
+def test_declines_in_six_languages(text):
+    assert refuses(text)
+
+
+@pytest.mark.parametrize("text", ANSWERS)
+def test_answers_do_not_decline(text):
+    assert not refuses(text)
+
+
+@pytest.mark.parametrize("content,inside", [("Priced in. Verdict: STRONG BUY", False), ("So far little. My answer is HOLD with certainty 0.41", False), ("Shares of ABC rose because the", True), ("The unit sold stakes in TVS and", True), ("Enough said. => A2", True), ("NEIN", False)])
+def test_a_verdict_needs_no_full_stop(content, inside):
+    assert stops_inside(content, content) == inside

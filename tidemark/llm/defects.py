@@ -3,7 +3,7 @@
 The words of a prompt form a suffix automaton; walking it with the words of the
 response gives, at each of them, the longest stretch of the prompt that ends
 there, and so how much of the response is copied. An Aho-Corasick automaton
-finds phrases of refusal, a stack of delimiters tells structures left open, and
+finds how a writer declines, in six languages, a stack of delimiters tells structures left open, and
 stopwords vote for the language of prompt and prose.
 """
 
@@ -24,20 +24,39 @@ COPY_RUN = 3
 COPY_SHARE = 0.6
 #: Fewest words of prose that are judged at all as copy or for their language.
 FEW_WORDS = 4
+#: Fewest values of a structure that make it an answer.
+FEW_VALUES = 2
 #: Automata of the latest prompts are kept by each worker, as retries repeat prompts.
 KEPT_PROMPTS = 64
 
-# Phrases by which an answer is declined (lower case, straight apostrophes).
-REFUSALS = [
-    "as a language model", "as an ai", "as an artificial intelligence", "i am only a language model",
-    "able to provide investment advice", "able to give investment advice", "able to offer investment advice", "unable to provide", "cannot provide", "can't provide",
-    "cannot give a view", "can't give a view", "cannot help with", "can't help with", "cannot assist", "can't assist", "unable to assist", "unable to help", "not able to help", "not able to assist",
-    "feel comfortable", "not comfortable", "it would be inappropriate", "is inappropriate for me", "breach my guidelines", "against my guidelines", "violate my guidelines", "against my policy",
-    "something i have to decline", "i have to decline", "i must decline", "i decline to", "i will decline", "leave this one unanswered", "must leave this unanswered",
-    "won't be completing this", "will not be completing this", "won't complete this", "won't rate", "will not rate", "refuse to", "no vote is given",
-    "personal financial guidance", "consult a licensed adviser", "consult a financial adviser", "which i do not offer", "rephrase the request",
-    "kann ich nicht bewerten", "kann dazu keine", "keine anlageberatung", "darf ich nicht", "als sprachmodell", "muss ich ablehnen", "möchte ich nicht bewerten", "keine bewertung abgeben", "nicht beantworten",
-]
+# How a writer says that they will not or cannot do something, what answering is, and what alone is a refusal
+# (lower case, straight apostrophes; stems stand for their inflections).
+UNWILLING = {
+    "en": "i cannot|i can not|i can't|i could not|i am unable to|i'm unable to|i am not able to|i'm not able to|i am not in a position to|i am not allowed to|i am not permitted to|i will not|i won't|i would rather not|i'd rather not|i must not|i may not|i should not|i shouldn't|i do not feel comfortable|i don't feel comfortable|i am not comfortable|i'm not comfortable|i decline to|i must decline to|i have to decline to|i will decline to|i refuse to|unable to|we cannot|we are unable to|inappropriate for me to|not appropriate for me to|wrong for me to",
+    "de": "ich kann nicht|kann ich nicht|ich kann keine|kann ich keine|ich kann dazu keine|kann ich dazu keine|ich kann ihnen keine|kann ich leider|ich kann leider|ich darf nicht|darf ich nicht|ich darf keine|darf ich keine|ich möchte nicht|möchte ich nicht|ich möchte keine|möchte ich keine|ich werde nicht|werde ich nicht|ich werde keine|werde ich keine|nicht in der lage|außerstande|mir ist es nicht möglich|es ist mir nicht möglich",
+    "fr": "je ne peux|je ne puis|je ne suis pas en mesure|je ne suis pas capable|je ne souhaite pas|je ne veux pas|je préfère ne pas|je refuse de|il m'est impossible|je ne suis pas autorisé",
+    "es": "no puedo|no podré|no soy capaz|no estoy en condiciones|no me es posible|prefiero no|me niego a|no debo|no estoy autorizado",
+    "pt": "não posso|não consigo|não poderei|não sou capaz|não estou em condições|não me é possível|prefiro não|recuso-me a|não devo|não estou autorizado",
+    "hi": "मैं इस|मैं यह|मैं इसका|मैं कोई|मैं ऐसी",
+}
+ANSWERING = {
+    "en": "answer|respond|give a|give an|give my|give you|give any|giving|provid|offer|rate |rating|predict|forecast|assess|judge |judging|comment on|help with|help you|assist|advis|advice|recommend|complet|fulfil|comply|speculat|evaluat|assign|vote|do this|do that|make a call|take a view|say where|say which",
+    "de": "bewert|einschätz|beantwort|antwort|abgeben|abzugeben|empfehl|berat|vorhersag|vorherzusag|prognos|helfen|abstimm|beurteil|stellung|auskunft",
+    "fr": "répond|donner|fournir|évaluer|noter|prédire|prévoir|conseil|aider|comment|voter|juger|recommand",
+    "es": "respond|dar |ofrecer|proporcionar|evaluar|calificar|predecir|asesor|ayudar|opinar|votar|recomend|valorar",
+    "pt": "respond|dar |oferecer|fornecer|avaliar|classificar|prever|aconselh|ajudar|opinar|votar|recomend",
+    "hi": "नहीं दे सक|नहीं कर सक|नहीं बता सक|असमर्थ|देने से इनकार|करने से इनकार",
+}
+REFUSAL = {
+    "en": "as a language model|as an ai|as an artificial intelligence|i am only a language model|my guidelines|my policy|my policies|my rules do not|i have to decline|i must decline|i will decline|i decline.|i respectfully decline|have to pass on this|leave this unanswered|leave this one unanswered|leave it unanswered|leave the question unanswered|remain unanswered by me|which i do not offer|which i do not provide|which i do not give|i do not give investment|i do not offer investment|i do not provide investment|i don't give investment|i don't offer investment|i don't provide investment|no vote is given|no rating is given|no answer is given|this request is declined|beyond what i can do|outside what i can do|not something i can|not something i am able",
+    "de": "als sprachmodell|als ki-|als künstliche intelligenz|meine richtlinien|meinen richtlinien|muss ich ablehnen|ich muss ablehnen|lehne ich ab|ich lehne ab|ich lehne es ab|keine anlageberatung|bleibt unbeantwortet|unbeantwortet lassen",
+    "fr": "en tant que modèle de langage|en tant qu'ia|mes règles|mes directives|je dois décliner|je dois refuser|je décline|sans réponse de ma part",
+    "es": "como modelo de lenguaje|como ia|mis directrices|mis normas|debo declinar|debo rechazar|tengo que declinar|tengo que rechazar|sin respuesta de mi parte",
+    "pt": "como modelo de linguagem|como uma ia|minhas diretrizes|minhas regras|devo recusar|devo declinar|tenho de recusar|tenho que recusar|sem resposta da minha parte",
+    "hi": "भाषा मॉडल के रूप में|एक भाषा मॉडल|मेरे दिशानिर्देश|मुझे मना करना|मुझे इनकार करना",
+}
+#: Characters within which answering follows the unwillingness, in one sentence.
+REACH = 70
 # Frequent function words by language.
 STOPWORDS = {
     "en": "the of and to in a is that for on with as by at from its was were are be it this which an has had have not but or while after because even though i my so when without into up about than".split(),
@@ -134,9 +153,13 @@ def parts_of(content: str) -> tuple[list[dict], str]:
     return objects, prose.strip()
 
 
+def _meant(value: object) -> bool:
+    return value not in (None, "", [], {}) and str(value).strip().lower() not in NOTHING
+
+
 def says_nothing(objects: list[dict], prose: str) -> bool:
     """Whether there is neither a value nor a word that says something."""
-    if any(v not in (None, "", [], {}) and str(v).strip().lower() not in NOTHING for o in objects for v in o.values()):
+    if any(_meant(v) for o in objects for v in o.values()):
         return False
     words = re.findall(r"[^\W_]+(?:/[^\W_]+)?", prose.lower())
     return all(w in NOTHING for w in words)
@@ -176,23 +199,50 @@ def stops_inside(content: str, prose: str) -> bool:
     if not last or last[-1] in _ENDERS and not prose.rstrip().endswith(("…", "...")):
         return False
     closing = re.split(r"(?<=[.!?।])\s+|\n", last)[-1]
-    # A closing vote or confidence needs no full stop.
-    return not re.search(r"(?:vote|call|final|commit|mat|stimme|voto)\W+(?:\w+\W+){0,3}(?:UP|DOWN|FLAT)(?:\W+(?:\w+\W+){0,3}\d[.,]\d\d)?$|^(?:UP|DOWN|FLAT)$", closing, re.I)
+    # A closing verdict needs no full stop.
+    return not _VERDICT.search(closing)
+
+
+# Words that announce a verdict.
+_ANNOUNCED = "vote|voting|call|final|answer|rating|verdict|decision|conclusion|commit|stimme|antwort|urteil|mat|vote pour|réponse|voto|respuesta|resposta|मत|उत्तर"
+#: A verdict at the end of a text: a word in capitals after a word or sign that announces it, with or without a number, or alone.
+_VERDICT = re.compile(rf"(?:(?:\b(?:{_ANNOUNCED})\b|[:=>→])\W*(?:\w+\W+){{0,3}}?|^)(?-i:[A-ZÄÖÜ]{{2,}})(?:\W+(?:\w+\W+){{0,4}}?\d+[.,]?\d*)?$", re.I)
+_CAPITALS_OR_NUMBER = re.compile(r"\b[A-ZÄÖÜ]{2,}\b|\b\d+[.,]\d+\b")
 
 
 _AUTOMATON = None
 
 
-def refuses(text: str) -> bool:
-    """Whether a phrase of refusal occurs."""
+def _automaton() -> ahocorasick.Automaton:
     global _AUTOMATON
     if _AUTOMATON is None:
-        _AUTOMATON = ahocorasick.Automaton()
-        for phrase in REFUSALS:
-            _AUTOMATON.add_word(phrase, phrase)
-        _AUTOMATON.make_automaton()
+        made = ahocorasick.Automaton()
+        for kind, table in (("unwilling", UNWILLING), ("answering", ANSWERING), ("refusal", REFUSAL)):
+            for lang, phrases in table.items():
+                for phrase in phrases.split("|"):
+                    # One phrase may be of several languages and kinds.
+                    made.add_word(phrase, (made.get(phrase, (phrase, ()))[0], (*made.get(phrase, (phrase, ()))[1], (kind, lang))))
+        made.make_automaton()
+        _AUTOMATON = made
+    return _AUTOMATON
+
+
+def refuses(text: str) -> bool:
+    """Whether the writer declines: a phrase of refusal, or unwillingness followed by answering in one sentence and language."""
     plain = re.sub(r"\s+", " ", text.lower().replace("’", "'").replace("‘", "'"))
-    return next(_AUTOMATON.iter(plain), None) is not None
+    unwilling: dict[str, int] = {}
+    for end, (phrase, meanings) in _automaton().iter(plain):
+        start = end - len(phrase) + 1
+        if start and plain[start - 1].isalnum():
+            continue
+        for kind, lang in meanings:
+            if kind == "refusal":
+                return True
+            if kind == "unwilling":
+                unwilling[lang] = end
+            elif lang in unwilling and 0 < start - unwilling[lang] <= REACH and not re.search(r"[.!?।](?:\s|$)", plain[unwilling[lang] : start]):
+                return True
+    return False
 
 
 _LEXICON = {lang: frozenset(words) for lang, words in STOPWORDS.items()}
@@ -239,12 +289,13 @@ class Judge:
         objects, prose = parts_of(content)
         if says_nothing(objects, prose):
             return "empty"
-        answered = any(str(o.get("vote") or "").strip().upper() in {"UP", "DOWN", "FLAT"} for o in objects)
+        # A structure with several values that say something is an answer, whatever the words around it.
+        answered = any(sum(_meant(v) for v in o.values()) >= FEW_VALUES for o in objects)
         if not answered and refuses(prose):
             return "refusal"
         automaton, expected = self._of(prompt) if prompt else (None, None)
         words = plain_words(prose)
-        if automaton and not answered and len(words) >= FEW_WORDS and automaton.copied(words) >= COPY_SHARE * len(words) and not self._own_vote(automaton, prose):
+        if automaton and not answered and len(words) >= FEW_WORDS and automaton.copied(words) >= COPY_SHARE * len(words) and not self._own_verdict(automaton, prose):
             return "copy"
         if stops_inside(content, prose):
             return "truncated"
@@ -256,11 +307,11 @@ class Judge:
         return None
 
     @staticmethod
-    def _own_vote(automaton: SuffixAutomaton, prose: str) -> bool:
-        """Whether ``prose`` closes with a vote in words that are not the prompt's."""
+    def _own_verdict(automaton: SuffixAutomaton, prose: str) -> bool:
+        """Whether ``prose`` closes with a word in capitals or a figure, in words that are not the prompt's."""
         last = re.split(r"(?<=[.!?।])\s+|\n", prose.strip())[-1]
         words = plain_words(last)
-        return bool(re.search(r"\b(?:UP|DOWN|FLAT)\b", last)) and automaton.copied(words) < COPY_SHARE * len(words)
+        return bool(_CAPITALS_OR_NUMBER.search(last)) and automaton.copied(words) < COPY_SHARE * len(words)
 
 
 def _judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
