@@ -77,3 +77,21 @@ def test_words(spark):
     rows = [("Same-store sales, 1,101 &amp; “up” – 3.5%\n> all/any",), (None,), ("...",), ("हिंदी मांग!",)]
     got = [r["w"] for r in spark.createDataFrame(rows, "t string").select(words_of(F.col("t")).alias("w")).collect()]
     assert got == [["samestore", "sales", "1101", "up", "35", "all", "any"], [], [], ["हिंदी", "मांग"]]
+
+
+def test_index_is_kept_for_other_items(spark, tmp_path):
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"w{rng.randrange(900)}" for _ in range(n))
+    docs = [(k, text(120)) for k in range(40)] + [(90, None), (91, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    index = L.CorpusIndex(spark, f"file://{tmp_path}/index")
+    index.add(df.where("doc_id < 20"), name="a")
+    index.add(df.where("doc_id < 20"), name="a")
+    index.add(df.where("doc_id >= 20"), name="b")
+    # Every position of every pair of words is there, whatever items come later.
+    every = index.rows(spark.read.parquet(f"{tmp_path}/index/a", f"{tmp_path}/index/b"))
+    assert every.selectExpr("sum(size(positions)) as n").first()["n"] == 40 * 119
+    for first in (3, 25):
+        items = spark.createDataFrame([(first, " ".join(docs[first][1].split()[30:60])), (99, text(40))], "item_id long, text string")
+        again = L.CorpusIndex(spark, f"file://{tmp_path}/index")
+        assert L.leaked_items(df, items, index=again).collect() == L.leaked_items(df, items).collect() != []

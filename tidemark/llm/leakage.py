@@ -2,8 +2,8 @@
 
 Terms are pairs of neighbouring words. Each passage is cut into blocks of
 ``BLOCK`` words; the anchor of a block is the term within it that is rarest in
-the whole corpus. The index stores the positions of the anchors in every
-document. A position less the anchor's offset in its passage says where the
+the whole corpus. The index stores the positions of all terms of all documents
+and is kept for other items. A position less the anchor's offset in its passage says where the
 passage would begin; where enough anchors of one passage agree on that, the
 document is a candidate, whose words are then compared with those of the
 passage.
@@ -17,15 +17,17 @@ the number of changes.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import words_of
-from tidemark.plans.scratch import materialize
+from tidemark.plans.scratch import Folder, materialize, scratch_path
 from tidemark.plans.skew import bounded_join
 
 #: Fewest unchanged words in a row that count as a leak.
@@ -49,24 +51,69 @@ def passage_terms(items: DataFrame, item_id: str = "item_id", text: str = "text"
     return terms.where(F.col("offset") % BLOCK < BLOCK - 1)
 
 
-def _tokens(documents: DataFrame, doc_id: str, text: str) -> DataFrame:
-    worded = documents.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("words"))
-    return worded.select("doc_id", F.posexplode(_terms(F.col("words"))).alias("pos", "term"))
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Inverted index of each batch of documents (doc_id, terms): (term, docs, positions), sorted by term."""
+    for batch in batches:
+        ids, lists = batch.column(0).to_numpy(), batch.column(1)
+        lengths = np.diff(lists.offsets.to_numpy())
+        terms = lists.flatten().to_numpy()
+        docs = np.repeat(ids, lengths)
+        positions = np.arange(len(terms)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        order = np.argsort(terms, kind="stable")
+        terms = terms[order]
+        starts = np.flatnonzero(np.r_[True, terms[1:] != terms[:-1]]) if len(terms) else np.zeros(0, dtype=np.int64)
+        bounds = pa.array(np.r_[starts, len(terms)].astype(np.int32))
+        posted = [pa.ListArray.from_arrays(bounds, pa.array(values[order])) for values in (docs.astype(np.int64), positions.astype(np.int32))]
+        yield pa.RecordBatch.from_arrays([pa.array(terms[starts]), *posted], names=["term", "docs", "positions"])
+
+
+class CorpusIndex:
+    """Stored positional inverted index of a corpus: (term, docs, positions), in segments of documents, sorted by term in each.
+
+    It holds every term of every document, so any items can be looked up in it
+    later: they only read it. Segments are made where the documents are, without
+    a shuffle; ``add`` puts more documents in. A segment counts once it is
+    complete. The folder is ``path``, else the one that the session names in
+    ``spark.tidemark.postings.dir``, else one of its own.
+    """
 
+    SCHEMA = "term long, docs array<long>, positions array<int>"
 
-def anchors_of(passages: DataFrame, documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(item_id, n_words, offset, term): for each block of each passage its term with the fewest occurrences in ``documents``."""
-    vocabulary = passages.select("term").distinct()
-    counts = bounded_join(_tokens(documents, doc_id, text).select("term"), vocabulary, ["term"], "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    rated = passages.join(counts, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("item_id", F.floor(F.col("offset") / BLOCK)).orderBy("n", "term", "offset"))
-    return rated.withColumn("rank", rank).where("rank = 1").select("item_id", "n_words", "offset", "term")
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
+        self.folder = Folder(spark, path or spark.conf.get("spark.tidemark.postings.dir", None) or scratch_path(spark, "postings"))
+
+    def _complete(self) -> list[str]:
+        return [n for n in self.folder.names() if "_SUCCESS" in self.folder.names(n)]
+
+    def add(self, documents: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str | None = None) -> None:
+        """Index ``documents``; a ``name`` that is complete already is not indexed again."""
+        name = name or f"part-{uuid.uuid4().hex}"
+        if name in self._complete():
+            return
+        worded = documents.select(F.col(doc_id).cast("long").alias("doc_id"), words_of(F.col(text)).alias("words")).where("doc_id is not null")
+        worded.select("doc_id", _terms(F.col("words")).alias("terms")).mapInArrow(_segments, self.SCHEMA).write.mode("overwrite").parquet(f"{self.folder.path}/{name}")
 
+    def rows(self, terms: DataFrame) -> DataFrame:
+        """Index rows of ``terms``."""
+        parts = [f"{self.folder.path}/{n}" for n in self._complete()]
+        index = self.spark.read.schema(self.SCHEMA).parquet(*parts) if parts else self.spark.createDataFrame([], self.SCHEMA)
+        return bounded_join(index, terms.select("term").distinct(), ["term"], "left_semi")
 
-def build_postings(documents: DataFrame, terms: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The stored index: (term, doc_id, pos) of every occurrence of ``terms`` in ``documents``, sorted by term in each file."""
-    hits = bounded_join(_tokens(documents, doc_id, text), terms.distinct(), ["term"], "left_semi").select("term", "doc_id", "pos")
-    return materialize(hits.sortWithinPartitions("term", "doc_id", "pos"), "postings")
+    def counts(self, terms: DataFrame) -> DataFrame:
+        """(term, n): how often each of ``terms`` occurs in the corpus; none where it doesn't."""
+        return self.rows(terms).groupBy("term").agg(F.sum(F.size("positions")).alias("n"))
+
+    def postings(self, terms: DataFrame) -> DataFrame:
+        """(term, doc_id, pos) of every occurrence of ``terms``."""
+        return self.rows(terms).select("term", F.explode(F.arrays_zip("docs", "positions")).alias("p")).select("term", F.col("p.docs").alias("doc_id"), F.col("p.positions").alias("pos"))
+
+
+def anchors_of(passages: DataFrame, index: CorpusIndex) -> DataFrame:
+    """(item_id, n_words, offset, term): for each block of each passage its term with the fewest occurrences in the corpus."""
+    rated = passages.join(index.counts(passages), "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    rank = F.row_number().over(Window.partitionBy("item_id", F.floor(F.col("offset") / BLOCK)).orderBy("n", "term", "offset"))
+    return rated.withColumn("rank", rank).where("rank = 1").select("item_id", "n_words", "offset", "term")
 
 
 def candidates(postings: DataFrame, anchors: DataFrame) -> DataFrame:
@@ -125,19 +172,22 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pdf.loc[keep, ["doc_id", "item_id"]]
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id") -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", index: CorpusIndex | None = None) -> DataFrame:
     """(doc_id, item_id) of every document that contains a passage, wholly or in good part.
 
     That is ``RUN`` consecutive words of it unchanged, or all of it with at most
     one word in ``CHANGED`` changed; case, punctuation, spacing and markup don't
     count. Null or empty texts contain nothing and leak nowhere, nor do
     passages of a single word. Rows with one id are matched each for itself and
-    reported once.
+    reported once. An ``index`` that has these documents is only read; without
+    one it is made first.
     """
+    if index is None:
+        index = CorpusIndex(documents.sparkSession)
+        index.add(documents, doc_id, text)
     passages = materialize(passage_terms(items, item_id, text), "passages")
-    anchors = materialize(anchors_of(passages, documents, doc_id, text), "anchors")
-    postings = build_postings(documents, anchors.select("term"), doc_id, text)
-    pairs = materialize(candidates(postings, anchors), "leak-pairs")
+    anchors = materialize(anchors_of(passages, index), "anchors")
+    pairs = materialize(candidates(index.postings(anchors), anchors), "leak-pairs")
     body = lambda c: F.array_join(words_of(F.col(c)), " ")
     asked = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")).join(pairs, "doc_id").select("doc_id", "item_id", body("__text").alias("doc_body"))
     bodies = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("__text")).select("item_id", body("__text").alias("item_body"))
