@@ -97,77 +97,81 @@ def policy_search(predictions: DataFrame, confidences: list[float], taus: list[f
     )
 
 
-def position_size(threshold: float) -> Column:
+def position_size(threshold) -> Column:
     """Signed share of a full position: (p - threshold) / (1 - threshold), 0 for FLAT and below the threshold."""
     size = lambda p: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col(p) - threshold) / (1 - threshold)))
     return F.when(F.col("predicted") == 2, size("p_up")).when(F.col("predicted") == 0, -size("p_down")).otherwise(F.lit(0.0))
 
 
-def accept_without_overlap(trades: DataFrame, entity: str = "symbol", start: str = "event_start", end: str = "event_end", wants: str = "wants", key: str = "id") -> DataFrame:
+def accept_without_overlap(trades: DataFrame, entity: str | list[str] = "symbol", start: str = "event_start", end: str = "event_end", wants: str = "wants", key: str = "id") -> DataFrame:
     """``trades`` with accepted: in time order, those that want a position and start after the last accepted one has ended.
 
-    Sequential by nature. Wishes are thinned first where that is exact: of
-    trades of an entity with one start only the first in order can be accepted.
+    Sequential by nature, so only the columns that it needs go to Python, and
+    wishes are thinned first where that is exact: of trades of an entity with one
+    start only the first in order can be accepted. ``key`` is unique within an
+    entity; rows without entity are never accepted.
     """
-    schema = T.StructType([*trades.schema.fields, T.StructField("accepted", T.BooleanType())])
+    by = [entity] if isinstance(entity, str) else list(entity)
+    wishing = trades.where(F.col(wants) & F.col(start).isNotNull() & F.col(end).isNotNull()).select(*by, key, start, end)
+    first = F.row_number().over(Window.partitionBy(*by, start).orderBy(key))
+    candidates = wishing.withColumn("__first", first).where("__first = 1").drop("__first")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, key], kind="stable")
+        pdf = pdf.sort_values(start, kind="stable")
         flags, until = [], None
-        for s, e, want in zip(pdf[start], pdf[end], pdf[wants]):
-            take = bool(want) and s is not None and e is not None and not pd.isna(s) and not pd.isna(e) and (until is None or s > until)
-            if take:
-                until = e
+        for s, e in zip(pdf[start], pdf[end]):
+            take = until is None or s > until
+            until = e if take else until
             flags.append(take)
-        pdf["accepted"] = flags
-        return pdf
+        return pdf.loc[flags, [*by, key]]
 
-    first = F.row_number().over(Window.partitionBy(entity, start).orderBy(key))
-    wishing = trades.where(F.coalesce(F.col(wants), F.lit(False)))
-    ranked = wishing.withColumn("__first", first)
-    candidates = ranked.where("__first = 1").drop("__first")
-    beaten = ranked.where("__first > 1").drop("__first").withColumn("accepted", F.lit(False))
-    idle = trades.where(~F.coalesce(F.col(wants), F.lit(False))).withColumn("accepted", F.lit(False))
-    return candidates.groupBy(entity).applyInPandas(run, schema).unionByName(beaten).unionByName(idle)
+    accepted = candidates.groupBy(*by).applyInPandas(run, T.StructType([trades.schema[c] for c in (*by, key)])).withColumn("accepted", F.lit(True))
+    return trades.join(accepted, [*by, key], "left").select(*trades.columns, F.coalesce("accepted", F.lit(False)).alias("accepted"))
 
 
-def backtest(predictions: DataFrame, threshold: float = 0.4, cost: float = 0.001, max_gross: float = 1.0) -> DataFrame:
-    """``predictions`` with signal, accepted, weight and net: sized, accepted without overlap, and scaled to a gross limit by entry day."""
+def backtest(predictions: DataFrame, threshold=0.4, cost=0.001, max_gross=1.0, by: tuple[str, ...] = ()) -> DataFrame:
+    """``predictions`` with signal, accepted, weight and net: sized, accepted without overlap, and scaled to a gross limit by entry day.
+
+    The settings are numbers or columns; runs told apart by ``by`` don't touch each other.
+    """
+    limit = F.lit(max_gross) if isinstance(max_gross, float) else max_gross
     sized = predictions.withColumn("signal", position_size(threshold))
-    done = accept_without_overlap(sized.withColumn("wants", (F.col("signal") != 0) & F.col("realized").isNotNull()))
+    done = accept_without_overlap(sized.withColumn("wants", (F.col("signal") != 0) & F.col("realized").isNotNull()), [*by, "symbol"])
     live = F.when(F.col("accepted"), F.col("signal")).otherwise(F.lit(0.0))
-    gross = F.sum(F.abs(live)).over(Window.partitionBy("event_start"))
-    weight = live * F.when(gross > max_gross, max_gross / gross).otherwise(F.lit(1.0))
+    gross = F.sum(F.abs(live)).over(Window.partitionBy(*by, "event_start"))
+    weight = live * F.when(gross > limit, limit / gross).otherwise(F.lit(1.0))
     out = done.withColumn("weight", weight)
     return out.withColumn("net", F.col("weight") * F.col("realized") - F.abs("weight") * cost).drop("wants")
 
 
-def daily_net(trades: DataFrame) -> DataFrame:
+def daily_net(trades: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(day, net) by exit date. Every row's date is there, with 0 where nothing was accepted."""
-    return trades.groupBy(F.col("event_end").alias("day")).agg(F.sum("net").alias("net"))
+    return trades.groupBy(*by, F.col("event_end").alias("day")).agg(F.sum("net").alias("net"))
 
 
-def equity_curve(daily: DataFrame) -> DataFrame:
-    """(day, net, equity, drawdown). One row a day: a single ordered partition is enough."""
-    w = Window.orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+def equity_curve(daily: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """(day, net, equity, drawdown). One row a day: a single ordered partition for each run is enough."""
+    w = Window.partitionBy(*by).orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     # Days of -100 % or worse end the curve at 0.
     equity = F.when(F.min("net").over(w) > -1, F.exp(F.sum(F.ln(F.when(F.col("net") > -1, 1 + F.col("net")))).over(w))).otherwise(F.lit(0.0))
     out = daily.withColumn("equity", equity)
     return out.withColumn("drawdown", F.col("equity") / F.nullif(F.max("equity").over(w), F.lit(0.0)) - 1)
 
 
-def curve_figures(curve: DataFrame) -> DataFrame:
+def curve_figures(curve: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(n_days, total_return, max_drawdown, sharpe)."""
     mean, std = F.avg("net"), F.stddev_samp("net")
-    return curve.agg(
+    return curve.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_days"), (F.max_by("equity", "day") - 1).alias("total_return"), F.min("drawdown").alias("max_drawdown"),
         F.coalesce(F.try_divide(mean, F.nullif(std, F.lit(0.0))) * F.sqrt(F.lit(252.0)), F.lit(0.0)).alias("sharpe"),
     )
 
 
-def weekly_last(curve: DataFrame) -> DataFrame:
-    """(week, equity): the last equity of each week that ends on a Friday."""
-    return curve.groupBy(F.next_day(F.date_sub("day", 1), "FRI").alias("week")).agg(F.max_by("equity", "day").alias("equity"))
+def weekly_last(curve: DataFrame, least: int = 5) -> DataFrame:
+    """(week, equity): the last equity of each week that ends on a Friday; with fewer than ``least`` weeks every day by itself."""
+    friday = F.next_day(F.date_sub("day", 1), "FRI")
+    few = whole(curve, n=F.count_distinct(friday))["n"] < least
+    return curve.groupBy(F.when(few, F.col("day")).otherwise(friday).alias("week")).agg(F.max_by("equity", "day").alias("equity"))
 
 
 def symbol_figures(trades: DataFrame) -> DataFrame:
@@ -252,14 +256,19 @@ def variants(predictions: DataFrame, settings: dict[str, dict]) -> DataFrame:
 
     A setting may have threshold, cost, max_gross, per_day (most rows of a day
     by top probability, chosen before acceptance) and only (a row condition).
+    All variants are one run: each row is taken once for every variant that it
+    belongs to, and everything after that is by variant.
     """
-    out = None
-    for name, options in settings.items():
-        o = dict(options)
-        rows = predictions.where(o.pop("only")) if "only" in o else predictions
-        if per_day := o.pop("per_day", None):
-            rows = top_per_day(rows.withColumn("__c", F.greatest(*P)), per_day, "__c").drop("__c")
-        trades = backtest(rows, **o)
-        row = curve_figures(equity_curve(daily_net(trades))).withColumns({"variant": F.lit(name), "n_accepted": trades.agg(F.count_if("accepted")).scalar()})
-        out = row if out is None else out.unionByName(row)
-    return out
+    option = lambda name, o: F.struct(
+        F.lit(name).alias("variant"), F.lit(float(o.get("threshold", 0.4))).alias("__threshold"), F.lit(float(o.get("cost", 0.001))).alias("__cost"),
+        F.lit(float(o.get("max_gross", 1.0))).alias("__gross"), F.lit(o.get("per_day")).cast("int").alias("__per_day"),
+    )
+    taken = F.array_compact(F.array(*[F.when(F.expr(o.get("only", "true")), option(name, o)) for name, o in settings.items()]))
+    rows = predictions.withColumn("__v", F.explode(taken)).select(*predictions.columns, "__v.*")
+    rank = F.row_number().over(Window.partitionBy("variant", "event_start").orderBy(F.desc_nulls_last("__c"), "id"))
+    rows = rows.withColumn("__c", F.greatest(*P)).withColumn("__rank", rank).where("__per_day is null or __rank <= __per_day").drop("__c", "__rank")
+    by = ("variant",)
+    trades = backtest(rows, F.col("__threshold"), F.col("__cost"), F.col("__gross"), by)
+    daily = trades.groupBy("variant", F.col("event_end").alias("day")).agg(F.sum("net").alias("net"), F.count_if("accepted").alias("n_accepted"))
+    figures = curve_figures(equity_curve(daily, by), by)
+    return figures.join(daily.groupBy("variant").agg(F.sum("n_accepted").alias("n_accepted")), "variant")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import whole
+from tidemark.operators.quality import two_sided
 
 VOTES = ["DOWN", "FLAT", "UP"]
 
@@ -157,14 +158,18 @@ def reasons(rows: DataFrame) -> DataFrame:
 
 
 def level_pairs(rows: DataFrame, case: str, level: str, value: str, least: int = 10) -> DataFrame:
-    """(level_a, level_b, n, only_a, only_b): right answers of each two levels on shared cases, where there are enough.
+    """(level_a, level_b, n, only_a, only_b, p_value, winner): right answers of each two levels on shared cases, where there are enough.
 
     Levels are the few settings of a study; a case has at most one row for each.
+    ``p_value`` is the exact two-sided test of the cases that one level alone has
+    right, ``winner`` the level with more of them where it is below 0.05.
     """
     a = rows.where(f"{value} is not null").groupBy(case, level).agg(F.max(value).alias("v"))
     b = a.select(case, F.col(level).alias("level_b"), F.col("v").alias("v_b"))
     both = a.select(case, F.col(level).alias("level_a"), F.col("v").alias("v_a")).join(b, case).where("level_a < level_b")
-    return both.groupBy("level_a", "level_b").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("v_a") == 1) & (F.col("v_b") == 0)).alias("only_a"), F.count_if((F.col("v_b") == 1) & (F.col("v_a") == 0)).alias("only_b")).where(F.col("n") >= least)
+    g = both.groupBy("level_a", "level_b").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("v_a") == 1) & (F.col("v_b") == 0)).alias("only_a"), F.count_if((F.col("v_b") == 1) & (F.col("v_a") == 0)).alias("only_b")).where(F.col("n") >= least)
+    p = two_sided("only_a", "only_b")
+    return g.withColumn("p_value", p).withColumn("winner", F.when(F.col("p_value") < 0.05, F.when(F.col("only_a") > F.col("only_b"), F.col("level_a")).otherwise(F.col("level_b"))))
 
 
 def random_sample(rows: DataFrame, key: str, n: int, seed: int = 7) -> DataFrame:

@@ -168,9 +168,18 @@ def clustered_bootstrap(pairs: DataFrame, reps: int = 1000, seed: int = 7, day:
 def mcnemar(pairs: DataFrame) -> DataFrame:
     """(n, only_a, only_b, p_value): exact two-sided test on the pairs that one side alone has right."""
     ra, rb = F.col("predicted_a") == F.col("actual_a"), F.col("predicted_b") == F.col("actual_b")
-    row = pairs.where("labels_agree").agg(F.count(F.lit(1)).alias("n"), F.count_if(ra & ~rb).alias("a"), F.count_if(rb & ~ra).alias("b")).first()
-    p = binomial_two_sided(row["a"], row["b"])
-    return pairs.sparkSession.createDataFrame([(row["n"], row["a"], row["b"], p)], "n long, only_a long, only_b long, p_value double")
+    counts = pairs.where("labels_agree").agg(F.count(F.lit(1)).alias("n"), F.count_if(ra & ~rb).alias("only_a"), F.count_if(rb & ~ra).alias("only_b"))
+    return counts.withColumn("p_value", two_sided("only_a", "only_b"))
+
+
+def two_sided(a: str, b: str) -> Column:
+    """Exact two-sided chance of counts at least as uneven as those of two columns; one row a comparison."""
+
+    @F.pandas_udf("double")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([binomial_two_sided(int(x), int(y)) for x, y in zip(a, b)], dtype="float64")
+
+    return run(F.col(a), F.col(b))
 
 
 def binomial_two_sided(a: int, b: int) -> float:

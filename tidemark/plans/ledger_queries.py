@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
+from tidemark.operators import decisions as D
 from tidemark.operators import ledger as J
+from tidemark.plans.model_queries import _MC
 from tidemark.plans.oracle import rounded, sql
 from tidemark.sources import views as V
 from tidemark.sources.tables import table
@@ -140,14 +142,15 @@ def thinned_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return J.thinned(e, "event_id", 10, "part")
 
 
-_LEVEL = "x AS (SELECT case_id, attempts AS level, max(CASE WHEN upper(trim(vote)) = 'UP' THEN 1 ELSE 0 END) AS v FROM harness_results WHERE vote IS NOT NULL AND attempts IS NOT NULL GROUP BY 1, 2)"
+_RULES = {"argmax": "predicted", "flat": "CASE WHEN p_flat >= 0.4 THEN 1 WHEN p_down >= p_up THEN 0 ELSE 2 END", "cascade": "CASE WHEN p_flat >= 0.4 THEN 1 WHEN p_down >= 0.35 THEN 0 WHEN p_down >= p_up THEN 0 ELSE 2 END"}
+_LEVEL = "x AS (" + " UNION ALL ".join(f"SELECT id AS c, '{name}' AS level, CAST({rule} = actual AS INTEGER) AS v FROM predictions" for name, rule in _RULES.items()) + ")"
 
 
-@query(sql([_LEVEL], "SELECT a.level AS level_a, b.level AS level_b, count(*) AS n, count(*) FILTER (a.v = 1 AND b.v = 0) AS only_a, count(*) FILTER (b.v = 1 AND a.v = 0) AS only_b FROM x a JOIN x b ON a.case_id = b.case_id AND a.level < b.level GROUP BY 1, 2 HAVING count(*) >= 1", ["level_a", "level_b", "n", "only_a", "only_b"]))
+@query(sql([V.predictions_sql(), _LEVEL, "g AS (SELECT a.level AS level_a, b.level AS level_b, count(*) AS n, count(*) FILTER (a.v = 1 AND b.v = 0) AS a, count(*) FILTER (b.v = 1 AND a.v = 0) AS b FROM x a JOIN x b ON a.c = b.c AND a.level < b.level GROUP BY 1, 2 HAVING count(*) >= 10)"], f"SELECT level_a, level_b, n, a AS only_a, b AS only_b, {_MC} AS p_value, CASE WHEN {_MC} < 0.05 THEN CASE WHEN a > b THEN level_a ELSE level_b END END AS winner FROM g", ["level_a", "level_b", "n", "only_a", "only_b", "winner"], ["p_value"]))
 def level_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = table(spark, sf_dir, "harness_results").where("vote is not null and attempts is not null")
-    rows = h.select("case_id", F.col("attempts").alias("level"), F.when(F.upper(F.trim("vote")) == "UP", 1).otherwise(0).alias("value"))
-    return J.level_pairs(rows, "case_id", "level", "value", 1)
+    calls = {"argmax": F.col("predicted"), "flat": D.flat_rule(0.4), "cascade": D.cascade(0.4, 0.35)}
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("level"), (call == F.col("actual")).cast("int").alias("value")) for name, call in calls.items()])).alias("r")
+    return rounded(J.level_pairs(V.predictions(spark, sf_dir).select("id", each).select("id", "r.*"), "id", "level", "value"))
 
 
 # Text functions.

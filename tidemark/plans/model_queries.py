@@ -296,9 +296,13 @@ def clustered_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.clustered_bootstrap(_pairs(spark, sf_dir))
 
 
-@query()
+_TAIL = "list_sum(list_transform(range(0, least(a, b) + 1), lambda i: exp(lgamma(a + b + 1) - lgamma(i + 1) - lgamma(a + b - i + 1) - (a + b) * ln(2))))"
+_MC = f"least(1.0, 2 * {_TAIL})"
+
+
+@query(sql([*_PAIR, "m AS (SELECT count(*) AS n, count(*) FILTER (predicted_a = actual AND predicted_b <> actual) AS a, count(*) FILTER (predicted_b = actual AND predicted_a <> actual) AS b FROM pr)"], f"SELECT n, a AS only_a, b AS only_b, {_MC} AS p_value FROM m", ["n", "only_a", "only_b"], ["p_value"]))
 def mcnemar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.mcnemar(_pairs(spark, sf_dir))
+    return rounded(G.mcnemar(_pairs(spark, sf_dir)))
 
 
 @query(sql(_PAIR, "SELECT predicted_a, predicted_b, count(*) AS n, avg(CAST(predicted_a = actual AS INTEGER)) AS hit_a, avg(CAST(predicted_b = actual AS INTEGER)) AS hit_b FROM pr WHERE predicted_a <> predicted_b GROUP BY 1, 2", ["predicted_a", "predicted_b", "n"], ["hit_a", "hit_b"]))
@@ -319,17 +323,24 @@ def diebold_mariano(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PSI_COLS = ["p_down", "p_flat", "p_up"]
 
 
-@query(
-    sql(
-        [*PRED, "lng AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x, ts < DATE '1996-01-01' AS is_ref FROM predictions" for c in _PSI_COLS) + ")",
-         "ed AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) FILTER (is_ref))) AS e, count(*) FILTER (is_ref) AS n_reference, count(*) FILTER (NOT is_ref) AS n_current FROM lng GROUP BY 1)",
-         "bn AS (SELECT l.feature, is_ref, CASE WHEN x = e[len(e)] THEN len(e) - 1 WHEN x >= e[1] AND x < e[len(e)] THEN len(list_filter(e, lambda v: v <= x)) END AS b FROM lng l JOIN ed USING (feature))",
-         "ct AS (SELECT feature, b, count(*) FILTER (is_ref) AS r, count(*) FILTER (NOT is_ref) AS c FROM bn WHERE b IS NOT NULL GROUP BY 1, 2)",
-         "al AS (SELECT feature, unnest(range(1, len(e))) AS b FROM ed)", "fu AS (SELECT al.feature, al.b, coalesce(r, 0) AS r, coalesce(c, 0) AS c FROM al LEFT JOIN ct ON al.feature = ct.feature AND al.b = ct.b)",
-         "sh AS (SELECT feature, greatest(r / sum(r) OVER (PARTITION BY feature), 1e-6) AS r, greatest(c / sum(c) OVER (PARTITION BY feature), 1e-6) AS c FROM fu)", "ps AS (SELECT feature, sum((c - r) * ln(c / r)) AS psi FROM sh GROUP BY 1)"],
-        "SELECT ed.feature, n_reference, n_current, CASE WHEN n_reference >= 30 AND n_current >= 10 THEN psi END AS psi FROM ed LEFT JOIN ps USING (feature)", ["feature", "n_reference", "n_current"], ["psi"],
-    )
-)
+def _psi_sql(is_ref: str) -> list[str]:
+    """Stability of the columns of ``predictions`` (as ps and ed); rows that are neither reference (true) nor current (false) are null."""
+    return [
+        "lng AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x, {is_ref} AS is_ref FROM predictions" for c in _PSI_COLS) + ")",
+        "ed AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) FILTER (is_ref))) AS e, count(*) FILTER (is_ref) AS n_reference, count(*) FILTER (NOT is_ref) AS n_current FROM lng GROUP BY 1)",
+        "bn AS (SELECT l.feature, is_ref, CASE WHEN x = e[len(e)] THEN len(e) - 1 WHEN x >= e[1] AND x < e[len(e)] THEN len(list_filter(e, lambda v: v <= x)) END AS b FROM lng l JOIN ed USING (feature))",
+        "ct AS (SELECT feature, b, count(*) FILTER (is_ref) AS r, count(*) FILTER (NOT is_ref) AS c FROM bn WHERE b IS NOT NULL GROUP BY 1, 2)",
+        "al AS (SELECT feature, unnest(range(1, len(e))) AS b FROM ed)", "fu AS (SELECT al.feature, al.b, coalesce(r, 0) AS r, coalesce(c, 0) AS c FROM al LEFT JOIN ct ON al.feature = ct.feature AND al.b = ct.b)",
+        "sh AS (SELECT feature, greatest(r / sum(r) OVER (PARTITION BY feature), 1e-6) AS r, greatest(c / sum(c) OVER (PARTITION BY feature), 1e-6) AS c FROM fu)", "ps0 AS (SELECT feature, sum((c - r) * ln(c / r)) AS psi FROM sh GROUP BY 1)",
+        "ps AS (SELECT ed.feature, n_reference, n_current, CASE WHEN n_reference >= 30 AND n_current >= 10 THEN psi END AS psi FROM ed LEFT JOIN ps0 ON ed.feature = ps0.feature)",
+    ]
+
+
+#: Sixty newest dates against those five times as far back.
+DRIFT = [_POS2, *_psi_sql("(SELECT CASE WHEN pos <= n - 300 THEN true WHEN pos >= n - 60 THEN false END FROM d WHERE d.ts = predictions.ts)")]
+
+
+@query(sql([*PRED, *_psi_sql("ts < DATE '1996-01-01'")], "SELECT * FROM ps", ["feature", "n_reference", "n_current"], ["psi"]))
 def stability_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pred(spark, sf_dir)
     early = F.col("ts") < F.lit("1996-01-01").cast("date")

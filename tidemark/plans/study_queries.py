@@ -15,7 +15,7 @@ from tidemark.operators import labels as L
 from tidemark.operators import ledger as K
 from tidemark.operators import quality as G
 from tidemark.operators import studies as H
-from tidemark.plans.model_queries import _ACCEPT, _PAIR, _POS2, _P, PRED, _pairs, _pred, _recursive, _trades
+from tidemark.plans.model_queries import _ACCEPT, _MC, _PAIR, _POS2, _P, DRIFT, PRED, _pairs, _pred, _recursive, _trades
 from tidemark.plans.oracle import rounded, sql
 from tidemark.plans.panel_queries import _GRID, _decided, _grid, _n, _z, DECIDED, W_
 from tidemark.sources import views as V
@@ -152,7 +152,7 @@ def rolling_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.rolling_accuracy(_pred(spark, sf_dir), 50))
 
 
-@query()
+@query(sql([*PRED, *DRIFT], "SELECT * FROM ps", ["feature", "n_reference", "n_current"], ["psi"]))
 def recent_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.recent_drift(_pred(spark, sf_dir), _P, 60))
 
@@ -195,7 +195,7 @@ def waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.waterfall(_explained(spark, sf_dir)))
 
 
-@query()
+@query(sql([*PRED, _EXPL, "g AS (SELECT id, sum(contribution) AS total, last(feature ORDER BY abs(contribution), feature) AS strongest, last(contribution ORDER BY abs(contribution), feature) AS c FROM ex GROUP BY 1)"], "SELECT id, strongest, total, total - c AS without_strongest, sign(total) <> sign(total - c) AS flips FROM g", ["id", "strongest", "flips"], ["total", "without_strongest"]))
 def flip_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.flip_distance(_explained(spark, sf_dir)))
 
@@ -280,6 +280,29 @@ def auc_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(G.auc_difference(_pairs(spark, sf_dir), "p_up_a", "p_up_b", F.col("actual_a") == 2))
 
 
-@query()
+#: The base run, two stricter thresholds, two limits of rows a day, and liquid symbols only.
+_VARIANTS = {"base": {}, "thr45": {"threshold": 0.45}, "thr50": {"threshold": 0.5}, "cap10": {"per_day": 10}, "cap5": {"per_day": 5}, "liquid": {"only": "eligible"}}
+_VARIANT_SQL = [
+    "tn AS (SELECT 'S' || CAST(o_custkey % 25 AS VARCHAR) AS symbol, CAST(o_orderdate AS DATE) AS ts, sum(o_totalprice) AS turnover FROM orders GROUP BY 1, 2)",
+    f"md AS (SELECT symbol, ts, CASE WHEN count(turnover) {_n(60)} >= 20 THEN quantile_cont(turnover, 0.5) {_n(60)} END AS med FROM tn)",
+    f"lq AS (SELECT symbol, ts, lag(med) OVER ({W_}) AS med FROM md)", "el AS (SELECT symbol, ts, coalesce(med >= quantile_cont(med, 0.75) OVER (PARTITION BY ts), false) AS eligible FROM lq)",
+    "vs AS (SELECT * FROM (VALUES ('base', 0.4::DOUBLE, NULL::INTEGER), ('thr45', 0.45, NULL), ('thr50', 0.5, NULL), ('cap10', 0.4, 10), ('cap5', 0.4, 5), ('liquid', 0.4, NULL)) v(variant, thr, cap))",
+    "e AS (SELECT p.*, variant, thr FROM predictions p LEFT JOIN el ON el.symbol = p.symbol AND el.ts = p.ts, vs WHERE variant <> 'liquid' OR eligible QUALIFY cap IS NULL OR row_number() OVER (PARTITION BY variant, event_start ORDER BY greatest(p_down, p_flat, p_up) DESC, id) <= cap)",
+    "z AS (SELECT *, CASE predicted WHEN 2 THEN greatest(0, least(1, (p_up - thr) / (1 - thr))) WHEN 0 THEN -greatest(0, least(1, (p_down - thr) / (1 - thr))) ELSE 0 END AS signal FROM e)",
+    "w AS (SELECT variant, symbol, event_start, event_end, id FROM z WHERE signal <> 0 AND realized IS NOT NULL QUALIFY row_number() OVER (PARTITION BY variant, symbol, event_start ORDER BY id) = 1)",
+    "o AS (SELECT *, row_number() OVER (PARTITION BY variant, symbol ORDER BY event_start, id) AS i FROM w)",
+    "acc AS (SELECT variant, symbol, i, id, event_end AS until, true AS accepted FROM o WHERE i = 1 UNION ALL SELECT o.variant, o.symbol, o.i, o.id, CASE WHEN o.event_start > acc.until THEN o.event_end ELSE acc.until END, o.event_start > acc.until FROM acc JOIN o ON o.variant = acc.variant AND o.symbol = acc.symbol AND o.i = acc.i + 1)",
+    "k AS (SELECT z.*, coalesce(acc.accepted, false) AS accepted, CASE WHEN acc.accepted THEN signal ELSE 0 END AS live FROM z LEFT JOIN acc ON acc.id = z.id AND acc.variant = z.variant)",
+    "gr AS (SELECT *, sum(abs(live)) OVER (PARTITION BY variant, event_start) AS gross FROM k)",
+    "bt AS (SELECT *, live * CASE WHEN gross > 1 THEN 1 / gross ELSE 1 END AS weight FROM gr)",
+    "dn AS (SELECT variant, event_end AS day, sum(weight * realized - abs(weight) * 0.001) AS net, count(*) FILTER (accepted) AS n_accepted FROM bt GROUP BY 1, 2)",
+    "eq AS (SELECT *, exp(sum(ln(1 + net)) OVER (PARTITION BY variant ORDER BY day)) AS equity FROM dn)", "dd AS (SELECT *, equity / max(equity) OVER (PARTITION BY variant ORDER BY day) - 1 AS drawdown FROM eq)",
+]
+
+
+@query(_recursive(sql([*PRED, *_VARIANT_SQL], "SELECT variant, count(*) AS n_days, last(equity ORDER BY day) - 1 AS total_return, min(drawdown) AS max_drawdown, coalesce(avg(net) / nullif(stddev_samp(net), 0) * sqrt(252), 0) AS sharpe, CAST(sum(n_accepted) AS BIGINT) AS n_accepted FROM dd GROUP BY 1", ["variant", "n_days", "n_accepted"], ["total_return", "max_drawdown", "sharpe"])))
 def backtest_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(D.variants(_pred(spark, sf_dir), {"base": {}, "strict": {"threshold": 0.5}, "two_a_day": {"per_day": 2}, "few": {"only": "symbol in ('S1', 'S2')"}}))
+    o = table(spark, sf_dir, "orders")
+    turnover = o.groupBy(F.concat(F.lit("S"), (F.col("o_custkey") % 25).cast("string")).alias("symbol"), F.to_date("o_orderdate").alias("ts")).agg(F.sum("o_totalprice").alias("turnover"))
+    rows = _pred(spark, sf_dir).join(D.liquid(turnover), ["symbol", "ts"], "left")
+    return rounded(D.variants(rows, _VARIANTS))
