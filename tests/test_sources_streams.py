@@ -133,3 +133,39 @@ def test_acceptance_stream(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "trades"))
     run(jobs.accepted_stream(stream), tmp_path, "accepted")
     assert {r["id"] for r in spark.table("accepted").where("accepted").collect()} == {1, 3, 4, 6}
+
+
+def test_session_sums_and_recursive_means_over_batches(spark, tmp_path):
+    """Two batches, the second of which repeats a part of the first: the same as over all rows at once."""
+    ship_package(spark)
+    days = pd.date_range("2024-01-01", periods=90).date
+    rows = [(s, d, (k * 7 + len(s)) % 5) for s in ("A", "BB") for k, d in enumerate(days)]
+    df = spark.createDataFrame(pd.DataFrame(rows, columns=["symbol", "session", "n"]), "symbol string, session date, n long")
+    path = str(tmp_path / "sessions")
+    df.where("session < date'2024-02-20'").coalesce(1).write.parquet(path + "/a")
+    df.where("session >= date'2024-02-10'").coalesce(1).write.parquet(path + "/b")
+    feed = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(path)
+    run(jobs.session_sums(feed()), tmp_path, "session_sums")
+    got = {(r["symbol"], r["session"]): (r["n_5"], r["n_20"], r["n_60"]) for r in spark.table("session_sums").collect()}
+    values = {s: [n for t, _, n in rows if t == s] for s in ("A", "BB")}
+    assert got == {(s, d): tuple(sum(values[s][max(0, k - w + 1) : k + 1]) for w in (5, 20, 60)) for s in values for k, d in enumerate(days)}
+    series = feed().select("symbol", F.col("session").cast("timestamp").alias("ts"), F.when(F.col("n") != 3, F.col("n").cast("double")).alias("value"))
+    run(jobs.ewm_stream(series, 0.2), tmp_path, "ewm")
+    means = {(r["symbol"], r["ts"].date()): r["mean"] for r in spark.table("ewm").collect()}
+    for s in values:
+        want = pd.Series([float(n) if n != 3 else None for n in values[s]]).ewm(alpha=0.2, adjust=False).mean()
+        assert all(means[s, d] == pytest.approx(w) if w == w else means[s, d] is None for d, w in zip(days, want))
+
+
+def test_difference_scorer_and_cache(spark, tmp_path):
+    from tidemark.functions.scorers import difference_scorer
+
+    score = difference_scorer(lambda texts: [{"positive": 0.7, "negative": 0.2}, {"positive": 0.1, "negative": 0.4}, {}])()
+    labels, values = score(["a", "b", "c"])
+    assert labels == ["positive", "negative", "neutral"] and values == pytest.approx([0.5, 0.3, 0.0])
+    reads = []
+    cache = S.FileCache(lambda p: reads.append(p) or open(p).read(), most=1)
+    (tmp_path / "x").write_text("one")
+    assert cache.get(str(tmp_path / "x")) == cache.get(str(tmp_path / "x")) == "one" and len(reads) == 1
+    (tmp_path / "x").write_text("other")
+    assert cache.get(str(tmp_path / "x")) == "other" and cache.get(str(tmp_path / "none")) is None

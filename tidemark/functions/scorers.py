@@ -45,3 +45,21 @@ def keyword_scorer(positive: list[str], negative: list[str]) -> Callable[[], Sco
         return score
 
     return load
+
+
+def difference_scorer(probabilities: Callable[[list[str]], list[dict[str, float]]]) -> Callable[[], Scorer]:
+    """A scorer by the probability of positive less that of negative; the label is the likeliest class, and the sign is in the score."""
+
+    def load() -> Scorer:
+        def score(texts: list[str]) -> tuple[list[str], list[float]]:
+            labels, values = [], []
+            for p in probabilities(texts):
+                difference = p.get("positive", 0.0) - p.get("negative", 0.0)
+                # ``scored`` gives a negative label's score its sign.
+                labels.append("positive" if difference > 0 else "negative" if difference < 0 else "neutral")
+                values.append(abs(difference))
+            return labels, values
+
+        return score
+
+    return load

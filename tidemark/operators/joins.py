@@ -109,7 +109,11 @@ def substring_matches(texts: DataFrame, aliases: DataFrame, text: str, alias: st
         hay = F.upper(F.col(text))
         return texts.withColumn("key", F.explode(F.array_distinct(F.transform(F.filter(table, lambda x: hay.contains(x["a"])), lambda x: x["key"]))))
     hays = texts.select(F.upper(F.col(text)).alias("__hay")).where("length(__hay) > 0").distinct()
-    pieces = F.array_distinct(F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("__hay") - n + 1, F.lit(1))), lambda i, n=n: F.substring("__hay", i, F.lit(n))) for n in range(1, GRAM + 1)])))
+
+    def runs(n: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length("__hay") - n + 1, F.lit(1))), lambda i: F.substring("__hay", i, F.lit(n)))
+
+    pieces = F.array_distinct(F.concat(*[runs(n) for n in range(1, GRAM + 1)]))
     found = bounded_join(hays.withColumn("__piece", F.explode(pieces)), keyed.withColumn("__piece", F.substring("__a", 1, GRAM)), ["__piece"], "inner")
     found = found.where(F.col("__hay").contains(F.col("__a"))).groupBy("__hay").agg(F.collect_set("__key").alias("__keys"))
     return texts.withColumn("__hay", F.upper(F.col(text))).join(found, "__hay").select(*texts.columns, F.explode("__keys").alias("key"))
@@ -170,6 +174,11 @@ def aligned(families: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     return out
 
 
+def with_labels(features: DataFrame, labels: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """``features`` with the label of their row; rows without one are dropped."""
+    return features.join(labels.select(*keys, label), keys, "left").where(F.col(label).isNotNull())
+
+
 def validated_join(facts: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
     """Left join that fails if a key occurs twice in ``lookup``."""
     if lookup.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():

@@ -64,26 +64,30 @@ def directional(rows: DataFrame) -> DataFrame:
     )
 
 
-def auc_by_class(rows: DataFrame, probabilities: dict[int, str]) -> DataFrame:
-    """(class, n_pos, n_neg, auc): one-versus-rest areas with average ranks on ties; null where a side is empty.
+def auc_by(rows: DataFrame, by: str) -> DataFrame:
+    """(by, n_pos, n_neg, auc) of rows (by, score, pos): areas with average ranks on ties; null where a side is empty.
 
     Scores are counted before they are ranked, and the rank of a score is a
     prefix sum over distinct scores, taken in two levels: within ranges of
     scores, and over the ranges.
     """
-    flat = F.explode(F.array(*[F.struct(F.lit(k).alias("class"), F.col(p).alias("score"), (F.col("actual") == k).alias("pos")) for k, p in probabilities.items()])).alias("x")
-    s = rows.select(flat).select("x.*").where("score is not null")
-    counts = s.groupBy("class", "score").agg(F.count_if("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
+    counts = rows.where("score is not null").groupBy(by, "score").agg(F.count_if("pos").alias("pos"), F.count(F.lit(1)).alias("n"))
     part = F.floor(F.col("score") * 4096).cast("long")
-    parts = counts.groupBy("class", part.alias("part")).agg(F.sum("n").alias("m"))
-    before = F.sum("m").over(Window.partitionBy("class").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = parts.select("class", "part", F.coalesce(before, F.lit(0)).alias("before"))
-    inside = F.sum("n").over(Window.partitionBy("class", "part").orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
-    ranked = counts.withColumn("part", part).withColumn("upto", inside).join(offsets, ["class", "part"])
+    parts = counts.groupBy(by, part.alias("part")).agg(F.sum("n").alias("m"))
+    before = F.sum("m").over(Window.partitionBy(by).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = parts.select(by, "part", F.coalesce(before, F.lit(0)).alias("before"))
+    inside = F.sum("n").over(Window.partitionBy(by, "part").orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
+    ranked = counts.withColumn("part", part).withColumn("upto", inside).join(offsets, [by, "part"])
     rank = F.col("before") + F.col("upto") - (F.col("n") - 1) / 2
-    sums = ranked.groupBy("class").agg(F.sum("pos").alias("n_pos"), F.sum(F.col("n") - F.col("pos")).alias("n_neg"), F.sum(rank * F.col("pos")).alias("r"))
+    sums = ranked.groupBy(by).agg(F.sum("pos").alias("n_pos"), F.sum(F.col("n") - F.col("pos")).alias("n_neg"), F.sum(rank * F.col("pos")).alias("r"))
     auc = F.try_divide(F.col("r") - F.col("n_pos") * (F.col("n_pos") + 1) / 2, F.col("n_pos").cast("double") * F.col("n_neg"))
-    return sums.select("class", "n_pos", "n_neg", auc.alias("auc"))
+    return sums.select(by, "n_pos", "n_neg", auc.alias("auc"))
+
+
+def auc_by_class(rows: DataFrame, probabilities: dict[int, str]) -> DataFrame:
+    """(class, n_pos, n_neg, auc): one-versus-rest areas; see ``auc_by``."""
+    flat = F.explode(F.array(*[F.struct(F.lit(k).alias("class"), F.col(p).alias("score"), (F.col("actual") == k).alias("pos")) for k, p in probabilities.items()])).alias("x")
+    return auc_by(rows.select(flat).select("x.*"), "class")
 
 
 def top_probability() -> Column:

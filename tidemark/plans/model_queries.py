@@ -323,10 +323,10 @@ def diebold_mariano(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PSI_COLS = ["p_down", "p_flat", "p_up"]
 
 
-def _psi_sql(is_ref: str) -> list[str]:
-    """Stability of the columns of ``predictions`` (as ps and ed); rows that are neither reference (true) nor current (false) are null."""
+def _psi_sql(is_ref: str, name: str = "predictions", columns: list[str] = _PSI_COLS) -> list[str]:
+    """Stability of the columns of a table (as ps and ed); rows that are neither reference (true) nor current (false) are null."""
     return [
-        "lng AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x, {is_ref} AS is_ref FROM predictions" for c in _PSI_COLS) + ")",
+        "lng AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS x, {is_ref} AS is_ref FROM {name} WHERE {c} IS NOT NULL" for c in columns) + ")",
         "ed AS (SELECT feature, list_sort(list_distinct(quantile_cont(x, [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]) FILTER (is_ref))) AS e, count(*) FILTER (is_ref) AS n_reference, count(*) FILTER (NOT is_ref) AS n_current FROM lng GROUP BY 1)",
         "bn AS (SELECT l.feature, is_ref, CASE WHEN x = e[len(e)] THEN len(e) - 1 WHEN x >= e[1] AND x < e[len(e)] THEN len(list_filter(e, lambda v: v <= x)) END AS b FROM lng l JOIN ed USING (feature))",
         "ct AS (SELECT feature, b, count(*) FILTER (is_ref) AS r, count(*) FILTER (NOT is_ref) AS c FROM bn WHERE b IS NOT NULL GROUP BY 1, 2)",

@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from collections import OrderedDict
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -156,3 +158,26 @@ def read_json(path: str, default: object = None) -> object:
         return json.loads(Path(path).read_text())
     except (OSError, ValueError):
         return default
+
+
+class FileCache:
+    """Values read from small files on the driver, read again once a file's time or size is another; the least used ones go first."""
+
+    def __init__(self, read: Callable[[str], object], most: int = 64):
+        self.read, self.most = read, most
+        self._kept: OrderedDict[str, tuple[tuple[int, int], object]] = OrderedDict()
+
+    def get(self, path: str) -> object:
+        """The value, or None where there is no such file."""
+        try:
+            stat = os.stat(path)
+        except OSError:
+            self._kept.pop(path, None)
+            return None
+        stamp = (stat.st_mtime_ns, stat.st_size)
+        if path not in self._kept or self._kept[path][0] != stamp:
+            self._kept[path] = (stamp, self.read(path))
+        self._kept.move_to_end(path)
+        while len(self._kept) > self.most:
+            self._kept.popitem(last=False)
+        return self._kept[path][1]

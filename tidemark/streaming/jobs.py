@@ -70,11 +70,13 @@ def read_upserts(spark, path: str, key: str, order: str) -> DataFrame:
     return keep_last(spark.read.parquet(path).drop("epoch"), [key], [order])
 
 
-def accepted_stream(trades: DataFrame, late: str = "1 day") -> DataFrame:
+def accepted_stream(trades: DataFrame) -> DataFrame:
     """(symbol, id, accepted) of wishes (symbol, id, start, end timestamps): those that start after the last accepted one ended.
 
     The end of the last accepted trade is the state of a symbol. Wishes of a
-    symbol are taken in order of start within a batch; batches come in order of time.
+    symbol are taken in order of start within a batch. A verdict is final once
+    it is given, so the result is that of the batch form where batches come in
+    order of start; a wish from before what was accepted already is refused.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -91,3 +93,55 @@ def accepted_stream(trades: DataFrame, late: str = "1 day") -> DataFrame:
         yield pd.DataFrame({"symbol": key[0], "id": rows["id"].to_numpy(), "accepted": flags})
 
     return trades.groupBy("symbol").applyInPandasWithState(run, "symbol string, id long, accepted boolean", "until long", "append", GroupStateTimeout.NoTimeout)
+
+
+def session_sums(sessions: DataFrame, widths: tuple[int, ...] = (5, 20, 60)) -> DataFrame:
+    """(symbol, session, n_5, n_20, n_60): counts over a symbol's last sessions, by rows and not by time, of (symbol, session, n) one row a session.
+
+    The state of a symbol is its last counts, as many as the widest window; a
+    session that is not after the last one taken was delivered before and is
+    left out.
+    """
+    most = max(widths)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, kept = (state.get[0], list(state.get[1])) if state.exists else (None, [])
+        rows = pd.concat(list(batches)).sort_values("session").drop_duplicates("session")
+        out = []
+        for session, n in zip(rows["session"], rows["n"]):
+            day = pd.Timestamp(session).value
+            if last is not None and day <= last:
+                continue
+            last, kept = day, [*kept, int(n)][-most:]
+            out.append((key[0], session, *[sum(kept[-w:]) for w in widths]))
+        state.update((last, kept))
+        yield pd.DataFrame(out, columns=["symbol", "session", *[f"n_{w}" for w in widths]])
+
+    schema = "symbol string, session date, " + ", ".join(f"n_{w} long" for w in widths)
+    return sessions.groupBy("symbol").applyInPandasWithState(run, schema, "last long, kept array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
+def ewm_stream(values: DataFrame, alpha: float) -> DataFrame:
+    """(symbol, ts, mean): the recursive mean of (symbol, ts, value) in order of time, as ``windows.ewm_means`` has it; its state is two numbers and the last time."""
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, mean, old = state.get if state.exists else (None, None, 1.0)
+        rows = pd.concat(list(batches)).sort_values("ts").drop_duplicates("ts")
+        out = []
+        for ts, v in zip(rows["ts"], rows["value"]):
+            at = pd.Timestamp(ts).value
+            if last is not None and at <= last:
+                continue
+            last = at
+            # The weight of the mean decays with every row, also one without a value.
+            if mean is None:
+                mean, old = (None if pd.isna(v) else float(v)), 1.0
+            else:
+                old *= 1 - alpha
+                if not pd.isna(v):
+                    mean, old = (old * mean + alpha * v) / (old + alpha), 1.0
+            out.append((key[0], ts, mean))
+        state.update((last, mean, old))
+        yield pd.DataFrame(out, columns=["symbol", "ts", "mean"])
+
+    return values.groupBy("symbol").applyInPandasWithState(run, "symbol string, ts timestamp, mean double", "last long, mean double, old double", "append", GroupStateTimeout.NoTimeout)
