@@ -2,7 +2,8 @@
 
 import pytest
 
-from tidemark.llm.queries import QUERIES
+from oracle import connect, same
+from tidemark.llm.queries import ORACLE_SQL, QUERIES
 
 COLUMNS = {
     "p3_found": {"cand_id_a": "bigint", "cand_id_b": "bigint"},
@@ -18,4 +19,9 @@ def test_runs(spark, small, name):
     df = QUERIES[name](spark, small)
     if name in COLUMNS:
         assert dict(df.dtypes) == COLUMNS[name]
-    assert df.count() >= 0
+    assert df.count() > 0
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_equals_sql(spark, small, name):
+    same(QUERIES[name](spark, small), connect(small), ORACLE_SQL[name])
