@@ -123,17 +123,18 @@ def filter_bits(n_segments: int) -> int:
 def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Segments of evaluation classes: (seg, width, cls, no, at, n)."""
     for pdf in batches:
-        parts = []
-        for cls, words in zip(pdf["cls"], pdf["codes"]):
+        seg, owner = [np.empty(0, dtype=np.uint64)], []
+        for cls, words in zip(pdf["cls"].tolist(), pdf["codes"]):
             codes = np.asarray(words, dtype=np.int64).view(np.uint64)
             n = len(codes)
-            if n == 0:
-                continue
-            number, width, _ = plan_segments(n)
-            rolled = _rolling(codes, width)
-            at = np.arange(number) * width
-            parts.append(pd.DataFrame({"seg": rolled[at].view(np.int64), "width": width, "cls": cls, "no": np.arange(len(at)), "at": at, "n": n}))
-        yield pd.concat(parts) if parts else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("seg", "width", "cls", "no", "at", "n")})
+            if n:
+                number, width, _ = plan_segments(n)
+                seg.append(_rolling(codes, width)[np.arange(number) * width])
+                owner.append((cls, width, n, number))
+        cls, width, n, times = (np.array(c, dtype=np.int64) for c in zip(*owner)) if owner else (np.empty(0, dtype=np.int64) for _ in range(4))
+        no = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        each = lambda c: np.repeat(c, times)
+        yield pd.DataFrame({"seg": np.concatenate(seg).view(np.int64), "width": each(width), "cls": each(cls), "no": no, "at": no * each(width), "n": each(n)})
 
 
 def _filter_words(n_bits: int):
@@ -189,11 +190,13 @@ def _substrings(filter_bc, widths_bc, count: bool):
                 if not seg:
                     continue
                 width, cls, n, times = (np.array(c, dtype=np.int64) for c in zip(*owner))
-                out = pd.DataFrame({"seg": np.concatenate(seg).view(np.int64), "width": np.repeat(width, times)})
+                segs, spread = np.concatenate(seg).view(np.int64), np.repeat(width, times)
                 if count:
-                    yield out.value_counts().rename("ft").reset_index()
+                    for w in np.unique(width):
+                        found, ft = np.unique(segs[spread == w], return_counts=True)
+                        yield pd.DataFrame({"seg": found, "width": w, "ft": ft})
                 else:
-                    yield out.assign(cls=np.repeat(cls, times), at=np.concatenate(at), n=np.repeat(n, times))
+                    yield pd.DataFrame({"seg": segs, "width": spread, "cls": np.repeat(cls, times), "at": np.concatenate(at), "n": np.repeat(n, times)})
 
     return run
 
