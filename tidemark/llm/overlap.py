@@ -171,32 +171,28 @@ def _substrings(filter_bc, widths_bc, count: bool):
         n_bits, widths = len(bits) * 64, widths_bc.value
         passes = lambda h: np.all([(bits[(s >> np.uint64(6)).astype(np.int64)] >> (s & np.uint64(63))) & np.uint64(1) for s in _slots(h, n_bits)], axis=0)
         for pdf in batches:
-            # Plain arrays, joined once a slice: a frame for each text would cost more memory than its substrings.
+            # Texts are strung together a slice at a time, so that each width is rolled over all of them at once.
             for start in range(0, len(pdf), SLICE):
-                seg, at, owner = [], [], []
-                for cls, words in zip(pdf["cls"].iloc[start : start + SLICE], pdf["codes"].iloc[start : start + SLICE]):
-                    codes = np.asarray(words, dtype=np.int64).view(np.uint64)
-                    n = len(codes)
+                part = pdf.iloc[start : start + SLICE]
+                texts, n = part["codes"].to_list(), part["codes"].map(len).to_numpy(dtype=np.int64)
+                cls = part["cls"].to_numpy(dtype=np.int64)
+                for width, (low, high) in widths.items():
                     # A text of m words is cut by its own length; only lengths within the most edits of either can match.
-                    for width, (low, high) in widths.items():
-                        if not (low - most_edits(low) <= n <= high + most_edits(high)) or n < width:
-                            continue
-                        rolled = _rolling(codes, width)
-                        hits = np.flatnonzero(passes(rolled))
-                        if len(hits):
-                            seg.append(rolled[hits])
-                            at.append(hits)
-                            owner.append((width, cls, n, len(hits)))
-                if not seg:
-                    continue
-                width, cls, n, times = (np.array(c, dtype=np.int64) for c in zip(*owner))
-                segs, spread = np.concatenate(seg).view(np.int64), np.repeat(width, times)
-                if count:
-                    for w in np.unique(width):
-                        found, ft = np.unique(segs[spread == w], return_counts=True)
-                        yield pd.DataFrame({"seg": found, "width": w, "ft": ft})
-                else:
-                    yield pd.DataFrame({"seg": segs, "width": spread, "cls": np.repeat(cls, times), "at": np.concatenate(at), "n": np.repeat(n, times)})
+                    fit = np.flatnonzero((n >= max(width, low - most_edits(low))) & (n <= high + most_edits(high)))
+                    if not len(fit):
+                        continue
+                    rolled = _rolling(np.concatenate([texts[k] for k in fit]).astype(np.int64).view(np.uint64), width)
+                    sizes = n[fit]
+                    text = np.repeat(np.arange(len(fit)), sizes)[: len(rolled)]
+                    at = np.arange(len(rolled)) - (np.cumsum(sizes) - sizes)[text]
+                    # What begins in one text and ends in the next is no substring.
+                    hits = np.flatnonzero((at <= sizes[text] - width) & passes(rolled))
+                    segs = rolled[hits].view(np.int64)
+                    if count:
+                        found, ft = np.unique(segs, return_counts=True)
+                        yield pd.DataFrame({"seg": found, "width": width, "ft": ft})
+                    else:
+                        yield pd.DataFrame({"seg": segs, "width": width, "cls": cls[fit][text[hits]], "at": at[hits], "n": sizes[text[hits]]})
 
     return run
 
