@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -137,3 +138,38 @@ def test_patterns(pattern, fits, not_fits):
     assert all(re.match(E.pattern_regex(pattern), w) for w in fits) and not any(re.match(E.pattern_regex(pattern), w) for w in not_fits)
     keys = E.pattern_keys(pattern)
     assert {n for _, _, n in keys} >= {len(w) for w in fits}
+
+
+def test_words_of_marks_only_are_filled_at_any_length(spark):
+    """Four letters of which every byte is lost, then a word beside nothing that the corpus knows."""
+    odd = [f"हालाँकि {E.LOST * 12} कमजोर", f"qq {E.LOST * 12} zz", f"हालाँकि {E.LOST * 4} qq"]
+    rows = {r["doc_id"]: r["restored"] for r in E.restored_texts(corpus(spark, odd)).collect()}
+    assert rows == {1000: "हालाँकि मांग कमजोर", 1001: odd[1], 1002: "हालाँकि मांग qq"}
+
+
+def test_words_of_marks_only_against_all_words(spark):
+    rng = random.Random(11)
+    words = sorted({"".join(rng.choice("éñдаकख") for _ in range(rng.randint(1, 5))) for _ in range(60)})
+    lines = [" ".join(rng.choice([*words, "ab", "cd", "éb"]) for _ in range(9)) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "row_id long, text string")
+    n, m = {}, {}
+    for line in lines:
+        own = line.split()
+        for w in set(own):
+            n[w] = n.get(w, 0) + 1
+        for a, b in zip(own, own[1:]):
+            m[b, "l", a] = m.get((b, "l", a), 0) + 1
+            m[a, "r", b] = m.get((a, "r", b), 0) + 1
+    asked = {(E.LOST * rng.randint(1, 12), rng.choice([*words, "ab", "cd", "zz", ""]), rng.choice([*words, "ab", "zz", ""])) for _ in range(400)}
+    want = {}
+    for marks, left, right in asked:
+        k, fits = len(marks), []
+        for w in words:
+            seen = m.get((w, "l", left), 0) + m.get((w, "r", right), 0)
+            if seen and len(w) <= k <= len(w.encode()):
+                fits.append((len(w) == k or len(w.encode()) == k, round(math.log(n[w] + 1) + E.NEIGHBOUR_WEIGHT * math.log(1 + seen), 9), n[w], w))
+        if fits:
+            want[marks, left, right] = max(fits)[2:]
+    lost = spark.createDataFrame([(*p, 0, E.pattern_regex(p[0]), []) for p in sorted(asked)], "pattern string, left string, right string, known int, regex string, keys array<struct<side:string,affix:string,length:int>>")
+    fills = E.best_fills(lost, E.word_counts(docs, "text"), docs, "text").collect()
+    assert len(fills) == len(want) and {(r["pattern"], r["left"], r["right"]): (r["n"], r["fill"]) for r in fills} == want

@@ -14,7 +14,8 @@ since damage comes in stretches.
 
 Which word fits a wildcard best is decided by how often it occurs, and how often
 beside the same neighbours. Where fewer than ``EVIDENCE`` letters are left, only a
-word that the corpus has beside one of them is taken; otherwise the mark stays.
+word that the corpus has beside one of them is taken; otherwise the mark stays. A
+word of which no letter is left, however long, is looked up by its neighbours alone.
 
 Frequencies are counts over the whole corpus. Sign frequencies are few (at most
 the signs of Unicode). Word frequencies are joined to the readings that need
@@ -49,8 +50,6 @@ UNSEEN = 0.02
 #: Letters of a word with lost signs that tell it without its neighbours, and how many times more a neighbour tells than the word's own frequency.
 EVIDENCE = 2
 NEIGHBOUR_WEIGHT = 2.0
-#: Signs that may be lost of a word of which no letter is left.
-BARE = 2
 #: Weight of a word's cost beside that of its signs, which are part of it.
 WORD_WEIGHT = 0.5
 
@@ -304,30 +303,85 @@ def fitting_words(patterns: DataFrame, counts: DataFrame) -> DataFrame:
     return met.where(F.regexp_like("word", F.col("regex"))).select("pattern", "known", "word", "n").distinct()
 
 
-def neighbour_counts(documents: DataFrame, text: str, words: DataFrame) -> DataFrame:
-    """(word, side, other, m): in how many places the word ``other`` stands before ("l") or after ("r") each of ``words``."""
+def neighbour_counts(documents: DataFrame, text: str, words: DataFrame, places: DataFrame) -> DataFrame:
+    """(word, side, other, m): in how many places the word ``other`` stands before ("l") or after ("r") a word.
+
+    Counted for each of ``words``, and beside each of ``places`` (side, other) for every word without a sign of ASCII.
+    """
     chunks = F.regexp_extract_all(F.lower(F.col(text)), F.lit(rf"(\p{{L}}{_LETTERS}*)"), F.lit(1))
     listed = documents.select(chunks.alias("w"))
     around = F.transform("w", lambda w, i: F.struct(w.alias("word"), F.when(i > 0, F.get("w", i - 1)).alias("l"), F.get("w", i + 1).alias("r")))
     each = listed.select(F.explode(F.filter(around, lambda s: s["word"].rlike(r"[^\x00-\x7F]"))).alias("s")).select("s.*")
-    kept = bounded_join(each, words, ["word"], "left_semi")
-    pairs = kept.select("word", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("other")), F.struct(F.lit("r").alias("side"), F.col("r").alias("other")))).alias("o")).select("word", "o.*")
-    return pairs.where("other is not null").groupBy("word", "side", "other").agg(F.count(F.lit(1)).alias("m"))
+    marked = bounded_join(each, words.withColumn("fits", F.lit(True)), ["word"], "left").where(F.col("fits") | _wholly("word"))
+    pairs = marked.select("word", "fits", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("other")), F.struct(F.lit("r").alias("side"), F.col("r").alias("other")))).alias("o")).select("word", "fits", "o.*")
+    asked = bounded_join(pairs.where("other is not null"), places.withColumn("asked", F.lit(True)), ["side", "other"], "left")
+    return asked.where(F.col("fits") | (F.col("asked") & _wholly("word"))).groupBy("word", "side", "other").agg(F.count(F.lit(1)).alias("m"))
+
+
+def _wholly(word: str):
+    """Whether ``word`` has no sign of ASCII."""
+    return ~F.col(word).rlike(r"[\x00-\x7F]")
+
+
+def _score(n: str, seen):
+    return F.log(F.col(n) + 1.0) + NEIGHBOUR_WEIGHT * F.log(1.0 + seen)
+
+
+def _sides(places: DataFrame, *kept: str) -> DataFrame:
+    """``kept`` of ``places`` (left, right) with (side, other, far), once for each neighbour that there is; ``far`` is the one at the other side."""
+    at = lambda s, near, far: F.struct(F.lit(s).alias("side"), F.col(near).alias("other"), F.col(far).alias("far"))
+    return places.select(*kept, F.explode(F.array(at("l", "left", "right"), at("r", "right", "left"))).alias("o")).select(*kept, "o.*").where("other != ''")
+
+
+def bare_fills(bare: DataFrame, counts: DataFrame, beside: DataFrame) -> DataFrame:
+    """(pattern, left, right, fill, n): the word for each of ``bare`` (pattern, left, right), of which no letter is left.
+
+    A lost sign leaves one mark, or up to one for each of its bytes. Of the words
+    without ASCII that ``beside`` has at one of the neighbours and that can have left
+    so many marks, the best with just as many signs or bytes, else the best of all. A
+    word that stands beside both neighbours is found from the neighbour with fewer
+    words, any other from its one neighbour; of each size only the best meets the marks.
+    """
+    near = beside.where(_wholly("word")).join(counts, "word").select("side", "other", "word", "m", "n", F.length("word").alias("signs"), F.octet_length("word").alias("bytes"))
+    near = materialize(near, "bare-neighbours")
+    place, marks = ["pattern", "left", "right"], F.length("pattern")
+
+    def best(fits: DataFrame, asked: DataFrame, keys: list[str], seen) -> DataFrame:
+        """The best of ``fits`` by each of ``asked`` (pattern, left, right, keys), of all that ``keys`` share."""
+        by_size = fits.groupBy(*keys, "signs", "bytes").agg(F.max(F.struct(_score("n", seen).alias("score"), "n", "word")).alias("x"))
+        met = asked.join(by_size, keys).where((F.col("signs") <= marks) & (marks <= F.col("bytes")))
+        whole = (F.col("signs") == marks) | (F.col("bytes") == marks)
+        return met.select(*place, F.struct(whole.alias("whole"), "x.score", "x.n", "x.word").alias("x"))
+
+    by_one = best(near, _sides(bare, *place), ["side", "other"], F.col("m"))
+
+    n_words = near.groupBy("side", "other").agg(F.count(F.lit(1)).alias("words"))
+    pairs = _sides(bare.where("left != '' and right != ''").select("left", "right").distinct(), "left", "right").join(n_words, ["side", "other"])
+    fewer = pairs.groupBy("left", "right").agg(F.min(F.struct("words", "side", "other", "far")).alias("o"), F.count(F.lit(1)).alias("known")).where("known = 2").select("left", "right", "o.side", "o.other", "o.far")
+    there = near.select(F.when(F.col("side") == "l", "r").otherwise("l").alias("side"), F.col("other").alias("far"), "word", F.col("m").alias("m_far"))
+    both = fewer.join(near, ["side", "other"]).join(there, ["side", "far", "word"])
+    by_both = best(both, bare.select(*place), ["left", "right"], F.col("m") + F.col("m_far"))
+
+    found = by_one.unionByName(by_both).groupBy(*place).agg(F.max("x").alias("x"))
+    return materialize(found.select(*place, F.col("x.word").alias("fill"), F.col("x.n").alias("n")), "bare-fills")
 
 
 def best_fills(lost: DataFrame, counts: DataFrame, documents: DataFrame, text: str) -> DataFrame:
     """(pattern, left, right, fill, n): the word for each of ``lost`` (pattern, left, right, known, regex, keys) that has evidence."""
     asked = lost.groupBy("pattern", "left", "right").agg(F.any_value("known").alias("known"), F.any_value("regex").alias("regex"), F.any_value("keys").alias("keys"))
     asked = materialize(asked, "lost-words")
-    patterns = asked.groupBy("pattern").agg(F.any_value("known").alias("known"), F.any_value("regex").alias("regex"), F.any_value("keys").alias("keys"))
+    bare, lettered = asked.where("known = 0"), asked.where("known > 0")
+    patterns = lettered.groupBy("pattern").agg(F.any_value("known").alias("known"), F.any_value("regex").alias("regex"), F.any_value("keys").alias("keys"))
     fitting = materialize(fitting_words(patterns, counts), "fitting-words")
-    beside = materialize(neighbour_counts(documents, text, fitting.select("word").distinct()), "neighbours")
-    tried = salted_join(asked.select("pattern", "left", "right"), fitting, ["pattern"])
+    places = _sides(bare).select("side", "other").distinct()
+    beside = materialize(neighbour_counts(documents, text, fitting.select("word").distinct(), places), "neighbours")
+    tried = salted_join(lettered.select("pattern", "left", "right"), fitting, ["pattern"])
     side = lambda s, name: beside.where(F.col("side") == s).select("word", F.col("other").alias(name), F.col("m").alias(f"m_{name}"))
     tried = tried.join(side("l", "left"), ["word", "left"], "left").join(side("r", "right"), ["word", "right"], "left")
     seen = F.coalesce("m_left", F.lit(0)) + F.coalesce("m_right", F.lit(0))
-    tried = tried.where((F.col("known") >= EVIDENCE) | (seen > 0)).withColumn("score", F.log(F.col("n") + 1.0) + NEIGHBOUR_WEIGHT * F.log(1.0 + seen))
-    return tried.groupBy("pattern", "left", "right").agg(F.max(F.struct("score", "n", "word")).alias("x")).select("pattern", "left", "right", F.col("x.word").alias("fill"), F.col("x.n").alias("n"))
+    tried = tried.where((F.col("known") >= EVIDENCE) | (seen > 0)).withColumn("score", _score("n", seen))
+    filled = tried.groupBy("pattern", "left", "right").agg(F.max(F.struct("score", "n", "word")).alias("x")).select("pattern", "left", "right", F.col("x.word").alias("fill"), F.col("x.n").alias("n"))
+    return filled.unionByName(bare_fills(bare, counts, beside))
 
 
 #: A word with lost signs at its place, with what it is looked up by.
@@ -363,9 +417,9 @@ def _suspects(signs: dict[str, int], texts: int):
                     if LOST in token:
                         around = neighbours(tokens, k)
                         for pattern in {w for t in readings(token).values() for w in lost_words(t)}:
-                            if known_letters(pattern) or len(pattern) <= BARE:
-                                keys = [{"side": a, "affix": b, "length": c} for a, b, c in pattern_keys(pattern)]
-                                lost[pattern, *around] = {"pattern": pattern, "left": around[0], "right": around[1], "known": known_letters(pattern), "regex": pattern_regex(pattern), "keys": keys}
+                            # Without letters a word is looked up by its neighbours.
+                            keys = [{"side": a, "affix": b, "length": c} for a, b, c in pattern_keys(pattern)] if known_letters(pattern) else []
+                            lost[pattern, *around] = {"pattern": pattern, "left": around[0], "right": around[1], "known": known_letters(pattern), "regex": pattern_regex(pattern), "keys": keys}
                 if suspect:
                     ids.append(row)
                     needed.append(sorted(words))
